@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_text, langid, line_dedup, packing, quality, simhash, warc
+from . import chat, decontam, html_text, langid, line_dedup, packing, quality, simhash, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_round_trip(table(spark, sf_dir, "pages"))
@@ -56,7 +59,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [
-        op1_line_dedup, op3_warc, op4_quality_rules, op5_packing,
+        op1_line_dedup, op2_suffix_dedup, op3_warc, op4_quality_rules, op5_packing,
         op6_html_extraction, op7_simhash, op8_chat, op9_decontamination, op10_language,
     ]
     return {f.__name__: f for f in made}
