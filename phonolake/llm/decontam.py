@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Boxed
+from .shared import Boxed, Growing
 
 WINDOW = 5
 MIN_SHARE = 0.8
@@ -33,7 +33,7 @@ MIN_SHARE = 0.8
 MIN_LITERALS = 2
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 8 << 20
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 800_000
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hrs hour hours day days week weeks year years percent"
     " dollars euros cents meters metres miles kilometers kilograms grams liters litres seconds minutes degrees".split()
@@ -67,12 +67,11 @@ class Reader:
 
     def __init__(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.hash = np.zeros(0, np.uint64)
-        self.flags = np.zeros(0, np.uint8)
+        self.hash, self.flags = Growing("u8"), Growing("u1")
 
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the text's tokens: literal hash, template hash, whether a slot."""
-        words = (text or "").encode("utf-8", "replace").split()
+    def read(self, raw: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the tokens of UTF-8 bytes: literal hash, template hash, whether a slot."""
+        words = (raw or b"").split()
         at = list(map(self.index.get, words))
         if None in at:
             if len(self.index) > MAX_CACHED_WORDS:
@@ -81,15 +80,15 @@ class Reader:
             made = [_word(w.decode("utf-8")) for w in new]
             first = len(self.index)
             self.index.update(zip(new, range(first, first + len(new)), strict=True))
-            self.hash = np.concatenate([self.hash, np.array([m[0] for m in made], np.uint64)])
-            self.flags = np.concatenate([self.flags, np.array([m[1] for m in made], np.uint8)])
+            self.hash.extend(np.array([m[0] for m in made], np.uint64))
+            self.flags.extend(np.array([m[1] for m in made], np.uint8))
             at = list(map(self.index.__getitem__, words))
         at = np.array(at, np.int64)
-        flags = self.flags[at]
+        flags = self.flags.room[at]
         ends = np.ones(len(at), bool)
         ends[1:] = (flags[:-1] & ENDS) > 0
         real = (flags & EMPTY) == 0
-        literal, flags, ends = self.hash[at][real], flags[real], ends[real]
+        literal, flags, ends = self.hash.room[at][real], flags[real], ends[real]
         number = (flags & DIGIT) > 0
         after = np.zeros(len(flags), bool)
         after[1:] = number[:-1]
@@ -100,6 +99,16 @@ class Reader:
         return literal, template, number | unit | name
 
 
+_READERS: list[Reader] = []
+
+
+def worker_reader() -> Reader:
+    """One for each worker process, kept over tasks."""
+    if not _READERS:
+        _READERS.append(Reader())
+    return _READERS[0]
+
+
 def windows(template: np.ndarray, slot: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows and whether they hold enough literals; fewer tokens than ``size``: one window of all."""
     n = len(template)
@@ -123,7 +132,7 @@ class Index:
         rows: set[tuple[int, int, int]] = set()
         self.short: set[int] = set()
         for item_id, text in items:
-            literal, template, slot = reader.read(text)
+            literal, template, slot = reader.read(text.encode("utf-8", "replace"))
             h, ok = windows(template, slot, size)
             if not len(h) or not ok.any():
                 continue
@@ -206,9 +215,9 @@ def contaminated(
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            reader = Reader()
+            reader = worker_reader()
             for b in batches:
-                rows = [(d, *f) for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for f in shared.value.search(*reader.read(t.as_py()), min_share)]
+                rows = [(d, *f) for d, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True) for f in shared.value.search(*reader.read(t.as_py()), min_share)]
                 cols = list(zip(*rows, strict=True)) or [()] * 6
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "n_hit", "n_windows", "share", "same_values"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +53,19 @@ class Boxed:
         """The caller's columns under their names, those in ``values`` replaced in place, new ones added behind."""
         old = [values.get(n, F.col(f"c{i}")).alias(n) for i, n in enumerate(self.names)]
         return df.select(*old, *[v.alias(k) for k, v in values.items() if k not in self.names])
+
+
+class Growing:
+    """A numpy array that grows at its end; its room doubles, so appending many times costs no more than once."""
+
+    def __init__(self, dtype: str):
+        self.room, self.size = np.zeros(1024, dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        need = self.size + len(values)
+        if need > len(self.room):
+            room = np.zeros(max(need, 2 * len(self.room)), self.room.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : need] = values
+        self.size = need
