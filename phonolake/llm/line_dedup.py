@@ -22,23 +22,40 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ASCII_SPACE, Boxed, text_of
+from .shared import ASCII_SPACE, Boxed, stored, text_of
+
+
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(ASCII_SPACE))
 
 
 def line_key(line: Column) -> Column:
     """The line without ASCII white space at both ends and with A-Z in lower case; other letters stay."""
-    bare = F.btrim(line, F.lit(ASCII_SPACE))
+    return F.translate(_bare(line), string.ascii_uppercase, string.ascii_lowercase)
+
+
+def key_parts(bare: Column) -> tuple[Column, Column]:
+    """Two strings that are equal for two stripped lines exactly where their keys are; much cheaper than translate().
+
+    lower() also folds other letters, so beside it stand all non-ASCII characters as they are.  But for the two letters
+    whose lower case holds ASCII, lower() keeps every character's place, and the two strings together give the key.
+    """
     ascii_only = F.octet_length(bare) == F.char_length(bare)
-    return F.when(ascii_only, F.lower(bare)).otherwise(F.translate(bare, string.ascii_uppercase, string.ascii_lowercase))
+    odd = F.contains(bare, F.lit("\u212a")) | F.contains(bare, F.lit("\u0130"))
+    folded = F.when(ascii_only | ~odd, F.lower(bare)).otherwise(F.translate(bare, string.ascii_uppercase, string.ascii_lowercase))
+    others = F.when(ascii_only | odd, F.lit("")).otherwise(F.regexp_replace(bare, r"[\x00-\x7F]+", ""))
+    return folded, others
 
 
 def _dropped_positions(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """(_id, _th, _drop): for each document that loses lines, their positions."""
     lines = docs.select("_id", "_th", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
-    keys = lines.select("_id", "_th", "_pos", line_key(F.col("_line")).alias("_key")).where(F.char_length("_key") >= min_chars)
+    bare = lines.select("_id", "_th", "_pos", _bare(F.col("_line")).alias("_bare")).where(F.char_length("_bare") >= min_chars)
+    parts = key_parts(F.col("_bare"))
     # two 64-bit hashes with different seeds: equal only for equal keys, for all practical sizes
-    hashed = keys.select("_id", "_th", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
-    held = hashed.groupBy("_h1", "_h2", "_id", "_th").agg(F.collect_set("_pos").alias("_at"))
+    hashed = bare.select("_id", "_th", "_pos", F.xxhash64(*parts).alias("_h1"), F.xxhash64(F.lit(1), *parts).alias("_h2"))
+    # lines are read once: the counts and the join back both start from this table of hashes
+    held = stored(hashed.groupBy("_h1", "_h2", "_id", "_th").agg(F.collect_set("_pos").alias("_at")), "lines")
     per_id = held.groupBy("_h1", "_h2", "_id").agg(F.lit(1).alias("_one"))
     shared = (
         per_id.groupBy("_h1", "_h2")
