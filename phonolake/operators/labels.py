@@ -29,7 +29,7 @@ def valid_class(value: Column, target: Column, classes: int) -> Column:
 def ordinal(value: Column, low: int, high: int, clamp: bool = True) -> Column:
     """Rounded half to even; clamped to the range, or null outside it."""
     n = F.rint(value.try_cast("double")).try_cast("long")
-    return F.least(F.greatest(n, F.lit(low)), F.lit(high)) if clamp else F.when(n.between(low, high), n)
+    return F.when(n.isNotNull(), F.least(F.greatest(n, F.lit(low)), F.lit(high))) if clamp else F.when(n.between(low, high), n)
 
 
 def in_test_split(split: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators.merge import last_wins
 
-RECORD = f"struct<pred: array<struct<{schemas.PREDICTION.replace(' string', ': string').replace(' struct', ': struct')}>>, passthrough: struct<{', '.join(x.replace(' ', ': ', 1) for x in schemas.PASSTHROUGH.split(', '))}>>"
+RECORD = schemas.RECORD
 SKIPPED = (".cache", ".error")
 
 
