@@ -15,21 +15,24 @@ Defined results: null text is empty and yields one piece with the single id 0; r
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Boxed, stored, text_of
+from .shared import Boxed, Growing, stored, text_of
+from .words import BATCH_BYTES, MAX_WORD, Remembered
 
 SEQ_LEN = 2048
-#: Words whose ids a worker remembers before it starts afresh.
-MAX_CACHED_WORDS = 400_000
+#: Pieces of words whose ids a worker remembers before it starts afresh.
+MAX_CACHED_WORDS = 1_500_000
 
 
 def default_tokenizer() -> str:
@@ -38,50 +41,108 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Classes of bytes: white space, ASCII letters, digits, other ASCII, and what is never cut from its neighbours:
+#: apostrophes (contractions) and all other bytes.
+_GAP, _LETTER, _DIGIT, _SYMBOL, _JOINED = range(5)
+_CLASS = np.array(
+    [
+        _GAP if c in b" \t\n\r\x0b\x0c" else _JOINED if c >= 128 or c == 39 else _LETTER if chr(c).isalpha() else _DIGIT if chr(c).isdigit() else _SYMBOL
+        for c in range(256)
+    ],
+    np.uint8,
+)
+_FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)])
+#: _CUT[a, b]: whether the tokenizer cuts between bytes of these classes in any case.
+_CUT = np.array([[a in (_GAP,) or b == _GAP or (_JOINED not in (a, b) and (a != b or a == _DIGIT)) for b in range(5)] for a in range(5)])
+_SPECIAL = re.compile(rb"<\|(?:start|end)oftext\|>")
+
+
 class WordTokenizer:
     """Token ids of whole texts, by way of each text's words.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are its words' ids one after the other.
-    Words are encoded once and remembered, as far as ``MAX_CACHED_WORDS`` allows.
+    The tokenizer drops white space, lowers all letters, and cuts between letters, digits and symbols before it merges.
+    So texts are cut there, ASCII is lowered, and each distinct piece is encoded once and remembered; a text's ids are its
+    pieces' ids one after the other.  Texts that hold a special token's string are encoded as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words = Remembered(_FOLD, MAX_CACHED_WORDS)
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.start = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, "<u4")
-
-    def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)
-        ids = [x.ids for x in found]
+        self.words.reset()
+        self.start, self.count, self.flat = Growing("i8"), Growing("i8"), Growing("<u4")
+
+    def _encode(self, pieces: list[bytes]) -> list[list[int]]:
+        found = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)
+        return [x.ids for x in found]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        ids = self._encode(pieces)
         count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), "<u4", int(count.sum()))
-        first = len(self.index)
-        self.index.update(zip(words, range(first, first + len(words)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.flat = np.concatenate([self.flat, flat])
-
-    def encode(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "replace").split()
-        if not words:
-            return np.zeros(0, "<u4")
-        at = list(map(self.index.get, words))
-        if None in at:
-            if len(self.index) > MAX_CACHED_WORDS:
-                self._reset()
-            self._learn([w for w in dict.fromkeys(words) if w not in self.index])
-            at = list(map(self.index.__getitem__, words))
-        at = np.array(at, np.int64)
-        count = self.count[at]
+        self.start.extend(self.flat.size + np.cumsum(count) - count)
+        self.count.extend(count)
+        self.flat.extend(np.fromiter(chain.from_iterable(ids), "<u4", int(count.sum())))
+
+    def encode_many(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Of UTF-8 bytes."""
+        if self.words.full:
+            self._reset()
+        joined = b" ".join(texts)
+        raw = np.frombuffer(joined, np.uint8)
+        kind = _CLASS[raw]
+        begins = np.ones(len(raw), bool)
+        begins[1:] = _CUT[kind[:-1], kind[1:]]
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(raw))
+        real = kind[start] != _GAP
+        start, end = start[real], end[real]
+        short = end - start <= MAX_WORD
+        at = self.words.numbers(joined, raw, start[short], end[short], self._learn)
+        count, first, flat = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), self.flat.room
+        count[short], first[short] = self.count.room[at], self.start.room[at]
+        if not short.all():  # long pieces are encoded each time
+            ids = self._encode([joined[a:b] for a, b in zip(start[~short].tolist(), end[~short].tolist(), strict=True)])
+            sizes = np.cumsum([0, *map(len, ids)])
+            count[~short], first[~short] = np.diff(sizes), self.flat.size + sizes[:-1]
+            flat = np.concatenate([flat[: self.flat.size], np.fromiter(chain.from_iterable(ids), "<u4", int(sizes[-1]))])
         ends = np.cumsum(count)
-        return self.flat[np.repeat(self.start[at] - (ends - count), count) + np.arange(int(ends[-1]))]
+        total = int(ends[-1]) if len(ends) else 0
+        out = flat[np.repeat(first - (ends - count), count) + np.arange(total)]
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        at_text = np.concatenate([[0], ends])[np.searchsorted(start, bounds)]
+        found = [out[a:b] for a, b in zip(at_text[:-1].tolist(), at_text[1:].tolist(), strict=True)]
+        if b"oftext|>" in joined:
+            for k, t in enumerate(texts):
+                if _SPECIAL.search(t):
+                    found[k] = np.array(self._encode([t])[0], "<u4")
+        return found
+
+    def encode(self, raw: bytes) -> np.ndarray:
+        return self.encode_many([raw])[0]
+
+    def encode_stream(self, texts: Iterator[bytes]) -> Iterator[np.ndarray]:
+        held, size = [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size >= BATCH_BYTES:
+                yield from self.encode_many(held)
+                held, size = [], 0
+        yield from self.encode_many(held)
+
+
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process and file, kept over tasks."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 def pieces(
@@ -96,11 +157,12 @@ def pieces(
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(path)
+        words = word_tokenizer(path)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(words.encode(text.as_py()), np.array([end_id], "<u4")).astype("<u4")
+            texts = (x.as_py() for x in batch.column(1).cast(pa.binary()))
+            for doc_id, own in zip(batch.column(0).to_pylist(), words.encode_stream(texts), strict=True):
+                ids = np.append(own, np.array([end_id], "<u4"))
                 for piece, at in enumerate(range(0, len(ids), seq_len)):
                     part = ids[at : at + seq_len]
                     for k, v in zip(out, (doc_id, piece, at, len(part), zlib.crc32(part.tobytes()), part.astype("i4")), strict=True):
