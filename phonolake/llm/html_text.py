@@ -279,17 +279,17 @@ def render_node(node: Node) -> list[str]:
 
 
 def _render(node: Node, out: _Lines) -> None:
-    chosen = None
+    closed = node.tag == "details" and "open" not in node.attrs
     number = int(s) if node.tag == "ol" and (s := node.attrs.get("start", "")).isascii() and s.isdigit() and len(s) < 10 else 1
     for kid in node.kids:
+        if closed and (isinstance(kid, str) or kid.tag != "summary"):
+            continue  # of a closed disclosure only the summary shows
         if isinstance(kid, str):
             out.word(kid)
             continue
         tag = kid.tag
         if not visible(kid):
             continue
-        if node.tag == "details" and "open" not in node.attrs and tag != "summary":
-            continue
         if tag == "br":
             out.forced()
         elif tag == "hr":
@@ -320,7 +320,7 @@ def _render(node: Node, out: _Lines) -> None:
             out.raw([("> " + x) if x else ">" for x in render_node(kid)])
             out.blank()
         elif tag == "select":
-            options = [x for x in _options(kid)]
+            options = list(_options(kid))
             chosen = next((x for x in options if "selected" in x.attrs), options[0] if options else None)
             if chosen:
                 out.word(" " + _plain(chosen) + " ")
