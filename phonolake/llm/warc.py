@@ -1,11 +1,12 @@
 """WARC archives with dictionary compression.
 
-Records are dealt to archives by a hash of their id.  Each archive is one file: a skippable Zstandard frame with a
+Records are dealt to tasks by a hash of their id, and a task writes archives of a bounded size.  Each archive is one file: a skippable Zstandard frame with a
 dictionary built from records of that archive, then every record as a frame of its own, compressed with the dictionary.
 Any record can thus be read alone, given the file's first frame.
 
 Equal payloads are found by digest: the digests are counted with partial sums, so a payload that a third of all pages
-share is one row a task; the verdict returns over an equi-join whose hot partitions Spark splits.
+share is one row a task; digests and ids alone are joined with the counts, in an equi-join whose hot partitions Spark
+splits, and the verdict joins the payloads by id.
 
 Files are written by executors, under a name of their task attempt, and renamed into place; a task that runs again
 writes the same bytes (records are sorted by id within an archive) under the same final name.  The folder must be
@@ -28,6 +29,7 @@ from urllib.request import url2pathname
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,58 +154,63 @@ def write_pages(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
     min_revisit_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES, date: str = "2024-01-01T00:00:00Z",
 ) -> DataFrame:
-    """Writes the archives into ``folder`` and returns their list: (path, n_records)."""
+    """Writes the archives into ``folder`` and returns their list: (path, n_records).
+
+    A task writes its pages in order of id, and begins another archive after ``archive_bytes`` of records."""
     box = Boxed(pages)
     base = box.df.select(
         box.col(id_col).cast("long").alias("page_id"), F.coalesce(box.col(url_col).cast("string"), F.lit("")).alias("url"),
         F.coalesce(box.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"),
     )
     base = base.withColumn("digest", F.sha2("payload", 256)).withColumn("n_bytes", F.octet_length("payload").cast("long"))
-    groups = base.where(F.col("n_bytes") >= min_revisit_bytes).groupBy(F.col("digest").alias("_d")).agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    marked = base.join(groups, base["digest"] == groups["_d"], "left")
-    # rows that repeat the id of the response are told apart by their order below
-    marked = marked.withColumn("_again", F.col("_d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")))
-    marked = marked.withColumn("payload", F.when(F.col("_again"), F.lit(b"")).otherwise(F.col("payload"))).drop("_n")
-    total = base.agg(F.sum("n_bytes")).first()[0] or 0
-    n_archives = max(1, -(-total // archive_bytes))
-    dealt = marked.withColumn("_archive", F.pmod(F.xxhash64("page_id"), F.lit(n_archives)))
-    dealt = dealt.repartition(n_archives, "_archive").sortWithinPartitions("_archive", "page_id", "digest", "url")
+    base = base.withColumn("_k", F.coalesce("page_id", F.lit(-(2**63))))
+    slim = base.where(F.col("n_bytes") >= min_revisit_bytes).select("page_id", "_k", F.unhex("digest").alias("_d"))
+    groups = slim.groupBy("_d").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    again = slim.join(groups, "_d").where(~F.col("page_id").eqNullSafe(F.col("_first")))
+    # for each id the responses that its payloads repeat: one entry, or a few where an id has several rows
+    of_id = again.groupBy("_k").agg(F.map_from_entries(F.collect_set(F.struct(F.lower(F.hex("_d")), "_first"))).alias("_firsts"))
+    # payloads are shuffled once, by id; that is also how they are dealt to archives
+    marked = base.repartition("_k").join(of_id, "_k", "left")
+    first = F.try_element_at("_firsts", F.col("digest"))
+    marked = marked.withColumn("_first", first).withColumn("_again", F.coalesce(F.map_contains_key("_firsts", F.col("digest")), F.lit(False)))
+    marked = marked.withColumn("payload", F.when(F.col("_again"), F.lit(b"")).otherwise(F.col("payload")))
+    ordered = marked.select("page_id", "url", "payload", "digest", "n_bytes", "_first", "_again").sortWithinPartitions("page_id", "digest", "url")
     target = local_path(folder)
     os.makedirs(target, exist_ok=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(target, exist_ok=True)
+        last: list[tuple] = [()]
 
-        def rows() -> Iterator[tuple]:
+        def records() -> Iterator[bytes]:
             for b in batches:
-                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
-
-        def record_of(r: tuple, last: list) -> bytes:
-            _, page_id, url, payload, digest, n_bytes, grouped, first, again = r
-            twin = grouped is not None and not again and last[0] == (page_id, digest)
-            last[0] = (page_id, digest)
-            kind = "revisit" if again or twin else "response"
-            return record(page_id, url, payload, digest, n_bytes, kind, first if kind == "revisit" else None, date)
+                for page_id, url, payload, digest, n_bytes, first, again in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    twin = n_bytes >= min_revisit_bytes and not again and last[0] == (page_id, digest)
+                    last[0] = (page_id, digest)
+                    kind = "revisit" if again or twin else "response"
+                    yield record(page_id, url, b"" if twin else payload, digest, n_bytes, kind, page_id if twin else first, date)
 
-        source, last, done = rows(), [None], []
+        source, done = records(), []
         head = next(source, None)
         while head is not None:
-            archive, nxt = head[0], []
-
-            def own(first: tuple = head, archive: int = archive, nxt: list = nxt) -> Iterator[bytes]:
-                yield record_of(first, last)
-                for r in source:
-                    if r[0] != archive:
-                        nxt.append(r)
+            size = 0
+
+            def some(first: bytes = head) -> Iterator[bytes]:
+                nonlocal head, size
+                one: bytes | None = first
+                while one is not None:
+                    yield one
+                    size += len(one)
+                    one = next(source, None)
+                    if size >= archive_bytes:
+                        head = one
                         return
-                    yield record_of(r, last)
+                head = None
 
-            path = f"{target}/pages-{archive:06d}.warc.zst"
-            done.append((path, write_archive(path, own())))
-            head = nxt[0] if nxt else None
+            path = f"{target}/pages-{TaskContext.get().partitionId():06d}-{len(done):04d}.warc.zst"
+            done.append((path, write_archive(path, some())))
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["path", "n_records"])
 
-    ordered = dealt.select("_archive", "page_id", "url", "payload", "digest", "n_bytes", "_d", "_first", "_again")
     return stored(ordered.mapInArrow(write, "path string, n_records long"), "archives")
 
 
