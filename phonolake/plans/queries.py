@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ipa, phones, text, vocabulary
-from ..operators import align, apply, audit, features, geolocation, inventory, labels, merge, scoring, slots, splits
+from ..operators import align, apply, audit, features, geolocation, inventory, labels, merge, scoring, slots, splits, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -357,6 +357,73 @@ def q32_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", prompt.alias("prompt"), F.when(F.col("p_name").endswith("ring"), "ring").otherwise("other").alias("kind"))
 
 
+@query("""
+SELECT o_custkey, o_orderkey, o_orderdate, min(o_totalprice) OVER w AS best, o_totalprice = min(o_totalprice) OVER w AS is_best
+FROM (SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)""")
+def q33_running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    return tables.running_best(o, ["o_custkey"], "o_orderkey", "o_totalprice").drop("o_totalprice")
+
+
+@query("""
+SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY c_custkey DESC""")
+def q34_pending_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    runs = c.select("c_custkey", "c_name", F.col("c_custkey").alias("m"))
+    return tables.pending_runs(runs, o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "m").drop("m")
+
+
+@query("""
+SELECT s_nationkey, count(*) AS n, count(DISTINCT s_name) AS members, round(avg(s_acctbal), 4) AS mean, round(stddev_pop(s_acctbal), 4) AS std
+FROM supplier GROUP BY s_nationkey""")
+def q35_group_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tables.group_statistics(table(spark, sf_dir, "supplier"), ["s_nationkey"], "s_name", "s_acctbal"), 4)
+
+
+@query("""
+SELECT conv_id, turn, i - 1 AS place, w[i] AS name, length(w[i]) AS value
+FROM (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '[a-z]+') AS w FROM conversations))""")
+def q36_long_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract_all("text", F.lit("([a-z]+)"), F.lit(1)).alias("w"))
+    return tables.long_form(c.withColumn("l", F.transform("w", F.length)), ["conv_id", "turn"], "w", "l")
+
+
+@query("""
+SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'low' WHEN 'SMALL' THEN 'low' WHEN 'PROMO' THEN 'high' ELSE 'other' END AS cluster
+FROM part WHERE p_brand NOT IN ('Brand#1', 'Brand#2')""")
+def q37_map_and_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = tables.excluded(table(spark, sf_dir, "part"), "p_brand", ["Brand#1", "Brand#2"])
+    return p.select("p_partkey", tables.mapped(F.col("p_type"), {"ECONOMY": "low", "SMALL": "low", "PROMO": "high"}, "other").alias("cluster"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, CAST(1 / (1 + exp(-(l_discount * 100 - 3))) > 0.5 AS INT) + CAST(1 / (1 + exp(-(l_quantity - 25.5))) > 0.5 AS INT)
+  + CAST(1 / (1 + exp(-(l_tax * 100 - 6.5))) > 0.5 AS INT) AS grade FROM lineitem""")
+def q38_ordinal_from_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    logits = F.array(F.col("l_discount") * 100 - 3, F.col("l_quantity") - 25.5, F.col("l_tax") * 100 - 6.5)
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", tables.ordinal_from_logits(logits).alias("grade"))
+
+
+@query("""
+SELECT doc_id, split FROM (SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'train' ELSE 'test' END AS split, d.lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+WHERE coalesce(nullif(split, 'train'), 'test') = 'test' AND lang IS NOT NULL""")
+def q39_test_split_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    m = table(spark, sf_dir, "labels").select("doc_id", F.lit("test").alias("split"))
+    joined = d.join(m, "doc_id", "left").where("lang is not null")
+    return joined.where(labels.in_test_split(F.col("split"))).select("doc_id", F.coalesce("split", F.lit("train")).alias("split"))
+
+
+@query("""
+SELECT user_id, round(min(a), 6) AS min_a, round(max(a), 6) AS max_a, round(avg(l), 6) AS mean_loss FROM (
+  SELECT user_id, cos(value) AS a, acos(greatest(-1 + 1e-7, least(1 - 1e-7, cos(value)))) AS l FROM events) GROUP BY user_id""")
+def q40_angular_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", F.cos("value").alias("a"))
+    e = e.withColumn("l", geolocation.angular_loss(F.col("a")))
+    return rounded(e.groupBy("user_id").agg(F.min("a").alias("min_a"), F.max("a").alias("max_a"), F.avg("l").alias("mean_loss")))
+
+
 # ---- operators without an SQL form: rows only -----------------------------------------------------------------------
 
 #: Letters as phones of the inventory, for tables without phonetic text.

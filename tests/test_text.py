@@ -114,3 +114,39 @@ def test_vocabularies(spark):
     assert row.e == [1, 3]
     chars = vocabulary.character_vocabulary(spark.createDataFrame([("ba",), ("b",)], "t string"), "t").collect()
     assert {r.token: (r.id, r.n) for r in chars} == {"a": (4, 1), "b": (5, 2)}
+
+
+def wave_bytes(samples, rate=16000, channels=1):
+    import io
+    import wave
+
+    import numpy as np
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(channels)
+        f.setsampwidth(2)
+        f.setframerate(rate)
+        f.writeframes(np.asarray(samples, "<i2").tobytes())
+    return out.getvalue()
+
+
+def test_audio(spark):
+    from phonolake.functions import audio
+
+    rows = [(wave_bytes([0] * 160),), (wave_bytes([16384, -16384] * 100, channels=2),), (wave_bytes([0, 8192] * 50, rate=8000),), (b"none",), (None,)]
+    df = spark.createDataFrame(rows, "w binary").select("w", audio.decoder()(F.col("w")).alias("x"), audio.wave_frames(F.col("w")).alias("n"))
+    out = df.collect()
+    assert [None if r.x is None else len(r.x) for r in out] == [160, 100, 200, None, None]
+    assert [r.n for r in out] == [160, 100, 100, None, None]
+    assert set(out[1].x) == {0.0} and max(out[2].x) == 0.25
+    assert len(audio.decode(wave_bytes([1] * 32000), seconds=0.5)) == 8000
+
+
+def test_checks(spark):
+    from phonolake.operators import tables
+
+    df = spark.range(3)
+    assert tables.all_or_error(df, F.col("id") < 3, "too large").count() == 3
+    with pytest.raises(Exception, match="too large"):
+        tables.all_or_error(df, F.col("id") < 2, "too large").collect()
