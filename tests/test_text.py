@@ -81,14 +81,22 @@ def test_small_functions(spark):
     assert one(spark, text.clean_text(F.col("t")), t=" ˈg, ɚ b!\n") == "ɡə˞b"
     assert one(spark, text.clean_response(F.col("t")), t="a g.\tb") == "aɡb"
     assert one(spark, text.coordinate(F.col("t")), t="23.5 S") == -23.5
+    assert one(spark, text.coordinate(F.col("t")), t="-7 west") == -7.0
     assert one(spark, text.coordinate(F.col("t")), t="none") is None
+    assert one(spark, text.json_answer(F.col("t"), "a"), t='so {"a": "x"} end') == "x"
+    assert one(spark, text.json_answer(F.col("t"), "b"), t='so {"a": "x"} end') == '{"a": "x"}'
+    assert one(spark, text.json_answer(F.col("t"), "a"), t="none") == "none"
+    assert one(spark, text.reported_mean(F.col("t")), t=r" \ms{85.2}{1.3} ") == 85.2
+    assert one(spark, text.reported_mean(F.col("t")), t=" 7.5 ") == 7.5
+    assert one(spark, text.reported_name(F.col("t")), t=r"\textbf{Big} model") == "Big model"
+    assert one(spark, text.mime_type(F.col("t")), t="a/b.bin9") == "application/octet-stream"
     assert one(spark, text.six_digits(F.col("t")), t="PIN 560001.") == "560001"
     assert one(spark, text.six_digits(F.col("t")), t="12") is None
-    assert one(spark, text.mime_type(F.col("t")), t="a/b.FLAC") == "audio/flac"
+    assert one(spark, text.mime_type(F.col("t")), t="a/b.MP3") == "audio/mpeg"
     assert one(spark, text.json_or_raw(F.col("t"), "k"), t="plain") == "plain"
     assert one(spark, text.json_in_braces(F.col("t")), t='so {"a": {}} end') == '{"a": {}}'
     assert one(spark, text.last_segment(F.col("t")), t="<a>b>c") == "c"
-    assert one(spark, text.says_no_audio(F.col("t")), t="I can't hear anything") is True
+    assert one(spark, text.says_no_audio(F.col("t")), t="Please attach  the audio first") is True
     assert one(spark, text.render_template("{a}-{b}", {"a": F.col("t"), "b": F.lit(None)}), t="x") == "x-"
     with pytest.raises(KeyError):
         text.render_template("{c}", {})
@@ -102,7 +110,8 @@ def test_thoughts(spark):
 
     assert both("x <think>y</think> z") == ("x  z", "y")
     assert both("x <think>y") == ("x", "y")
-    assert both("x") == ("x", None)
+    assert both(" x ") == ("x", "")
+    assert both("<think>a</think>b</think>c") == ("b</think>c", "a")
 
 
 def test_vocabularies(spark):
