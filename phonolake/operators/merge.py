@@ -56,9 +56,12 @@ def collect_batch_results(manifest: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def check_errors_represented(errors: DataFrame, merged: DataFrame) -> None:
-    """Every key of the error logs must be in the merged predictions, as an empty prediction."""
+    """Every ``key`` of the error logs must be in the merged predictions (key, processed_transcript and, if there,
+    predicted_transcript), as an empty prediction."""
     require_subset(errors.select("key"), merged.select("key"), ["key"], "error log entries without a merged row")
-    filled = merged.join(errors.select("key").distinct(), "key", "left_semi").where(F.coalesce("processed_transcript", F.lit("")) != "")
+    texts = [c for c in ("processed_transcript", "predicted_transcript") if c in merged.columns]
+    said = F.concat(*[F.coalesce(c, F.lit("")) for c in texts])
+    filled = merged.join(errors.select("key").distinct(), "key", "left_semi").where(said != "")
     few = [r["key"] for r in filled.select("key").orderBy("key").limit(5).collect()]
     if few:
         raise ValueError(f"logged errors with a prediction, such as {few}")

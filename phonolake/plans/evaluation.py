@@ -26,6 +26,16 @@ def scoring_input(rows: DataFrame, gt_field: str = "masked_phones", canonical: D
     return merge.last_wins(out, ["language", "utt_id"], ["sample_key"]).drop("sample_key")
 
 
+def check_folder(spark: SparkSession, folder: str) -> None:
+    """Raises unless every logged error is in the shards as an empty prediction."""
+    own = F.col("passthrough")
+    key = F.coalesce(own["utt_id"], own["key"], own["metadata_idx"].cast("string"), F.col("sample_key"))
+    rows = predictions.read_shards(spark, folder).select(
+        key.alias("key"), merge.first_prediction(F.col("pred")).alias("processed_transcript"), merge.first_prediction(F.col("pred"), "predicted_transcript").alias("predicted_transcript")
+    )
+    merge.check_errors_represented(predictions.read_error_keys(spark, folder), rows)
+
+
 def evaluate_folder(spark: SparkSession, folder: str, canonical_file: str | None = None, gt_field: str = "target", joint: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scored utterances, summary by language, audit) of a run's folder."""
     rows, audit = normalize_predictions(predictions.read_shards(spark, folder))

@@ -45,6 +45,12 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     return last_wins(records, ["sample_key"], ["file", "line_no"]).select("sample_key", "rec.pred", "rec.passthrough")
 
 
+def read_error_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """(key): the keys of a folder's error logs, files whose names hold ``.errors``; none if there is no such file."""
+    lines = read_lines(spark, f"{folder}/*.jsonl", ()).where(F.element_at(F.split("file", "/"), -1).contains(".errors"))
+    return lines.select(F.get_json_object("value", "$.key").alias("key")).where("key is not null").distinct()
+
+
 def read_predictions(spark: SparkSession, pattern: str, skip_cache: bool = True) -> DataFrame:
     """All records of the matching files, in no order, with their key if they have one."""
     lines = read_lines(spark, pattern, SKIPPED if skip_cache else ())

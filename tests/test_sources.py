@@ -69,6 +69,15 @@ def test_normalized_rows_keep_the_raw_text(spark, run_folder):
     assert row.passthrough.canonical_ipa_raw == "p t ɑ" and row.normalization_profile == ipa.PROFILE
 
 
+def test_error_logs_of_a_folder(spark, run_folder):
+    (run_folder / "prediction.errors.0.jsonl").write_text(json.dumps({"key": "u1", "error": {"type": "E"}}) + "\n")
+    evaluation.check_folder(spark, str(run_folder))
+    for bad in ("u0", "u7"):
+        (run_folder / "prediction.errors.1.jsonl").write_text(json.dumps({"key": bad}) + "\n")
+        with pytest.raises(ValueError, match=bad):
+            evaluation.check_folder(spark, str(run_folder))
+
+
 def test_flat_and_merged_records(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"pred": [], "passthrough": {"utt_id": "f"}}\n' + line("3", "p", "k") + "\n")
     got = sorted((r.sample_key or "", r.passthrough.utt_id) for r in predictions.read_predictions(spark, f"{tmp_path}/a.jsonl").collect())
