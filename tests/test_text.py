@@ -53,6 +53,19 @@ def test_projection(spark, raw, expected):
     assert got == expected
 
 
+def test_the_tree_finds_the_longest_token():
+    import random
+    import re
+
+    plain = re.compile("|".join(map(re.escape, phones.SCAN_TOKENS)))
+    tree = re.compile(phones.SCAN_PATTERN)
+    r = random.Random(2)
+    alphabet = sorted(set("".join(phones.SCAN_TOKENS))) + ["§", "\n"]
+    for _ in range(3000):
+        t = "".join(r.choice(phones.SCAN_TOKENS) if r.random() < 0.5 else r.choice(alphabet) for _ in range(r.randint(1, 12)))
+        assert tree.findall(t) == plain.findall(t), t
+
+
 def test_inventory_is_complete():
     assert len(set(phones.INVENTORY)) == 39
     assert {p for v in phones.PHONES_OF.values() for p in v} == set(phones.INVENTORY)
