@@ -12,7 +12,7 @@ def character_vocabulary(df: DataFrame, text: str, special: tuple[str, ...] = SP
     """(token, id, n): the characters in order of their code points behind the special tokens.  The window is over the
     distinct characters only."""
     chars = df.select(F.explode(F.split(text, "")).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
-    return chars.withColumn("id", F.row_number().over(Window.orderBy("token")) - 1 + len(special))
+    return chars.withColumn("id", F.row_number().over(Window.orderBy("token")).cast("long") - 1 + len(special))
 
 
 def id_map(vocabulary: dict[str, int]) -> Column:

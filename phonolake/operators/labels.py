@@ -105,7 +105,7 @@ def label_ids(df: DataFrame, column: str) -> DataFrame:
     """(label, id): distinct labels by sorted place, from zero.  The number of labels is that of classes."""
     from pyspark.sql import Window
 
-    return df.select(F.col(column).alias("label")).where("label is not null").distinct().withColumn("id", F.row_number().over(Window.orderBy("label")) - 1)
+    return df.select(F.col(column).alias("label")).where("label is not null").distinct().withColumn("id", F.row_number().over(Window.orderBy("label")).cast("long") - 1)
 
 
 def log_weighted_mean(df: DataFrame, score: str, count: str) -> DataFrame:

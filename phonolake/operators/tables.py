@@ -19,7 +19,7 @@ def latest_run(runs: DataFrame, by: list[str], modified: str, key: str) -> DataF
 
 def long_form(df: DataFrame, keys: list[str], names: str, values: str) -> DataFrame:
     """Two arrays of equal length as rows (keys..., place, name, value)."""
-    return df.select(*keys, F.posexplode(F.arrays_zip(F.col(names).alias("name"), F.col(values).alias("value"))).alias("place", "z")).select(*keys, "place", "z.name", "z.value")
+    return df.select(*keys, F.posexplode(F.arrays_zip(F.col(names).alias("name"), F.col(values).alias("value"))).alias("place", "z")).select(*keys, F.col("place").cast("long").alias("place"), "z.name", "z.value")
 
 
 def running_best(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:

@@ -296,7 +296,7 @@ SELECT doc_id, len(s) AS n_spans, coalesce(list_max(list_transform(s, lambda x:
 def q25_skipped_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.filter(F.split(F.regexp_replace("text", r"[ \n]", ""), "tion|ing|the|and|an|er|en|th"), lambda x: x != "")
     d = table(spark, sf_dir, "documents").select("doc_id", s.alias("s"))
-    return d.select("doc_id", F.size("s").alias("n_spans"), F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).alias("longest"))
+    return d.select("doc_id", F.size("s").cast("long").alias("n_spans"), F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).cast("long").alias("longest"))
 
 
 @query("""
@@ -385,7 +385,7 @@ SELECT conv_id, turn, i - 1 AS place, w[i] AS name, length(w[i]) AS value
 FROM (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '[a-z]+') AS w FROM conversations))""")
 def q36_long_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract_all("text", F.lit("([a-z]+)"), F.lit(1)).alias("w"))
-    return tables.long_form(c.withColumn("l", F.transform("w", F.length)), ["conv_id", "turn"], "w", "l")
+    return tables.long_form(c.withColumn("l", F.transform("w", lambda x: F.length(x).cast("long"))), ["conv_id", "turn"], "w", "l")
 
 
 @query("""
