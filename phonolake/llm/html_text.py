@@ -19,7 +19,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import Boxed
+from .shared import Boxed, tidy
 
 MAX_DEPTH = 150
 MAX_SPAN = 1000
@@ -384,4 +384,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
             )
 
     kind = slim.schema["page_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"page_id {kind}, title string, text string, n_chars long")
+    return slim.mapInArrow(tidy(run), f"page_id {kind}, title string, text string, n_chars long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Boxed
+from .shared import Boxed, tidy
 
 MAX_N = 4
 FEATURES = 1 << 15
@@ -131,7 +131,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int
             bits = [np.packbits(presence(t)).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("_u"), b.column("doc_id"), pa.array(bits, pa.binary())], names=["lang", "_u", "doc_id", "bits"])
 
-    got = few.select("lang", "_u", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "lang string, _u long, doc_id long, bits binary").collect()
+    got = few.select("lang", "_u", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(sets), "lang string, _u long, doc_id long, bits binary").collect()
     got.sort(key=lambda r: (r["lang"], r["_u"], r["doc_id"] is None, r["doc_id"] or 0, bytes(r["bits"])))
     x, labels, taken = [], [], {}
     for r in got:
@@ -158,4 +158,4 @@ def identify(
 
     inputs = named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     kind = inputs.schema["doc_id"].dataType.simpleString()
-    return inputs.mapInArrow(score, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return inputs.mapInArrow(tidy(score), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

@@ -15,6 +15,7 @@ Defined results: null text is empty and yields one piece with the single id 0; r
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_right
@@ -27,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Boxed, Growing, stored, text_of
+from .shared import Boxed, Growing, stored, text_of, tidy
 from .words import BATCH_BYTES, MAX_WORD, Remembered
 
 SEQ_LEN = 2048
 #: Pieces of words whose ids a worker remembers before it starts afresh.
-MAX_CACHED_WORDS = 1_500_000
+MAX_CACHED_WORDS = 400_000
 
 
 def default_tokenizer() -> str:
@@ -66,6 +67,8 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        # one thread a task: more threads would take the cores of other tasks, and memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -77,8 +80,11 @@ class WordTokenizer:
         self.start, self.count, self.flat = Growing("i8"), Growing("i8"), Growing("<u4")
 
     def _encode(self, pieces: list[bytes]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)
-        return [x.ids for x in found]
+        out: list[list[int]] = []
+        for at in range(0, len(pieces), 2048):  # an encoding is large; few are held at once
+            found = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces[at : at + 2048]], add_special_tokens=False)
+            out += [x.ids for x in found]
+        return out
 
     def _learn(self, pieces: list[bytes]) -> None:
         ids = self._encode(pieces)
@@ -175,7 +181,7 @@ def pieces(
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return slim.mapInArrow(cut, schema)
+    return slim.mapInArrow(tidy(cut), schema)
 
 
 def plan_bins(histogram: dict[int, int], seq_len: int = SEQ_LEN) -> list[tuple[list[int], int]]:
@@ -276,4 +282,4 @@ def pack(parts: DataFrame, seq_len: int = SEQ_LEN, rows_per_bucket: int = 200_00
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields)
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(place), f"{fields}, sequence_id long, offset long")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,14 +31,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: lineage ends there, so a lost executor
-    costs no recomputation of what came before."""
+    costs no recomputation of what came before.  ``few``: rows are short and few for each partition; a few tasks for each
+    core write them, not one for each partition of the last exchange."""
+    if few:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the size, from its plan alone; nothing is run."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def text_of(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
@@ -55,6 +67,25 @@ class Boxed:
         return df.select(*old, *[v.alias(k) for k, v in values.items() if k not in self.names])
 
 
+def _give_back() -> None:
+    """Returns what Arrow and the C library hold unused; otherwise a worker that waits keeps the peak of its last task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for mapInArrow, with unused memory returned when a partition is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
 class Growing:
     """A numpy array that grows at its end; its room doubles, so appending many times costs no more than once."""
 

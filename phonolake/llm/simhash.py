@@ -19,12 +19,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Boxed, stored
+from .shared import Boxed, stored, tidy
 
 SEED = 42
 SEGMENT_BITS = 2
@@ -34,10 +34,11 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _CHUNK = 1 << 16
 
 
-def fingerprint_of(text: str | None, words: int = 3) -> int:
-    """The signed 64-bit value of the fingerprint of one whole text."""
+def fingerprint_of(text: str | bytes | None, words: int = 3) -> int:
+    """The signed 64-bit value of the fingerprint of one whole text, or of its UTF-8 bytes."""
+    raw = text.encode("utf-8") if isinstance(text, str) else text or b""
     # bytes.split() without an argument splits at exactly the six ASCII white space characters
-    tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    tokens = raw.translate(_LOWER).split()
     if not tokens:
         return 0
     digest = xxhash.xxh64_intdigest
@@ -54,13 +55,17 @@ def fingerprint_of(text: str | None, words: int = 3) -> int:
     return int(np.packbits(set_bits, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "_fp") -> DataFrame:
-    @F.pandas_udf("long")
-    def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield pd.Series([fingerprint_of(x) for x in s], dtype="int64")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _fp) for each row."""
+    box = Boxed(docs)
+    slim = box.df.select(box.col(id_col).cast("long").alias("_id"), box.col(text_col).cast("string").alias("_t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.fromiter((fingerprint_of(x.as_py()) for x in b.column(1).cast(pa.binary())), np.int64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["_id", "_fp"])
 
-    return docs.withColumn(out, fp(F.col(text_col).cast("string")))
+    return slim.mapInArrow(tidy(run), "_id long, _fp long")
 
 
 def _counts(fp: Column) -> Column:
@@ -111,7 +116,11 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): for every node of ``edges`` (long columns a, b; any direction, repeats allowed) the smallest node
     of its component.  Alternating large-star and small-star rounds; each is written to the shared folder."""
-    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    def checksum(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", few=True)
+    before = checksum(e)
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -119,18 +128,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: every node's smaller neighbours and itself go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s")).select("s.u", "s.v").where("u <> v")
-        new = stored(small.distinct(), "edges")
-        same = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first() == e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        e = new
-        if same:
+        new = stored(small.distinct(), "edges", few=True)
+        e, after = new, checksum(new)
+        if after == before:
             roots = e.select(F.col("v").alias("node")).distinct()
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
+        before = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def classify(slim: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(_fp, _component) for each distinct fingerprint of ``slim`` (_id, _fp)."""
-    classes = stored(slim.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("rep")), "classes")
+    classes = stored(slim.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("rep")), "classes", few=True)
     found = components(links(classes.select("fp"), max_bits))
     named = found.join(classes.withColumnRenamed("fp", "node"), "node")
     lowest = named.groupBy("root").agg(F.min("rep").alias("low"))
@@ -142,20 +151,17 @@ def classify(slim: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """For each row of ``docs`` its id, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id reachable
     over links of at most ``max_bits`` bits."""
-    box = Boxed(docs)
-    slim = fingerprints(box.df.select(box.col(id_col).cast("long").alias("_id"), box.col(text_col).alias("_t")), "_t").drop("_t")
-    slim = stored(slim, "fingerprints")
+    slim = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     rows = slim.join(classify(slim, max_bits), "_fp")
     return rows.select(F.col("_id").alias(id_col), hex_of(F.col("_fp")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, one row for each id and text."""
-    box = Boxed(docs)
-    slim = fingerprints(box.df.select(box.col(id_col).cast("long").alias("_id"), box.col(text_col).alias("_t")), "_t").drop("_t")
-    slim = stored(slim, "fingerprints")
+    slim = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     rows = slim.join(classify(slim, max_bits), "_fp").where(F.col("_id").eqNullSafe(F.col("_component")))
     keepers = rows.select(F.col("_id").alias("_keep")).distinct()
+    box = Boxed(docs)
     base = box.df.withColumn("_id", box.col(id_col).cast("long")).withColumn("_th", F.xxhash64(box.col(text_col)))
     left = base.join(keepers, base["_id"].eqNullSafe(keepers["_keep"]), "left_semi")
     return box.restore(left.dropDuplicates(["_id", "_th"]), {})

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Boxed, scratch_path, stored, text_of
+from .shared import Boxed, planned_bytes, scratch_path, stored, text_of, tidy
 
 WINDOW = 400
 GRAM = 64
@@ -137,7 +137,8 @@ class Texts:
         box = Boxed(docs)
         base = box.df.select(box.col(id_col).cast("long").alias("id"), text_of(box.col(text_col)).alias("text"))
         base = base.select(F.coalesce("id", F.lit(-(2**63))).alias("dk"), F.xxhash64("text").alias("th"), "id", "text", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(batches)).cast("int").alias("batch"))
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # as many buckets as an exchange has partitions, but for tables that are too small to need them
+        n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, planned_bytes(base) >> 16))
         self.name = f"phonolake_texts_{uuid.uuid4().hex}"
         writer = base.repartition(n, *KEY).write.format("parquet").bucketBy(n, *KEY).option("path", scratch_path(spark, "texts"))
         writer.option("compression", "zstd").saveAsTable(self.name)
@@ -166,7 +167,7 @@ class SuffixFamily:
                     yield _arrow([(d, t, *s) for d, t, ss in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), found, strict=True) for s in ss], names, kinds)
 
         long_enough = texts.where(F.octet_length("text") >= window).select(*KEY, "text")
-        return long_enough.mapInArrow(run, "dk long, th long, gram long, seg long, a long, p long, b long")
+        return long_enough.mapInArrow(tidy(run), "dk long, th long, gram long, seg long, a long, p long, b long")
 
     @staticmethod
     def _merged(rows: DataFrame) -> DataFrame:
@@ -184,6 +185,18 @@ class SuffixFamily:
         self.levels.append((rank, stored(rows.sortWithinPartitions("gram", "seg"), f"level{rank}")))
         return own
 
+    def known(self, texts: DataFrame) -> DataFrame:
+        """(dk, th, s, e): the byte ranges of a new batch, not yet added, whose whole segments some level has.
+
+        The batch's array is merged with each level by key: a join of two sorted tables."""
+        own = self.suffixes(texts)
+        keys = own.select("gram", "seg").distinct()
+        found = [keys.join(level.select("gram", "seg"), ["gram", "seg"], "left_semi") for _, level in self.levels]
+        if not found:
+            return own.limit(0).select(*KEY, F.col("a").alias("s"), F.col("b").alias("e"))
+        hits = reduce(DataFrame.unionByName, found).distinct()
+        return own.join(hits, ["gram", "seg"], "left_semi").select(*KEY, F.col("a").alias("s"), (F.col("b") + self.window).alias("e"))
+
     def scan(self) -> tuple[DataFrame, DataFrame]:
         """Merges the levels: whole repeats (gram, seg) and occurrences that may be repeated in part (dk, th, a, p, b)."""
         rows = reduce(DataFrame.unionByName, [x for _, x in self.levels])
@@ -221,7 +234,7 @@ def _nodes(texts: DataFrame, partly: DataFrame, window: int, node: int) -> DataF
             yield _arrow(rows, names, kinds)
 
     joined = texts.select(*KEY, "text").join(lists.hint("shuffle_merge"), KEY).select(*KEY, "text", "segs")
-    return joined.mapInArrow(run, "core long, span long, dk long, th long, lo long, hi long")
+    return joined.mapInArrow(tidy(run), "core long, span long, dk long, th long, lo long, hi long")
 
 
 def _windows(texts: DataFrame, nodes: DataFrame, window: int) -> DataFrame:
@@ -249,7 +262,7 @@ def _windows(texts: DataFrame, nodes: DataFrame, window: int) -> DataFrame:
             yield flush(digests, owners)
 
     joined = texts.select(*KEY, "text").join(lists.hint("shuffle_merge"), KEY).select(*KEY, "text", "ranges")
-    return joined.mapInArrow(run, "w1 long, w2 long, dk long, th long, i long")
+    return joined.mapInArrow(tidy(run), "w1 long, w2 long, dk long, th long, i long")
 
 
 def _repeated_spans(spark: SparkSession, texts: DataFrame, family: SuffixFamily, window: int, node: int) -> DataFrame:
@@ -260,12 +273,12 @@ def _repeated_spans(spark: SparkSession, texts: DataFrame, family: SuffixFamily,
 
     nodes = stored(_nodes(texts, partly, window, node), "nodes")
     twice = nodes.where("span is not null").groupBy("core", "span").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "lo", "hi")).alias("one")).where("n > 1")
-    twice = stored(twice, "twice")
+    twice = stored(twice, "twice", few=True)
     of_nodes = nodes.join(twice.select("core", "span"), ["core", "span"], "left_semi").select(*KEY, F.col("lo").alias("s"), (F.col("hi") + window).alias("e"))
 
     open_ = nodes.join(twice.select("core", "span"), ["core", "span"], "left_anti")
     cores = nodes.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    open_ = stored(open_.join(cores, "core", "left_semi"), "open")
+    open_ = stored(open_.join(cores, "core", "left_semi"), "open", few=True)
     # a window may be repeated in a node that is settled: one such node of each kind stands in for all
     stand_in = twice.join(open_.select("core").distinct(), "core", "left_semi").select("one.*")
     windows = stored(_windows(texts, open_.select(*KEY, "lo", "hi").unionByName(stand_in), window), "windows")
@@ -319,7 +332,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 rows.append(row + (kept, [{"s": s, "e": e} for s, e in runs]) if with_kept else row)
             yield _arrow(rows, names, kinds)
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)
+    return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)
 
 
 def dedup_digests(docs: DataFrame) -> DataFrame:

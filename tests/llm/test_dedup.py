@@ -87,6 +87,19 @@ def test_levels_merge_geometrically(spark):
     assert ranks == [[0], [1], [1, 0], [2]]
 
 
+def test_a_new_batch_is_scanned_against_the_levels(spark):
+    family, passage = suffix_dedup.SuffixFamily(spark), words(400, 77)
+    new = spark.createDataFrame([(9, 9, words(30, 5) + passage + words(30, 6)), (10, 10, words(300, 8))], "dk long, th long, text string")
+    assert family.known(new).count() == 0
+    for i in range(3):
+        family.add(spark.createDataFrame([(i, i, words(40, i) + (passage if i == 1 else "") + words(200, 20 + i))], "dk long, th long, text string"))
+    found = family.known(new).collect()
+    before, inside = len(words(30, 5).encode()), len(passage.encode())
+    assert found and {r.dk for r in found} == {9}
+    assert all(before <= r.s and r.e <= before + inside for r in found)
+    assert max(r.e for r in found) - min(r.s for r in found) > inside - 2 * 400
+
+
 def groups_by_hand(fps):
     ids = sorted(fps)
     root = {i: i for i in ids}

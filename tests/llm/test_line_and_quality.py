@@ -127,3 +127,12 @@ def test_a_filter_on_the_verdict_does_not_unfold_the_steps(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     kept = quality.judge(df).where("kept and n_repeat_words < 1000").select("doc_id", "clean_text")
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.judge(df).collect() if r.kept}
+
+
+def test_key_parts_in_spark(spark):
+    lines = [" Abc É\t", "abc É", "abc é", "KELVIN K", "kelvin K", "kelvin k", "İ i", "i̇ i", "ΑΣ", "ας", "ασ", "", "\x0b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string")
+    rows = df.select("i", line_dedup.line_key(F.col("t")).alias("k"), F.struct(*line_dedup.key_parts(F.btrim("t", F.lit(SPACE)))).alias("p")).collect()
+    keys = {r.i: r.k for r in rows}
+    assert keys == {i: t.strip(SPACE).translate(LOWER) for i, t in enumerate(lines)}
+    assert all((a.k == b.k) == (a.p == b.p) for a in rows for b in rows)
