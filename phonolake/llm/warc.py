@@ -9,8 +9,8 @@ share is one row a task; digests and ids alone are joined with the counts, in an
 splits, and the verdict joins the payloads by id.
 
 Files are written by executors, under a name of their task attempt, and renamed into place; a task that runs again
-writes the same bytes (records are sorted by id within an archive) under the same final name.  The folder must be
-one that all executors share and see as a file path.  Reading goes through the list of archives written.
+writes the same bytes (records are sorted by id within an archive) under the same final name.  Where the shared
+folder is in a store that is no file path, archives are rows of a table there.  Reading goes through the list of archives.
 
 Defined results: null html is the empty payload; a null url is written as an empty target; rows that repeat an id are
 records of their own (of equal payloads the smallest id is the response, and of equal ids and payloads the first row);
@@ -20,10 +20,13 @@ a null id gets a record without an id header and is read back as null.
 from __future__ import annotations
 
 import hashlib
+import io
 import os
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
+from typing import BinaryIO
 from urllib.parse import urlparse
 from urllib.request import url2pathname
 
@@ -33,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Boxed, scratch_path, stored
+from .shared import Boxed, scratch_path, stored, tidy
 
 #: First bytes of the skippable frame that holds the dictionary.
 DICT_MAGIC = 0x184D2A5D
@@ -76,7 +79,7 @@ def build_dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict | No
         return zstandard.ZstdCompressionDict(b"".join(samples)[-DICT_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def write_archive(path: str, records: Iterator[bytes], sample_bytes: int = SAMPLE_BYTES) -> int:
+def write_stream(f: BinaryIO, records: Iterator[bytes], sample_bytes: int = SAMPLE_BYTES) -> int:
     """Writes one archive and returns its number of records."""
     held, size = [], 0
     for r in records:
@@ -85,50 +88,60 @@ def write_archive(path: str, records: Iterator[bytes], sample_bytes: int = SAMPL
         if size >= sample_bytes:
             break
     dictionary = build_dictionary(held)
+    if dictionary is None:
+        return 0
+    # the dictionary is itself compressed, as its frame allows
+    raw = zstandard.ZstdCompressor(level=3).compress(dictionary.as_bytes())
+    f.write(struct.pack("<II", DICT_MAGIC, len(raw)) + raw)
+    packer = zstandard.ZstdCompressor(level=3, dict_data=dictionary)
     n = 0
+    for r in chain(held, records):
+        f.write(packer.compress(r))
+        n += 1
+    return n
+
+
+def write_archive(path: str, records: Iterator[bytes], sample_bytes: int = SAMPLE_BYTES) -> int:
+    """One archive as a file, which is there whole or not at all."""
     partial = f"{path}.{uuid.uuid4().hex}.tmp"
     with open(partial, "wb") as f:
-        if dictionary is not None:
-            # the dictionary is itself compressed, as its frame allows
-            raw = zstandard.ZstdCompressor(level=3).compress(dictionary.as_bytes())
-            f.write(struct.pack("<II", DICT_MAGIC, len(raw)) + raw)
-            packer = zstandard.ZstdCompressor(level=3, dict_data=dictionary)
-            for part in (held, records):
-                for r in part:
-                    f.write(packer.compress(r))
-                    n += 1
+        n = write_stream(f, records, sample_bytes)
         f.flush()
         os.fsync(f.fileno())
     os.replace(partial, path)
     return n
 
 
-def read_archive(path: str) -> Iterator[bytes]:
+def read_stream(f: BinaryIO, name: str = "archive") -> Iterator[bytes]:
     """The records of one archive, in order, one in memory at a time."""
-    with open(path, "rb") as f:
-        head = f.read(8)
-        if not head:
+    head = f.read(8)
+    if not head:
+        return
+    magic, size = struct.unpack("<II", head)
+    if magic != DICT_MAGIC:
+        raise ValueError(f"{name}: no dictionary frame")
+    raw = zstandard.ZstdDecompressor().decompress(f.read(size))
+    trained = raw[:4] == b"\x37\xa4\x30\xec"
+    dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT)
+    unpacker = zstandard.ZstdDecompressor(dict_data=dictionary)
+    rest = b""
+    while True:
+        chunk = rest or f.read(1 << 18)
+        if not chunk:
             return
-        magic, size = struct.unpack("<II", head)
-        if magic != DICT_MAGIC:
-            raise ValueError(f"{path}: no dictionary frame")
-        raw = zstandard.ZstdDecompressor().decompress(f.read(size))
-        trained = raw[:4] == b"\x37\xa4\x30\xec"
-        dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT)
-        unpacker = zstandard.ZstdDecompressor(dict_data=dictionary)
-        rest = b""
-        while True:
-            chunk = rest or f.read(1 << 18)
+        one, out = unpacker.decompressobj(), []
+        while not one.eof:
             if not chunk:
-                return
-            one, out = unpacker.decompressobj(), []
-            while not one.eof:
-                if not chunk:
-                    raise ValueError(f"{path}: a record is cut off")
-                out.append(one.decompress(chunk))
-                chunk = b"" if one.eof else f.read(1 << 18)
-            rest = one.unused_data
-            yield b"".join(out)
+                raise ValueError(f"{name}: a record is cut off")
+            out.append(one.decompress(chunk))
+            chunk = b"" if one.eof else f.read(1 << 18)
+        rest = one.unused_data
+        yield b"".join(out)
+
+
+def read_archive(path: str) -> Iterator[bytes]:
+    with open(path, "rb") as f:
+        yield from read_stream(f, path)
 
 
 def parse_record(raw: bytes) -> dict:
@@ -142,19 +155,20 @@ def parse_record(raw: bytes) -> dict:
     return fields
 
 
-def local_path(path: str) -> str:
-    """The file path of a folder named as a path or file URI."""
+def local_path(path: str) -> str | None:
+    """The file path of a folder named as a path or file URI; none for other stores."""
     u = urlparse(path)
-    if u.scheme in ("", "file"):
-        return url2pathname(u.path)
-    raise ValueError(f"{path}: archives are written to a folder that executors see as a file path")
+    return url2pathname(u.path) if u.scheme in ("", "file") else None
 
 
 def write_pages(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
     min_revisit_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES, date: str = "2024-01-01T00:00:00Z",
 ) -> DataFrame:
-    """Writes the archives into ``folder`` and returns their list: (path, n_records).
+    """Writes the archives into ``folder`` and returns their list: (path, n_records, content).
+
+    Archives are files where the folder is a file path that all executors share (content is null), and rows of a table in
+    the folder where it is in a store that only Spark writes to.
 
     A task writes its pages in order of id, and begins another archive after ``archive_bytes`` of records."""
     box = Boxed(pages)
@@ -176,10 +190,12 @@ def write_pages(
     marked = marked.withColumn("payload", F.when(F.col("_again"), F.lit(b"")).otherwise(F.col("payload")))
     ordered = marked.select("page_id", "url", "payload", "digest", "n_bytes", "_first", "_again").sortWithinPartitions("page_id", "digest", "url")
     target = local_path(folder)
-    os.makedirs(target, exist_ok=True)
+    if target:
+        os.makedirs(target, exist_ok=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(target, exist_ok=True)
+        if target:
+            os.makedirs(target, exist_ok=True)
         last: list[tuple] = [()]
 
         def records() -> Iterator[bytes]:
@@ -190,7 +206,7 @@ def write_pages(
                     kind = "revisit" if again or twin else "response"
                     yield record(page_id, url, b"" if twin else payload, digest, n_bytes, kind, page_id if twin else first, date)
 
-        source, done = records(), []
+        source, n_done = records(), 0
         head = next(source, None)
         while head is not None:
             size = 0
@@ -207,15 +223,26 @@ def write_pages(
                         return
                 head = None
 
-            path = f"{target}/pages-{TaskContext.get().partitionId():06d}-{len(done):04d}.warc.zst"
-            done.append((path, write_archive(path, some())))
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["path", "n_records"])
+            name = f"pages-{TaskContext.get().partitionId():06d}-{n_done:04d}.warc.zst"
+            n_done += 1
+            if target:
+                path, content = f"{target}/{name}", None
+                n = write_archive(path, some())
+            else:
+                path, held = f"{folder}/{name}", io.BytesIO()
+                n = write_stream(held, some())
+                content = held.getvalue()
+            yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([n], pa.int64()), pa.array([content], pa.binary())], names=["path", "n_records", "content"])
 
-    return stored(ordered.mapInArrow(write, "path string, n_records long"), "archives")
+    archives = ordered.mapInArrow(tidy(write), "path string, n_records long, content binary")
+    if target:
+        return stored(archives, "archives")
+    archives.write.parquet(f"{folder}/archives")
+    return pages.sparkSession.read.schema(archives.schema).parquet(f"{folder}/archives")
 
 
 def read_pages(spark: SparkSession, archives: DataFrame, with_payload: bool = False) -> DataFrame:
-    """The records of ``archives`` (path): page_id, payload_bytes, payload_digest, record_type, refers_to, url[, payload].
+    """The records of ``archives`` (path, content): page_id, payload_bytes, payload_digest, record_type, refers_to, url[, payload].
 
     A response's payload is hashed again and must have the digest that its header states."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + (", payload binary" if with_payload else "")
@@ -228,9 +255,9 @@ def read_pages(spark: SparkSession, archives: DataFrame, with_payload: bool = Fa
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path in b.column(0).to_pylist():
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows, size = [], 0
-                for raw in read_archive(path):
+                for raw in read_stream(io.BytesIO(content.as_py()), path) if content.is_valid else read_archive(path):
                     f = parse_record(raw)
                     digest, kind = f["warc-payload-digest"].removeprefix("sha256:"), f["warc-type"]
                     if kind == "response" and (hashlib.sha256(f["payload"]).hexdigest() != digest or len(f["payload"]) != int(f["x-payload-length"])):
@@ -243,9 +270,8 @@ def read_pages(spark: SparkSession, archives: DataFrame, with_payload: bool = Fa
                         rows, size = [], 0
                 yield flush(rows)
 
-    names = archives.select("path")
     # one archive a task: the list is short and its rows are whole files
-    return names.repartition(max(1, min(archives.count(), 4096)), "path").mapInArrow(read, schema)
+    return archives.select("path", "content").repartition(max(1, min(archives.count(), 4096)), "path").mapInArrow(tidy(read), schema)
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:

@@ -45,6 +45,15 @@ def test_payloads_come_back(spark, tmp_path):
     assert warc.archive_round_trip(df.limit(0), f"{tmp_path}/e").count() == 0
 
 
+def test_archives_in_a_store_that_is_no_file_path(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "local_path", lambda path: None)
+    df = spark.createDataFrame([(i, f"u{i}", PAGE + str(i // 2)) for i in range(40)], "page_id long, url string, html string")
+    archives = warc.write_pages(df, f"file://{tmp_path}/s", archive_bytes=2000)
+    assert archives.where("content is null").count() == 0 and archives.count() > 4
+    rows = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_pages(spark, archives).collect()}
+    assert rows == {i: ("revisit", i - 1) if i % 2 else ("response", None) for i in range(40)}
+
+
 def test_repeated_and_null_ids(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", PAGE), (1, "a", PAGE), (None, "n", PAGE)], "page_id long, url string, html string")
     rows = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.archive_round_trip(df, str(tmp_path)).collect())
