@@ -127,6 +127,12 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": f"""
 WITH src AS (SELECT doc_id, text FROM documents), {LINE_DEDUP_CTES}
 SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM deduped""",
+        "op3_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, n >= 100 AND min(page_id) OVER (PARTITION BY digest) <> page_id AS again, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first END AS refers_to
+FROM f""",
         "op4_quality_rules": f"""
 WITH src AS (SELECT doc_id, text FROM documents), {QUALITY_CTES}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lost_chars FROM judged""",
