@@ -25,7 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Boxed, Growing
+from .shared import Boxed, Growing, tidy
+from .words import BATCH_BYTES, MAX_WORD, Remembered
 
 WINDOW = 5
 MIN_SHARE = 0.8
@@ -33,7 +34,7 @@ MIN_SHARE = 0.8
 MIN_LITERALS = 2
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 8 << 20
-MAX_CACHED_WORDS = 800_000
+MAX_CACHED_WORDS = 400_000
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hrs hour hours day days week weeks year years percent"
     " dollars euros cents meters metres miles kilometers kilograms grams liters litres seconds minutes degrees".split()
@@ -62,41 +63,55 @@ def _word(raw: str) -> tuple[int, int]:
     return xxhash.xxh64_intdigest(low.encode()), flags
 
 
+_GAP = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+
+
 class Reader:
-    """Reads texts as hashed tokens; remembers words, as far as ``MAX_CACHED_WORDS`` allows."""
+    """Reads texts as hashed tokens, many at once; remembers words, as far as ``MAX_CACHED_WORDS`` allows."""
 
     def __init__(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.words = Remembered(None, MAX_CACHED_WORDS)
         self.hash, self.flags = Growing("u8"), Growing("u1")
 
-    def read(self, raw: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the tokens of UTF-8 bytes: literal hash, template hash, whether a slot."""
-        words = (raw or b"").split()
-        at = list(map(self.index.get, words))
-        if None in at:
-            if len(self.index) > MAX_CACHED_WORDS:
-                self.__init__()
-            new = [w for w in dict.fromkeys(words) if w not in self.index]
-            made = [_word(w.decode("utf-8")) for w in new]
-            first = len(self.index)
-            self.index.update(zip(new, range(first, first + len(new)), strict=True))
-            self.hash.extend(np.array([m[0] for m in made], np.uint64))
-            self.flags.extend(np.array([m[1] for m in made], np.uint8))
-            at = list(map(self.index.__getitem__, words))
-        at = np.array(at, np.int64)
-        flags = self.flags.room[at]
-        ends = np.ones(len(at), bool)
+    def _learn(self, words: list[bytes]) -> None:
+        made = [_word(w.decode("utf-8")) for w in words]
+        self.hash.extend(np.array([m[0] for m in made], np.uint64))
+        self.flags.extend(np.array([m[1] for m in made], np.uint8))
+
+    def read_many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the tokens of UTF-8 texts, one text after the other: literal hash, template hash, whether a slot; and where
+        each text begins, with the end behind the last."""
+        if self.words.full:
+            self.__init__()
+        joined = b" ".join(texts)
+        raw = np.frombuffer(joined, np.uint8)
+        gap = np.concatenate([[True], _GAP[raw], [True]])
+        start, end = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+        bounds = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        short = end - start <= MAX_WORD
+        literal, flags = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint8)
+        at = self.words.numbers(joined, raw, start[short], end[short], self._learn)
+        literal[short], flags[short] = self.hash.room[at], self.flags.room[at]
+        for k in np.flatnonzero(~short).tolist():
+            literal[k], flags[k] = _word(joined[start[k] : end[k]].decode("utf-8"))
+        ends = np.ones(len(start), bool)  # a token begins a sentence at the beginning and behind a token that ends one
         ends[1:] = (flags[:-1] & ENDS) > 0
+        ends[bounds[:-1][bounds[:-1] < len(start)]] = True
         real = (flags & EMPTY) == 0
-        literal, flags, ends = self.hash.room[at][real], flags[real], ends[real]
+        bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
+        literal, flags, ends = literal[real], flags[real], ends[real]
         number = (flags & DIGIT) > 0
         after = np.zeros(len(flags), bool)
         after[1:] = number[:-1]
+        after[bounds[:-1][bounds[:-1] < len(flags)]] = False
         unit = after & ((flags & IS_UNIT) > 0)
         name = ((flags & CAP) > 0) & ~ends & ~unit
         template = literal.copy()
         template[number], template[unit], template[name] = _NUM, _UNIT, _NAME
-        return literal, template, number | unit | name
+        return literal, template, number | unit | name, bounds
+
+    def read(self, raw: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.read_many([raw or b""])[:3]
 
 
 _READERS: list[Reader] = []
@@ -155,6 +170,20 @@ class Index:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hash >> np.uint64(44)).astype(np.int64)] = True
 
+    def candidates(self, template: np.ndarray, slot: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Of many texts, those with a window that the items have."""
+        text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        found = [np.zeros(0, np.int64)]
+        for size in {self.size, *self.short}:
+            if len(template) < size:
+                continue
+            h = windows(template, slot, size)[0]
+            at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(self.hash, h[at]), len(self.hash) - 1)
+            at = at[self.hash[place] == h[at]] if len(self.hash) else at[:0]
+            found.append(text_of[at[text_of[at] == text_of[at + size - 1]]])
+        return np.unique(np.concatenate(found))
+
     def search(self, literal: np.ndarray, template: np.ndarray, slot: np.ndarray, min_share: float) -> list[tuple]:
         """(item id, windows hit, windows, share, same values) of each item that the text holds."""
         hits: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
@@ -215,14 +244,32 @@ def contaminated(
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            reader = worker_reader()
+            reader, index = worker_reader(), shared.value
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            names = ["doc_id", "item_id", "n_hit", "n_windows", "share", "same_values"]
+
+            def some(ids: list[int | None], texts: list[bytes]) -> list[tuple]:
+                literal, template, slot, bounds = reader.read_many(texts)
+                rows = []
+                for k in index.candidates(template, slot, bounds).tolist():
+                    own = slice(bounds[k], bounds[k + 1])
+                    rows += [(ids[k], *f) for f in index.search(literal[own], template[own], slot[own], min_share)]
+                return rows
+
             for b in batches:
-                rows = [(d, *f) for d, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True) for f in shared.value.search(*reader.read(t.as_py()), min_share)]
+                rows, ids, held, size = [], [], [], 0
+                for d, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
+                    ids.append(d)
+                    held.append(t.as_py() or b"")
+                    size += len(held[-1])
+                    if size >= BATCH_BYTES:
+                        rows += some(ids, held)
+                        ids, held, size = [], [], 0
+                rows += some(ids, held)
                 cols = list(zip(*rows, strict=True)) or [()] * 6
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "n_hit", "n_windows", "share", "same_values"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-        found = slim.mapInArrow(look, "doc_id long, item_id long, n_hit long, n_windows long, share double, same_values boolean")
+        found = slim.mapInArrow(tidy(look), "doc_id long, item_id long, n_hit long, n_windows long, share double, same_values boolean")
         out = found if out is None else out.unionByName(found)
     return out.distinct()
 
