@@ -33,7 +33,7 @@ def ordinal(value: Column, low: int, high: int, clamp: bool = True) -> Column:
 
 
 def in_test_split(split: Column) -> Column:
-    return F.coalesce(split, F.lit("test")) == "test"
+    return split.isNull() | (split == "test")
 
 
 def confusion(df: DataFrame, pred: str, target: str, by: list[str] | None = None) -> DataFrame:

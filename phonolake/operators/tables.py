@@ -40,7 +40,7 @@ def group_statistics(df: DataFrame, by: list[str], member: str, value: str) -> D
 
 
 def excluded(df: DataFrame, column: str, ids: list[str]) -> DataFrame:
-    return df.where(~F.coalesce(F.col(column).isin(ids), F.lit(False)))
+    return df.where(F.col(column).isNull() | ~F.col(column).isin(ids))
 
 
 def ordinal_from_logits(logits: Column, threshold: float = 0.5) -> Column:
