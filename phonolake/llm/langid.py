@@ -58,17 +58,17 @@ def presence(text: str) -> np.ndarray:
 
 
 class KernelModel:
-    """One matrix of features by languages, and the languages."""
+    """One matrix of features by languages, a constant for each, and the languages."""
 
-    def __init__(self, languages: list[str], weights: np.ndarray):
-        self.languages, self.weights = languages, weights
+    def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray):
+        self.languages, self.weights, self.bias = languages, weights, bias
 
     @classmethod
     def fit(cls, x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
         """x: rows of presences; labels: their languages."""
         languages = sorted(set(labels))
         if not languages:
-            return cls([], np.zeros((FEATURES, 0), np.float32))
+            return cls([], np.zeros((FEATURES, 0), np.float32), np.zeros(0, np.float32))
         y = np.array([languages.index(v) for v in labels])
         x = x.astype(np.float32)
         x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
@@ -82,11 +82,7 @@ class KernelModel:
         share = 1 / np.bincount(y)[y]  # languages weigh the same, whatever their share of the sample
         a = phi.T @ (phi * share[:, None])
         b = np.linalg.solve(a + ridge * np.trace(a) / len(a) * np.eye(len(a)), phi.T @ (target * share[:, None]))
-        model = cls(languages, (mark.T @ (root @ b[:-1])).astype(np.float32))
-        model.bias = b[-1].astype(np.float32)
-        return model
-
-    bias: np.ndarray = np.zeros(0, np.float32)
+        return cls(languages, (mark.T @ (root @ b[:-1])).astype(np.float32), b[-1].astype(np.float32))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """One matrix product for a batch of presences."""

@@ -1,9 +1,8 @@
 """SimHash near-dedup by the segment-popcount embedding.
 
-Each text becomes a 64-bit fingerprint.  A fingerprint is embedded as the numbers of set bits in segments of
-``SEGMENT_BITS`` bits.  One differing bit changes one count by one, so the Manhattan distance of two embeddings is a
-lower bound of the Hamming distance of the fingerprints.  Fingerprints that differ in at most three bits differ by at
-most one in the counts of at least one half of the segments: each half is a grid whose cells are vectors of counts, and
+Each text becomes a 64-bit fingerprint.  A fingerprint is embedded as the numbers of set bits in segments of two bits.
+One differing bit changes one count by one, so the Manhattan distance of two embeddings is a lower bound of the Hamming distance of the fingerprints.  Fingerprints that differ in at most three bits have,
+in one half of the segments at least, counts that differ by one in all at most: each half is a grid whose cells are vectors of counts, and
 the range-join pairs a cell with itself and with the cells one step up in one direction (the step down is the same pair
 seen from the other side).  Candidates must then pass the Manhattan bound over all segments and the exact test.
 
@@ -27,7 +26,6 @@ from pyspark.sql import functions as F
 from .shared import Boxed, stored, tidy
 
 SEED = 42
-SEGMENT_BITS = 2
 MAX_BITS = 3
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Shingles whose bits are counted at once.
