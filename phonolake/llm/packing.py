@@ -33,7 +33,7 @@ from .words import BATCH_BYTES, MAX_WORD, Remembered
 
 SEQ_LEN = 2048
 #: Pieces of words whose ids a worker remembers before it starts afresh.
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 900_000
 
 
 def default_tokenizer() -> str:
