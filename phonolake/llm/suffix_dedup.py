@@ -13,7 +13,8 @@ repeated as a whole; segments that share their gram with other segments may be r
 Partly repeated segments are resolved exactly.  Their windows are grouped in nodes of ``NODE`` neighbours: a node whose
 whole span is found twice is repeated; a node whose common core is found once only is not; what is left is decided
 window by window.  Counts are plain sums of hashed keys with partial aggregation, so a string that a third of all
-documents hold is a few rows, and no group of occurrences meets in one task.  Equality is decided by 128 bits of hashes.
+documents hold is a few rows, and no group of occurrences meets in one task.  Segments and nodes are equal if a 64-bit hash of the
+whole and one of a part are; single windows, if 128 bits are.
 
 Texts are stored once in the shared folder, dealt into buckets by document, and the three passes that need bytes join
 that table without a shuffle of texts.
