@@ -232,8 +232,18 @@ def contaminated(
     item_text_col: str = "text", min_share: float = MIN_SHARE, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(doc_id, item_id, n_hit, n_windows, share, same_values): every document and item that it holds."""
+    found = _held(docs, benchmark, id_col, text_col, item_col, item_text_col, min_share, window, block_bytes)
+    return found.drop("_th").distinct()
+
+
+def _held(
+    docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str,
+    min_share: float, window: int, block_bytes: int,
+) -> DataFrame:
+    """The columns of ``contaminated`` behind ``_th``, the text's hash, which tells rows of one id, or of none, apart."""
     box, bench = Boxed(docs), Boxed(benchmark)
-    slim = box.df.select(box.col(id_col).cast("long").alias("doc_id"), box.col(text_col).cast("string").alias("text"))
+    text = box.col(text_col).cast("string")
+    slim = box.df.select(F.xxhash64(text).alias("_th"), box.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     items = bench.df.select(bench.col(item_col).cast("long").alias("i"), bench.col(item_text_col).cast("string").alias("t")).where("t is not null").distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
@@ -245,38 +255,42 @@ def contaminated(
 
         def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             reader, index = worker_reader(), shared.value
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-            names = ["doc_id", "item_id", "n_hit", "n_windows", "share", "same_values"]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            names = ["_th", "doc_id", "item_id", "n_hit", "n_windows", "share", "same_values"]
 
-            def some(ids: list[int | None], texts: list[bytes]) -> list[tuple]:
+            def some(ids: list[tuple[int, int | None]], texts: list[bytes]) -> list[tuple]:
                 literal, template, slot, bounds = reader.read_many(texts)
                 rows = []
                 for k in index.candidates(template, slot, bounds).tolist():
                     own = slice(bounds[k], bounds[k + 1])
-                    rows += [(ids[k], *f) for f in index.search(literal[own], template[own], slot[own], min_share)]
+                    rows += [(*ids[k], *f) for f in index.search(literal[own], template[own], slot[own], min_share)]
                 return rows
 
             for b in batches:
                 rows, ids, held, size = [], [], [], 0
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
-                    ids.append(d)
+                for h, d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
+                    ids.append((h, d))
                     held.append(t.as_py() or b"")
                     size += len(held[-1])
                     if size >= BATCH_BYTES:
                         rows += some(ids, held)
                         ids, held, size = [], [], 0
                 rows += some(ids, held)
-                cols = list(zip(*rows, strict=True)) or [()] * 6
+                cols = list(zip(*rows, strict=True)) or [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-        found = slim.mapInArrow(tidy(look), "doc_id long, item_id long, n_hit long, n_windows long, share double, same_values boolean")
+        found = slim.mapInArrow(tidy(look), "_th long, doc_id long, item_id long, n_hit long, n_windows long, share double, same_values boolean")
         out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item."""
-    bad = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_bad")).distinct()
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", min_share: float = MIN_SHARE, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item; rows that share an id, or have none, are judged one by one."""
+    held = _held(docs, benchmark, id_col, text_col, item_col, item_text_col, min_share, window, block_bytes)
+    bad = held.select(F.col("doc_id").alias("_bad"), F.col("_th").alias("_bth")).distinct()
     box = Boxed(docs)
-    base = box.df.withColumn("_id", box.col(id_col).cast("long"))
-    return box.restore(base.join(bad, base["_id"].eqNullSafe(bad["_bad"]), "left_anti"), {})
+    base = box.df.withColumn("_id", box.col(id_col).cast("long")).withColumn("_th", F.xxhash64(box.col(text_col).cast("string")))
+    return box.restore(base.join(bad, base["_id"].eqNullSafe(bad["_bad"]) & (base["_th"] == bad["_bth"]), "left_anti"), {})

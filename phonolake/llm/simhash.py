@@ -54,16 +54,17 @@ def fingerprint_of(text: str | bytes | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _fp) for each row."""
+    """(_id, _th, _fp) for each row; ``_th`` tells texts of one id, or of none, apart."""
     box = Boxed(docs)
-    slim = box.df.select(box.col(id_col).cast("long").alias("_id"), box.col(text_col).cast("string").alias("_t"))
+    text = box.col(text_col).cast("string")
+    slim = box.df.select(box.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint_of(x.as_py()) for x in b.column(1).cast(pa.binary())), np.int64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["_id", "_fp"])
+            fps = np.fromiter((fingerprint_of(x.as_py()) for x in b.column(2).cast(pa.binary())), np.int64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["_id", "_th", "_fp"])
 
-    return slim.mapInArrow(tidy(run), "_id long, _fp long")
+    return slim.mapInArrow(tidy(run), "_id long, _th long, _fp long")
 
 
 def _counts(fp: Column) -> Column:
@@ -136,14 +137,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def classify(slim: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(_fp, _component) for each distinct fingerprint of ``slim`` (_id, _fp)."""
+    """(_fp, _component, _root) for each distinct fingerprint of ``slim`` (_id, _fp); ``_root``, a fingerprint, tells
+    components of the same smallest id apart."""
     classes = stored(slim.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("rep")), "classes", few=True)
     found = components(links(classes.select("fp"), max_bits))
     named = found.join(classes.withColumnRenamed("fp", "node"), "node")
     lowest = named.groupBy("root").agg(F.min("rep").alias("low"))
-    linked = named.join(lowest, "root").select(F.col("node").alias("_fp"), "low")
+    linked = named.join(lowest, "root").select(F.col("node").alias("_fp"), "low", "root")
     per_class = classes.withColumnRenamed("fp", "_fp").join(linked, "_fp", "left")
-    return per_class.select("_fp", F.coalesce("low", "rep").alias("_component"))
+    return per_class.select("_fp", F.coalesce("low", "rep").alias("_component"), F.coalesce("root", "_fp").alias("_root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -155,13 +157,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, one row for each id and text."""
+    """One row of each component: that of the smallest id, null last, and of the smallest hash of the text where texts
+    share that id.  Neither a null id nor one that comes back in another component keeps a row or loses one."""
     slim = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    rows = slim.join(classify(slim, max_bits), "_fp").where(F.col("_id").eqNullSafe(F.col("_component")))
-    keepers = rows.select(F.col("_id").alias("_keep")).distinct()
+    rows = slim.join(classify(slim, max_bits), "_fp")
+    first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_th"))
+    keepers = rows.groupBy("_root").agg(first.alias("k")).select(F.col("k._id").alias("_keep"), F.col("k._th").alias("_kth"))
     box = Boxed(docs)
-    base = box.df.withColumn("_id", box.col(id_col).cast("long")).withColumn("_th", F.xxhash64(box.col(text_col)))
-    left = base.join(keepers, base["_id"].eqNullSafe(keepers["_keep"]), "left_semi")
+    base = box.df.withColumn("_id", box.col(id_col).cast("long")).withColumn("_th", F.xxhash64(box.col(text_col).cast("string")))
+    left = base.join(keepers, base["_id"].eqNullSafe(keepers["_keep"]) & (base["_th"] == keepers["_kth"]), "left_semi")
     return box.restore(left.dropDuplicates(["_id", "_th"]), {})
 
 
