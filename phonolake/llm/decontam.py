@@ -1,12 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts are read as tokens (runs without ASCII white space, reduced to their letters and digits).  Numbers, units after
-numbers, and names (capitalised words inside a sentence) become typed placeholders, so that a question with other
-numbers or names has the same template.  Windows of ``WINDOW`` template tokens are hashed and looked up in the windows of
-the benchmark.  A document that holds at least ``min_share`` of an item's windows is aligned with the item, and the
-values in its slots must stand in one-to-one correspondence with the item's (slot consistency): re-parameterised copies
-pass, chance meetings of templates do not.
-
+Texts are read as tokens (runs without ASCII white space, reduced to their letters and digits).  Numbers in digits or
+English words, units after numbers, and names (capitalised words inside a sentence) become typed placeholders, so that a
+question with other numbers or names has the same template; a run of name words without punctuation inside is one
+placeholder, and so is a number of several words.  A capitalised word that begins a sentence may be a name or not: texts
+are read both ways, and each window of an item is indexed with every choice.  Windows of ``WINDOW`` template tokens are
+hashed and looked up in the windows of the benchmark.  A document that holds at least ``min_share`` of an item's windows is
+aligned with the item, and equal values in the item's slots must have equal values in the document's (slot consistency).
 The benchmark is a stated query set.  It is processed in blocks of bounded size against all documents, so its index in
 memory is bounded whatever its size.  Documents are read once for each block and never shuffled; only hits are grouped.
 
@@ -42,24 +42,39 @@ UNITS = frozenset(
 _NUM, _UNIT, _NAME = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"<number>", b"<unit>", b"<name>"))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _ENDS = (".", "!", "?", ":", "。")
-CAP, DIGIT, IS_UNIT, ENDS, EMPTY = 1, 2, 4, 8, 16
+CAP, DIGIT, IS_UNIT, ENDS, EMPTY, BREAK, WORDED = 1, 2, 4, 8, 16, 32, 64
+#: Kinds of tokens; FIRST is a capitalised word at the beginning of a sentence.
+PLAIN, NUMBER, NUMBER_WORD, IN_UNIT, NAME, FIRST = range(6)
+_ONES = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
+    " nineteen"
+).split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+_POWERS = {"hundred": 100, "thousand": 1000, "million": 10**6, "billion": 10**9}
+NUMBER_WORDS = {w: n for n, w in enumerate(_ONES)} | {w: 20 + 10 * n for n, w in enumerate(_TENS)} | _POWERS
+NUMBER_WORDS |= {t + o: 20 + 10 * n + k for n, t in enumerate(_TENS) for k, o in enumerate(_ONES[:10]) if k}
+_NUMBER_OF = {xxhash.xxh64_intdigest(w.encode()): n for w, n in NUMBER_WORDS.items()}
 
 
 def _word(raw: str) -> tuple[int, int]:
     """Hash of the literal token and its flags."""
     core = "".join(c for c in raw if c.isalnum())
-    low = core.lower()
+    low = core.casefold()
     flags = 0
     if not core:
         flags |= EMPTY
     elif any(c.isdigit() for c in core):
         flags |= DIGIT
+    elif low in NUMBER_WORDS:
+        flags |= WORDED
     elif core[0].isupper():
         flags |= CAP
     if low in UNITS:
         flags |= IS_UNIT
     if raw.rstrip("\"')]»”’*#$%&!").endswith(_ENDS) or raw.endswith(("!", "?")):
         flags |= ENDS
+    if not raw[-1].isalnum():
+        flags |= BREAK
     return xxhash.xxh64_intdigest(low.encode()), flags
 
 
@@ -79,8 +94,8 @@ class Reader:
         self.flags.extend(np.array([m[1] for m in made], np.uint8))
 
     def read_many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the tokens of UTF-8 texts, one text after the other: literal hash, template hash, whether a slot; and where
-        each text begins, with the end behind the last."""
+        """Of the tokens of UTF-8 texts, one text after the other: literal hash, kind, whether no punctuation stands
+        between it and the token before; and where each text begins, with the end behind the last."""
         if self.words.full:
             self.__init__()
         joined = b" ".join(texts)
@@ -97,18 +112,21 @@ class Reader:
         ends = np.ones(len(start), bool)  # a token begins a sentence at the beginning and behind a token that ends one
         ends[1:] = (flags[:-1] & ENDS) > 0
         ends[bounds[:-1][bounds[:-1] < len(start)]] = True
+        joins = np.zeros(len(start), bool)
+        joins[1:] = (flags[:-1] & (BREAK | EMPTY)) == 0
+        joins[bounds[:-1][bounds[:-1] < len(start)]] = False
         real = (flags & EMPTY) == 0
         bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
-        literal, flags, ends = literal[real], flags[real], ends[real]
-        number = (flags & DIGIT) > 0
+        literal, flags, ends, joins = literal[real], flags[real], ends[real], joins[real]
+        number = (flags & (DIGIT | WORDED)) > 0
         after = np.zeros(len(flags), bool)
         after[1:] = number[:-1]
         after[bounds[:-1][bounds[:-1] < len(flags)]] = False
-        unit = after & ((flags & IS_UNIT) > 0)
-        name = ((flags & CAP) > 0) & ~ends & ~unit
-        template = literal.copy()
-        template[number], template[unit], template[name] = _NUM, _UNIT, _NAME
-        return literal, template, number | unit | name, bounds
+        kind = np.where((flags & CAP) > 0, np.where(ends, np.uint8(FIRST), np.uint8(NAME)), np.uint8(PLAIN))
+        kind[after & ((flags & IS_UNIT) > 0)] = IN_UNIT
+        kind[(flags & DIGIT) > 0] = NUMBER
+        kind[(flags & WORDED) > 0] = NUMBER_WORD
+        return literal, kind, joins, bounds
 
     def read(self, raw: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return self.read_many([raw or b""])[:3]
@@ -124,108 +142,205 @@ def worker_reader() -> Reader:
     return _READERS[0]
 
 
-def windows(template: np.ndarray, slot: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows and whether they hold enough literals; fewer tokens than ``size``: one window of all."""
-    n = len(template)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    size = min(size, n)
-    h, literals = np.full(n - size + 1, size, np.uint64), np.zeros(n - size + 1, np.int64)
-    for i in range(size):
-        h = (h ^ template[i : n - size + 1 + i]) * _MUL
+def template_of(literal: np.ndarray, kind: np.ndarray, joins: np.ndarray, named: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The template's tokens and the place of each one's first word; ``named``: words that begin sentences are names."""
+    kind = np.where(kind == FIRST, np.uint8(NAME if named else PLAIN), kind)
+    template = literal.copy()
+    number = (kind == NUMBER) | (kind == NUMBER_WORD)
+    template[number], template[kind == IN_UNIT], template[kind == NAME] = _NUM, _UNIT, _NAME
+    head = np.ones(len(kind), bool)
+    more = ((kind[1:] == NAME) & (kind[:-1] == NAME)) | ((kind[1:] == NUMBER_WORD) & number[:-1])
+    head[1:] = ~(joins[1:] & more)
+    at = np.flatnonzero(head)
+    return template[at], at
+
+
+def value_of(literal: list[int], kind: int) -> int:
+    """What stands in a slot, given its words; a number in words is equal to the same number in digits."""
+    if kind == NUMBER_WORD:
+        total = part = 0
+        for word in literal:
+            n = _NUMBER_OF[word]
+            if n == 100:
+                part = max(part, 1) * 100
+            elif n > 100:
+                total, part = total + max(part, 1) * n, 0
+            else:
+                part += n
+        return xxhash.xxh64_intdigest(str(total + part).encode())
+    return literal[0] if len(literal) == 1 else hash(tuple(literal))
+
+
+def windows(tokens: np.ndarray, size: int = WINDOW, seed: int = 0) -> np.ndarray:
+    """Hashes of the windows."""
+    n = len(tokens) - size + 1
+    h = np.full(max(n, 0), size + seed, np.uint64)
+    for i in range(size if n > 0 else 0):
+        h = (h ^ tokens[i : n + i]) * _MUL
         h ^= h >> np.uint64(29)
-        literals += ~slot[i : n - size + 1 + i]
-    return h, literals >= min(MIN_LITERALS, size)
+    return h
+
+
+def _hash(tokens: list[int]) -> int:
+    """``windows`` of one window."""
+    h = len(tokens)
+    for t in tokens:
+        h = ((h ^ t) * int(_MUL)) & 0xFFFFFFFFFFFFFFFF
+        h ^= h >> 29
+    return h
 
 
 class Index:
-    """The benchmark items of one block: window hash -> (item, place)."""
+    """The benchmark items of one block: window hash -> (item, place, choices)."""
 
     def __init__(self, items: list[tuple[int, str]], size: int = WINDOW):
         reader = Reader()
-        self.ids, self.lengths, self.tokens, self.size = [], [], [], size
-        rows: set[tuple[int, int, int]] = set()
-        self.short: set[int] = set()
+        self.ids, self.tokens, self.size = [], [], size
+        #: for each item and place: a window begins there; it counts, sentences' first words being plain; or being names
+        self.begins, self.plain, self.named = [], [], []
+        self.sizes = {size}
+        rows: set[tuple[int, int, int, int]] = set()
         for item_id, text in items:
-            literal, template, slot = reader.read(text.encode("utf-8", "replace"))
-            h, ok = windows(template, slot, size)
-            if not len(h) or not ok.any():
+            literal, kind, joins = reader.read(text.encode("utf-8", "replace"))
+            n = len(literal)
+            if not n:
                 continue
             k = len(self.ids)
             self.ids.append(item_id)
-            self.tokens.append((literal, slot))
-            self.lengths.append(int(ok.sum()))
-            if len(template) < size:
-                self.short.add(len(template))
-            rows |= {(int(x), k, i) for i, x in enumerate(h) if ok[i]}
-            # the first word is capitalised for its place only: elsewhere in a text it would be read as a name
-            named = template.copy()
-            named[0] = _NAME
-            h, more = windows(named, slot, size)
-            rows |= {(int(h[0]), k, 0)} if ok[0] else set()
+            self.tokens.append((literal, kind, joins))
+            begins, plain, named = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+            mine = set()
+            for i in template_of(literal, kind, joins, False)[1].tolist():
+                for bits, every, tokens in self._choices(k, i):
+                    if len(tokens) < size and i:
+                        continue
+                    begins[i] |= not bits
+                    if sum(t[1] in (PLAIN, FIRST) for t in tokens) < min(MIN_LITERALS, len(tokens)):
+                        continue
+                    plain[i] |= not bits
+                    named[i] |= bits == every
+                    self.sizes.add(len(tokens))
+                    mine.add((_hash([t[0] for t in tokens]), k, i, bits))
+            self.begins.append(begins)
+            self.plain.append(plain)
+            self.named.append(named)
+            if not plain.any() and not named.any():
+                mine = set()
+            rows |= mine
         table = sorted(rows)
         self.hash = np.array([r[0] for r in table], np.uint64)
-        self.item = np.array([r[1] for r in table], np.int64)
-        self.place = np.array([r[2] for r in table], np.int64)
+        self.item, self.place = (np.array([r[c] for r in table], np.int32) for c in (1, 2))
+        self.bits = np.array([r[3] for r in table], np.int64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hash >> np.uint64(44)).astype(np.int64)] = True
 
-    def candidates(self, template: np.ndarray, slot: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def _window(self, k: int, i: int, bits: int) -> tuple[list[tuple[int, int, int]], int]:
+        """(template hash, kind, value) of the tokens of item k's window that begins at word i, and the number of words
+        in it that begin a sentence; the bits tell which of those are names."""
+        literal, kind, joins = self.tokens[k]
+        out: list[tuple[int, int, list[int]]] = []
+        used, before = 0, PLAIN
+        for j in range(i, len(literal)):
+            c, word = int(kind[j]), int(literal[j])
+            first = c == FIRST
+            if j > i and joins[j] and ((c == NAME and before == NAME) or (c == NUMBER_WORD and before in (NUMBER, NUMBER_WORD))):
+                out[-1][2].append(word)
+                before = c
+                continue
+            if len(out) == self.size:
+                break
+            if first:
+                c = NAME if bits >> used & 1 else PLAIN
+                used += 1
+            before = c
+            mark = {NUMBER: _NUM, NUMBER_WORD: _NUM, IN_UNIT: _UNIT, NAME: _NAME}.get(c, word)
+            out.append((int(mark), c, [word]))
+        return [(t, c, value_of(words, c)) for t, c, words in out], used
+
+    def _choices(self, k: int, i: int) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+        """(bits, bits if all are names, tokens) of the window at i, for every choice of names."""
+        open_ = [(0, 0)]
+        while open_:
+            bits, known = open_.pop()
+            tokens, used = self._window(k, i, bits)
+            if used > known:
+                open_ += [(bits, known + 1), (bits | 1 << known, known + 1)]
+            else:
+                yield bits, (1 << used) - 1, tokens
+
+    def _streams(self, literal: np.ndarray, kind: np.ndarray, joins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(tokens, places, seed of their windows) of each way to read texts."""
+        for named in (False, True):
+            yield *template_of(literal, kind, joins, named), 0
+
+    def _found(self, h: np.ndarray) -> np.ndarray:
+        """Which of the hashes the items have."""
+        at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+        if not len(at) or not len(self.hash):
+            return at[:0]
+        place = np.minimum(np.searchsorted(self.hash, h[at]), len(self.hash) - 1)
+        return at[self.hash[place] == h[at]]
+
+    def candidates(self, literal: np.ndarray, kind: np.ndarray, joins: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Of many texts, those with a window that the items have."""
         text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         found = [np.zeros(0, np.int64)]
-        for size in {self.size, *self.short}:
-            if len(template) < size:
-                continue
-            h = windows(template, slot, size)[0]
-            at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
-            place = np.minimum(np.searchsorted(self.hash, h[at]), len(self.hash) - 1)
-            at = at[self.hash[place] == h[at]] if len(self.hash) else at[:0]
-            found.append(text_of[at[text_of[at] == text_of[at + size - 1]]])
+        for tokens, places, seed in self._streams(literal, kind, joins):
+            own = text_of[places]
+            for size in self.sizes:
+                at = self._found(windows(tokens, size, seed))
+                found.append(own[at[own[at] == own[at + size - 1]]])
         return np.unique(np.concatenate(found))
 
-    def search(self, literal: np.ndarray, template: np.ndarray, slot: np.ndarray, min_share: float) -> list[tuple]:
+    def search(self, literal: np.ndarray, kind: np.ndarray, joins: np.ndarray, min_share: float) -> list[tuple]:
         """(item id, windows hit, windows, share, same values) of each item that the text holds."""
-        hits: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for size in {self.size, *self.short}:
-            if len(template) < size:
-                continue
-            h, _ = windows(template, slot, size)
-            at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
-            if not len(at):
-                continue
-            lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                for r in range(a, b):
-                    if min(self.size, len(self.tokens[self.item[r]][0])) == size:
-                        hits[int(self.item[r])][int(self.place[r])].append(p)
+        # item -> place -> (word of the text, stream, place in the stream, choices)
+        hits: dict[int, dict[int, list[tuple[int, int, int, int]]]] = defaultdict(lambda: defaultdict(list))
+        streams = list(self._streams(literal, kind, joins))
+        for s, (tokens, places, seed) in enumerate(streams):
+            for size in self.sizes:
+                h = windows(tokens, size, seed)
+                at = self._found(h)
+                lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
+                for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                    for r in range(a, b):
+                        hits[int(self.item[r])][int(self.place[r])].append((int(places[p]), s, p, int(self.bits[r])))
         found = []
-        for k, places in hits.items():
-            if len(places) < min_share * self.lengths[k]:
+        for k in list(hits):
+            held = hits[k].keys()
+            counts = [(sum(map(bool, ok[list(held)])), int(ok.sum())) for ok in (self.plain[k], self.named[k])]
+            hit, all_ = max(counts, key=lambda c: c[0] / c[1] if c[1] else 0)
+            if not all_ or hit < min_share * all_:
                 continue
-            mine, slots = self.tokens[k]
-            by_shift: dict[int, list[int]] = defaultdict(list)
-            for place, at in places.items():
-                for p in at:
-                    by_shift[p - place].append(place)
-            best = None
-            for shift in sorted(by_shift, key=lambda s: (-len(by_shift[s]), s)):
-                pairs: dict[int, int] = {}
-                back: dict[int, int] = {}
-                good, same = True, True
-                covered = {q for place in by_shift[shift] for q in range(place, min(place + self.size, len(mine)))}
-                for q in sorted(covered):
-                    a, b = int(mine[q]), int(literal[q + shift])
-                    same &= a == b
-                    if slots[q]:
-                        good &= pairs.setdefault(a, b) == b and back.setdefault(b, a) == a
-                if good:
-                    best = same
-                    break
-            if best is not None:
-                found.append((self.ids[k], len(places), self.lengths[k], len(places) / self.lengths[k], best))
+            by_shift: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+            for place, some in hits[k].items():
+                for word, s, p, bits in some:
+                    by_shift[word - place].append((place, s, p, bits))
+            if any(self._consistent(k, by_shift[d], streams, literal, kind) for d in sorted(by_shift, key=lambda d: (-len(by_shift[d]), d))):
+                same = all(
+                    any(all(mine == theirs for mine, theirs in self._values(k, place, *one[1:], streams, literal, kind)) for one in some)
+                    for place, some in hits[k].items()
+                )
+                found.append((self.ids[k], hit, all_, hit / all_, same))
         return found
 
+    def _values(self, k: int, place: int, s: int, p: int, bits: int, streams: list, literal: np.ndarray, kind: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(value of the item, value of the text) in each slot of a window."""
+        places = streams[s][1]
+        for q, (_, c, mine) in enumerate(self._window(k, place, bits)[0], p):
+            if c not in (PLAIN, FIRST):
+                a, b = int(places[q]), int(places[q + 1]) if q + 1 < len(places) else len(literal)
+                yield mine, value_of(literal[a:b].tolist(), int(kind[a]))
+
+    def _consistent(self, k: int, some: list[tuple[int, int, int, int]], streams: list, literal: np.ndarray, kind: np.ndarray) -> bool:
+        """Whether no value of the item has two in the text."""
+        pairs: dict[int, int] = {}
+        for one in some:
+            for mine, theirs in self._values(k, *one, streams, literal, kind):
+                if pairs.setdefault(mine, theirs) != theirs:
+                    return False
+        return True
+
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -259,11 +374,11 @@ def _held(
             names = ["_th", "doc_id", "item_id", "n_hit", "n_windows", "share", "same_values"]
 
             def some(ids: list[tuple[int, int | None]], texts: list[bytes]) -> list[tuple]:
-                literal, template, slot, bounds = reader.read_many(texts)
+                literal, kind, joins, bounds = reader.read_many(texts)
                 rows = []
-                for k in index.candidates(template, slot, bounds).tolist():
+                for k in index.candidates(literal, kind, joins, bounds).tolist():
                     own = slice(bounds[k], bounds[k + 1])
-                    rows += [(*ids[k], *f) for f in index.search(literal[own], template[own], slot[own], min_share)]
+                    rows += [(*ids[k], *f) for f in index.search(literal[own], kind[own], joins[own], min_share)]
                 return rows
 
             for b in batches:
