@@ -7,6 +7,10 @@ placeholder, and so is a number of several words.  A capitalised word that begin
 are read both ways, and each window of an item is indexed with every choice.  Windows of ``WINDOW`` template tokens are
 hashed and looked up in the windows of the benchmark.  A document that holds at least ``min_share`` of an item's windows is
 aligned with the item, and equal values in the item's slots must have equal values in the document's (slot consistency).
+
+The literal windows, lower-cased, are looked up beside the template windows, so that copies in another case or without
+punctuation are found; a document is reported when either share reaches ``min_share``.  Where template windows on the same
+alignment show one value of the item as two values of the document, the literal share alone does not report it.
 The benchmark is a stated query set.  It is processed in blocks of bounded size against all documents, so its index in
 memory is bounded whatever its size.  Documents are read once for each block and never shuffled; only hits are grouped.
 
@@ -40,6 +44,8 @@ UNITS = frozenset(
     " dollars euros cents meters metres miles kilometers kilograms grams liters litres seconds minutes degrees".split()
 )
 _NUM, _UNIT, _NAME = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"<number>", b"<unit>", b"<name>"))
+#: Marks literal windows among the hashes and choices.
+LITERAL = 1 << 40
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _ENDS = (".", "!", "?", ":", "。")
 CAP, DIGIT, IS_UNIT, ENDS, EMPTY, BREAK, WORDED = 1, 2, 4, 8, 16, 32, 64
@@ -198,6 +204,8 @@ class Index:
         self.ids, self.tokens, self.size = [], [], size
         #: for each item and place: a window begins there; it counts, sentences' first words being plain; or being names
         self.begins, self.plain, self.named = [], [], []
+        #: literal windows of each item
+        self.lengths: list[int] = []
         self.sizes = {size}
         rows: set[tuple[int, int, int, int]] = set()
         for item_id, text in items:
@@ -226,6 +234,11 @@ class Index:
             self.named.append(named)
             if not plain.any() and not named.any():
                 mine = set()
+            literals = windows(literal, min(size, n), LITERAL)
+            self.sizes.add(min(size, n))
+            self.lengths.append(len(literals))
+            if mine:
+                mine |= {(int(x), k, i, LITERAL) for i, x in enumerate(literals)}
             rows |= mine
         table = sorted(rows)
         self.hash = np.array([r[0] for r in table], np.uint64)
@@ -272,6 +285,7 @@ class Index:
         """(tokens, places, seed of their windows) of each way to read texts."""
         for named in (False, True):
             yield *template_of(literal, kind, joins, named), 0
+        yield literal, np.arange(len(literal)), LITERAL
 
     def _found(self, h: np.ndarray) -> np.ndarray:
         """Which of the hashes the items have."""
@@ -296,6 +310,7 @@ class Index:
         """(item id, windows hit, windows, share, same values) of each item that the text holds."""
         # item -> place -> (word of the text, stream, place in the stream, choices)
         hits: dict[int, dict[int, list[tuple[int, int, int, int]]]] = defaultdict(lambda: defaultdict(list))
+        exact: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         streams = list(self._streams(literal, kind, joins))
         for s, (tokens, places, seed) in enumerate(streams):
             for size in self.sizes:
@@ -304,11 +319,16 @@ class Index:
                 lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
                 for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
                     for r in range(a, b):
+                        if seed:
+                            if self.bits[r] == LITERAL:
+                                exact[int(self.item[r])][int(self.place[r])].append(p)
+                            continue
                         hits[int(self.item[r])][int(self.place[r])].append((int(places[p]), s, p, int(self.bits[r])))
         found = []
-        for k in list(hits):
+        for k in sorted(hits.keys() | exact.keys()):
             held = hits[k].keys()
             counts = [(sum(map(bool, ok[list(held)])), int(ok.sum())) for ok in (self.plain[k], self.named[k])]
+            counts.append((len(exact[k]), self.lengths[k]))
             hit, all_ = max(counts, key=lambda c: c[0] / c[1] if c[1] else 0)
             if not all_ or hit < min_share * all_:
                 continue
@@ -316,9 +336,12 @@ class Index:
             for place, some in hits[k].items():
                 for word, s, p, bits in some:
                     by_shift[word - place].append((place, s, p, bits))
+            for place, words in exact[k].items():
+                for p in words:
+                    by_shift[p - place]  # no slot to compare: values are the same
             if any(self._consistent(k, by_shift[d], streams, literal, kind) for d in sorted(by_shift, key=lambda d: (-len(by_shift[d]), d))):
                 same = all(
-                    any(all(mine == theirs for mine, theirs in self._values(k, place, *one[1:], streams, literal, kind)) for one in some)
+                    place in exact[k] or any(all(mine == theirs for mine, theirs in self._values(k, place, *one[1:], streams, literal, kind)) for one in some)
                     for place, some in hits[k].items()
                 )
                 found.append((self.ids[k], hit, all_, hit / all_, same))

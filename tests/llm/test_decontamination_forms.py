@@ -36,3 +36,11 @@ def test_one_value_that_becomes_two():
     item = "A farmer sells 12 crates of apples at the market and later buys the same 12 crates of apples from the shop"
     assert held(item, item.replace("12", "9")) and not held(item, item.replace("12", "9", 1).replace("12", "8"))
     assert held(item, item.replace("12", "9", 1).replace("12", "nine"))
+
+
+@pytest.mark.parametrize("change", [str.upper, str.lower, str.title, lambda t: t.replace(".", "").replace(",", "").replace("?", "")])
+def test_copies_in_another_case_or_without_punctuation(change):
+    german = "Die Straße nach Köln ist lang. Anna fährt 40 Kilometer, dann isst sie 3 Äpfel. Wie weit ist sie gefahren?"
+    for item in (FRUIT, german):
+        assert [(f[0], f[4]) for f in held(item, change(item))] == [(1, True)]
+        assert [f[0] for f in held(change(item), item)] == [1]
