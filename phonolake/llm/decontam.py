@@ -10,7 +10,9 @@ aligned with the item, and equal values in the item's slots must have equal valu
 
 The literal windows, lower-cased, are looked up beside the template windows, so that copies in another case or without
 punctuation are found; a document is reported when either share reaches ``min_share``.  Where template windows on the same
-alignment show one value of the item as two values of the document, the literal share alone does not report it.
+alignment show one value of the item as two values of the document, the literal share alone does not report it.  Template
+windows short of ``MIN_LITERALS`` literals count as held where their literal windows are, in a third share over all windows;
+shares of template windows alone leave them out, so that other numbers in them lose nothing.
 The benchmark is a stated query set.  It is processed in blocks of bounded size against all documents, so its index in
 memory is bounded whatever its size.  Documents are read once for each block and never shuffled; only hits are grouped.
 
@@ -34,7 +36,7 @@ from .words import BATCH_BYTES, MAX_WORD, Remembered
 
 WINDOW = 5
 MIN_SHARE = 0.8
-#: A window of more tokens than this short of WINDOW literals says too little and is not compared.
+#: A window with fewer literals says too little as a template; it is compared by its literal words, values included.
 MIN_LITERALS = 2
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 8 << 20
@@ -232,13 +234,10 @@ class Index:
             self.begins.append(begins)
             self.plain.append(plain)
             self.named.append(named)
-            if not plain.any() and not named.any():
-                mine = set()
             literals = windows(literal, min(size, n), LITERAL)
             self.sizes.add(min(size, n))
             self.lengths.append(len(literals))
-            if mine:
-                mine |= {(int(x), k, i, LITERAL) for i, x in enumerate(literals)}
+            mine |= {(int(x), k, i, LITERAL) for i, x in enumerate(literals)}
             rows |= mine
         table = sorted(rows)
         self.hash = np.array([r[0] for r in table], np.uint64)
@@ -329,6 +328,7 @@ class Index:
             held = hits[k].keys()
             counts = [(sum(map(bool, ok[list(held)])), int(ok.sum())) for ok in (self.plain[k], self.named[k])]
             counts.append((len(exact[k]), self.lengths[k]))
+            counts.append((sum(map(bool, self.begins[k][list(held | exact[k].keys())])), int(self.begins[k].sum())))
             hit, all_ = max(counts, key=lambda c: c[0] / c[1] if c[1] else 0)
             if not all_ or hit < min_share * all_:
                 continue

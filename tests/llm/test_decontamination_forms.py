@@ -44,3 +44,9 @@ def test_copies_in_another_case_or_without_punctuation(change):
     for item in (FRUIT, german):
         assert [(f[0], f[4]) for f in held(item, change(item))] == [(1, True)]
         assert [f[0] for f in held(change(item), item)] == [1]
+
+
+@pytest.mark.parametrize("item", ["Compute 12 × 34 + 56 − 78 = ?", "Solve 3 + 4 * 5 - 6 = 17", "Anna, Bernd, Clara, Dieter, Emma, Fritz, Gerda", "12 34", "Paris"])
+def test_items_short_of_literals(item):
+    assert [(f[0], f[3], f[4]) for f in held(item, item)] == [(1, 1.0, True)]
+    assert not held(item, "nothing of it")
