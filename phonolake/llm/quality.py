@@ -4,11 +4,15 @@ Everything is one pass of expressions over each row; nothing is shuffled, so no
 
 Each line is judged by itself.  It is removed if it
 
-* does not end in closing punctuation (punctuation rule),
+* does not end in closing punctuation of any script (punctuation rule),
 * holds many symbol characters or shouts with repeated exclamation marks (symbol rule),
 * holds several menu separators (navigation rule), or
 * is a licence, copyright, cookie or script notice (boilerplate rule).
 
+A line is a paragraph, and a long one is not lost for its end or for a phrase in it: the punctuation and boilerplate rules
+fail only lines shorter than ``LONG_LINE`` and lines without any end of a sentence.  ``long_lines=False`` has them fail
+lines of any length, by Latin marks alone; that is what the SQL of ``op4_quality_rules`` states.
+
 A document is kept if it passes the base rules and its removed lines hold at most ``max_lost`` of its characters.
 
 Repeated three-word windows are found in two steps: 43 bits of each window's hash and its position are packed into one
@@ -23,7 +27,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import ASCII_SPACE, Boxed, text_of
@@ -36,6 +40,12 @@ BOILERPLATE = (
     r"privacy policy|terms of (use|service)|enable javascript|javascript is disabled|lorem ipsum|sign up for our|"
     r"subscribe to our|click here to"
 )
+#: Characters of a line from which on it is a paragraph, if a sentence ends in it.
+LONG_LINE = 200
+#: Marks that close a line, and those that end a sentence: the latter with a space behind or a wide form by itself.
+LATIN_CLOSE = """.!?…:;"'’”»)"""
+OTHER_CLOSE = "。．！？｡；：」』）》】〉।॥؟؛۔։።፧၊။។៕"
+SENTENCE_END = r"""[.!?…]["'’”»)\]]*([\x20\x09-\x0D]|$)|[。．！？｡।॥؟۔։።፧။។៕]"""
 WORD_GAP = r"[\x20\x09-\x0D]+"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -84,6 +94,7 @@ def judge(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     max_lost: float = 0.5,
+    long_lines: bool = True,
 ) -> DataFrame:
     """All rows of ``docs`` with the counts, ``base_failed``, ``lost_chars``, ``kept`` and ``clean_text``."""
     box = Boxed(docs)
@@ -92,19 +103,20 @@ def judge(
     df = df.withColumn("_bare", F.btrim("_text", F.lit(ASCII_SPACE)))
     df = df.withColumn("_words", F.when(F.col("_bare") == "", F.array().cast("array<string>")).otherwise(F.split("_bare", WORD_GAP)))
     df = df.withColumn("_lines", F.split("_text", "\n", -1))
-    df = df.withColumn(
-        "_good",
-        F.expr(
-            r"""filter(_lines, l -> l not rlike '[^\\x20\\x09-\\x0D]' or (
-                    l rlike '[.!?…:;"\'’”»)\\]][\\x20\\x09-\\x0D]*$'
-                and regexp_count(l, '[#*$%&|<>]') * 50 <= length(l)
-                and regexp_count(l, '!!') < 2
-                and regexp_count(l, '[|»›•·]') < 3
-                and lower(l) not rlike '"""
-            + BOILERPLATE.replace("\\", "\\\\")
-            + "'))"
-        ),
-    )
+    closed = rf"[{LATIN_CLOSE}{OTHER_CLOSE if long_lines else ''}\]][\x20\x09-\x0D]*$"
+
+    def good(line: Column) -> Column:
+        well_formed = line.rlike(closed) & ~F.lower(line).rlike(BOILERPLATE)
+        if long_lines:
+            well_formed = well_formed | ((F.length(line) >= LONG_LINE) & line.rlike(SENTENCE_END))
+        return ~line.rlike(r"[^\x20\x09-\x0D]") | (
+            (F.regexp_count(line, F.lit(r"[#*$%&|<>]")) * 50 <= F.length(line))
+            & (F.regexp_count(line, F.lit("!!")) < 2)
+            & (F.regexp_count(line, F.lit("[|»›•·]")) < 3)
+            & well_formed
+        )
+
+    df = df.withColumn("_good", F.filter("_lines", good))
     df = df.withColumn("_used", F.expr(r"filter(_lines, l -> l rlike '[^\\x20\\x09-\\x0D]')"))
     df = df.select(
         *own,
