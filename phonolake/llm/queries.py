@@ -20,7 +20,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,26 +26,67 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="phonolake-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again: lineage ends there, so a lost executor
-    costs no recomputation of what came before.  ``few``: rows are short and few for each partition; a few tasks for each
-    core write them, not one for each partition of the last exchange."""
-    if few:
-        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _files(spark: SparkSession, path: str) -> tuple:
+    """The path and its file system, as Spark's readers see them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
 
+def _kept_until_exit(df: DataFrame, path: str) -> DataFrame:
+    fs, at = _files(df.sparkSession, path)
+    fs.deleteOnExit(at)
+    df.scratch = path
+    return df
 
-def planned_bytes(df: DataFrame) -> int:
-    """Spark's estimate of the size, from its plan alone; nothing is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+def stored(df: DataFrame, name: str, few: bool = False, by: str | None = None) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again: lineage ends there, so a lost executor
+    costs no recomputation of what came before.  ``few``: rows are short and few for each partition; the size of their sources
+    says how many tasks write them, not the number of partitions of the last exchange.  ``by``: a column whose values get
+    folders of their own.  The files go when the application ends, or with ``discard``."""
+    spark = df.sparkSession
+    if few:
+        most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, min(most, source_bytes(df) >> 26)))
+    path = scratch_path(spark, name)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return _kept_until_exit(spark.read.schema(df.schema).parquet(path), path)
+
+
+def bucketed(df: DataFrame, name: str, n: int, keys: list[str], order: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` written once in ``n`` buckets by ``keys``, sorted in each by ``order``; joins on the keys need no exchange.
+
+    The catalog's entry, which Spark needs to write buckets, is dropped as soon as the table is resolved."""
+    spark = df.sparkSession
+    path, table = scratch_path(spark, name), f"phonolake_{name}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").bucketBy(n, *keys).option("path", path).option("compression", "zstd")
+    (writer.sortBy(*order) if order else writer).saveAsTable(table)
+    made = spark.table(table)
+    made.schema  # resolved now: the plan holds the files and the buckets from here on
+    spark.sql(f"DROP TABLE {table}")
+    return _kept_until_exit(made, path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of stored or bucketed tables that nothing reads any more."""
+    for df in frames:
+        fs, at = _files(df.sparkSession, df.scratch)
+        fs.delete(at, True)
+        fs.cancelDeleteOnExit(at)
+
+
+def source_bytes(df: DataFrame) -> int:
+    """The bytes of the tables that ``df`` reads, as far as Spark's plan knows them; nothing is run.  Estimates of joins do
+    not enter, as they may be the product of their sides."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
 
 
 def text_of(column: Column) -> Column:

@@ -5,50 +5,60 @@ An index of every suffix would be many times the text.  The index here holds the
 so equal windows have their anchors at the same place and no repeat is missed.  All windows with one anchor are a
 *segment*.
 
-The index is a logarithmic family.  A batch of documents gets a sorted array of its sampled suffixes (gram, segment,
-number, an occurrence); batches and levels of equal rank are merged, two by two, into a level of the next rank, so there
-are at most log2(batches) levels.  A scan merges an array with the levels by gram: segments found twice or more are
-repeated as a whole; segments that share their gram with other segments may be repeated in part.
-
-Partly repeated segments are resolved exactly.  Their windows are grouped in nodes of ``NODE`` neighbours: a node whose
-whole span is found twice is repeated; a node whose common core is found once only is not; what is left is decided
-window by window.  Counts are plain sums of hashed keys with partial aggregation, so a string that a third of all
-documents hold is a few rows, and no group of occurrences meets in one task.  Segments and nodes are equal if a 64-bit hash of the
-whole and one of a part are; single windows, if 128 bits are.
-
-Texts are stored once in the shared folder, dealt into buckets by document, and the three passes that need bytes join
-that table without a shuffle of texts.
+The index is a logarithmic family of such sparse suffix arrays.  Documents are dealt into batches.  Each batch gets an array
+of its sampled suffixes, dealt into buckets and, in each bucket, in the order of their bytes: by their first eight bytes,
+then by a hash of their ``GRAM`` bytes, then by a hash of the whole segment (so equal suffixes are neighbours).  When a
+batch arrives, its array is merge-scanned against every level of the family: entries that are equal to the segment's length
+are repeats, whichever side they are on.  Then the array becomes a level, and levels of equal rank merge, two by
+two, into one of the next rank, so there are at most log2(batches) + 1 levels.  Arrays and levels share their buckets, so scans
+and merges are joins of sorted runs without an exchange.
+
+Suffixes that are equal for ``GRAM`` bytes but not for the whole segment may match over some windows of it.  They are settled
+exactly by hashes of windows, not by further comparison in the arrays.  Windows are grouped in nodes of ``NODE`` neighbours:
+a node whose whole span is found twice is repeated; a node whose common core is found once only is not; what is left is
+decided window by window.  Counts are plain sums of hashed keys with partial aggregation, so a string that a third of all
+documents hold is a few rows, and no group of occurrences meets in one task.  Segments are equal if eight bytes and two 64-bit
+hashes are, nodes if a 64-bit hash of the whole and one of a part are, single windows if 128 bits are.
+
+Texts are stored once in the shared folder, dealt into buckets by document, and the passes that need bytes join that table
+without a shuffle of texts.  What nothing reads any more is deleted; the texts and the spans stay until the application ends.
 
 Defined results: null text is empty; matches never cross documents; rows that repeat an id are documents of their own
-(and copies of one another if their text is equal); a null id is kept; texts shorter than a window stay whole.
+(and copies of one another if their text is equal); a null id is kept; texts shorter than a window stay whole; very long
+texts are read in overlapping pieces of ``PIECE`` bytes, with the same result; an empty table gives an empty one; columns
+other than the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Boxed, planned_bytes, scratch_path, stored, text_of, tidy
+from .shared import Boxed, bucketed, discard, source_bytes, stored, text_of, tidy
 
 WINDOW = 400
 GRAM = 64
 NODE = 32
-BATCHES = 4
+BATCHES = 5
 #: Bytes read at once; longer documents are read in overlapping pieces.
 PIECE = 1 << 18
+#: Bytes of the source's texts in one bucket, beyond those of as many buckets as an exchange has partitions.
+BUCKET_BYTES = 1 << 27
 _TABLE = np.random.default_rng(20240101).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 20) - 1)
 KEY = ["dk", "th"]
+#: The order of an array, and where one of a suffix's occurrences is.
+ORDER = ["head", "gram", "seg"]
+PLACE = ["dk", "th", "a", "p", "b"]
 
 
 def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
@@ -77,8 +87,9 @@ def _window_anchors(h: np.ndarray, width: int) -> np.ndarray:
     return (m & _LOW).astype(np.int64)
 
 
-def segments(text: bytes, window: int = WINDOW, gram: int = GRAM) -> Iterator[tuple[int, int, int, int, int]]:
-    """(gram hash, segment hash, first window, anchor, last window) of one text, hashes as signed 64-bit values."""
+def segments(text: bytes, window: int = WINDOW, gram: int = GRAM) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(first bytes, gram hash, segment hash, first window, anchor, last window) of one text; the first three as signed
+    64-bit values, the first of them in the order of the bytes."""
     yield from _segments_of_many([text], window, gram)[0]
 
 
@@ -106,7 +117,8 @@ def _segments_of_many(texts: list[bytes], window: int = WINDOW, gram: int = GRAM
             grams = signed[where].tolist()
             for g, a, p, b in zip(grams, begin.tolist(), (where - at).tolist(), end.tolist(), strict=True):
                 seg = xxhash.xxh3_64_intdigest(part[a : b + window], p - a)
-                out[k].append((g, seg - (1 << 64) if seg >> 63 else seg, first + a, first + p, first + b))
+                head = int.from_bytes(part[p : p + 8], "big") - (1 << 63)
+                out[k].append((head, g, seg - (1 << 64) if seg >> 63 else seg, first + a, first + p, first + b))
             at += len(part)
         group, size = [], 0
 
@@ -130,82 +142,90 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
-class Texts:
-    """The texts in buckets by document, written once."""
+def store_texts(docs: DataFrame, id_col: str, text_col: str, batches: int) -> DataFrame:
+    """(dk, th, id, text, batch): the texts in buckets by document, written once."""
+    spark = docs.sparkSession
+    box = Boxed(docs)
+    base = box.df.select(box.col(id_col).cast("long").alias("id"), text_of(box.col(text_col)).alias("text"))
+    base = base.select(F.coalesce("id", F.lit(-(2**63))).alias("dk"), F.xxhash64("text").alias("th"), "id", "text", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(batches)).cast("int").alias("batch"))
+    # as many buckets as an exchange has partitions; fewer for small tables, more where buckets would be large
+    size, most = source_bytes(base), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    n = max(spark.sparkContext.defaultParallelism, min(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 16), min(most, size // BUCKET_BYTES))
+    return bucketed(base.repartition(n, *KEY), "texts", n, KEY)
+
+
+def suffixes(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(batch, dk, th, head, gram, seg, a, p, b): the sampled suffixes of all texts, in one pass over them."""
+    names = ["batch", "dk", "th", "head", "gram", "seg", "a", "p", "b"]
+    kinds = [pa.int32(), *[pa.int64()] * 8]
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, batches: int):
-        spark = docs.sparkSession
-        box = Boxed(docs)
-        base = box.df.select(box.col(id_col).cast("long").alias("id"), text_of(box.col(text_col)).alias("text"))
-        base = base.select(F.coalesce("id", F.lit(-(2**63))).alias("dk"), F.xxhash64("text").alias("th"), "id", "text", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(batches)).cast("int").alias("batch"))
-        # as many buckets as an exchange has partitions, but for tables that are too small to need them
-        n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, planned_bytes(base) >> 16))
-        self.name = f"phonolake_texts_{uuid.uuid4().hex}"
-        writer = base.repartition(n, *KEY).write.format("parquet").bucketBy(n, *KEY).option("path", scratch_path(spark, "texts"))
-        writer.option("compression", "zstd").saveAsTable(self.name)
-        self.df = spark.table(self.name)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                b = batch.slice(at, 2000)
+                found = _segments_of_many(_bytes(b.column(3)), window, gram)
+                own = zip(*(b.column(c).to_pylist() for c in range(3)), found, strict=True)
+                yield _arrow([(k, d, t, *s) for k, d, t, ss in own for s in ss], names, kinds)
+
+    long_enough = texts.where(F.octet_length("text") >= window).select("batch", *KEY, "text")
+    return long_enough.mapInArrow(tidy(run), "batch int, dk long, th long, head long, gram long, seg long, a long, p long, b long")
 
 
 class SuffixFamily:
-    """The levels of the index: sorted tables (gram, seg, n, occ) of ranks that grow by one when two equals merge."""
+    """The levels of the index: sorted, bucketed arrays whose ranks grow by one when two equals merge."""
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM):
-        self.spark, self.window, self.gram = spark, window, gram
+    def __init__(self, spark: SparkSession, buckets: int | None = None):
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[tuple[int, DataFrame]] = []
-        self.arrays: list[DataFrame] = []
-
-    def suffixes(self, texts: DataFrame) -> DataFrame:
-        """(dk, th, gram, seg, a, p, b): the sampled suffixes of a batch."""
-        window, gram = self.window, self.gram
-        names = ["dk", "th", "gram", "seg", "a", "p", "b"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    b = batch.slice(at, 2000)
-                    found = _segments_of_many(_bytes(b.column(2)), window, gram)
-                    yield _arrow([(d, t, *s) for d, t, ss in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), found, strict=True) for s in ss], names, kinds)
-
-        long_enough = texts.where(F.octet_length("text") >= window).select(*KEY, "text")
-        return long_enough.mapInArrow(tidy(run), "dk long, th long, gram long, seg long, a long, p long, b long")
-
-    @staticmethod
-    def _merged(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("gram", "seg").agg(F.sum("n").alias("n"), F.min("occ").alias("occ"))
-
-    def add(self, texts: DataFrame) -> DataFrame:
-        """Adds a batch to the family; returns its array of occurrences."""
-        own = stored(self.suffixes(texts), "suffixes")
-        self.arrays.append(own)
-        array = self._merged(own.select("gram", "seg", F.lit(1).cast("long").alias("n"), F.struct("dk", "th", "a", "p", "b").alias("occ")))
-        rank, rows = 0, array
+
+    def _sorted(self, rows: DataFrame, name: str) -> DataFrame:
+        return bucketed(rows, name, self.buckets, ORDER, tuple(ORDER))
+
+    def array_of(self, occurrences: DataFrame) -> DataFrame:
+        """The suffix array of a batch: each distinct sampled suffix in order, its number and one occurrence."""
+        rows = occurrences.groupBy(*ORDER).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in PLACE])
+        return self._sorted(rows, "array")
+
+    def scan(self, array: DataFrame) -> DataFrame:
+        """(head, gram, seg) of the array's suffixes that occur twice in it or in some level: one merge for each level."""
+        keys = array.select(*ORDER)
+        found = [keys.join(level.select(*ORDER).hint("merge"), ORDER, "left_semi") for _, level in self.levels]
+        return reduce(DataFrame.unionByName, found, array.where("n > 1").select(*ORDER)).distinct()
+
+    def add(self, array: DataFrame) -> None:
+        """Makes the array a level, and merges levels of equal rank."""
+        rank = 0
         while self.levels and self.levels[-1][0] == rank:
-            rows = self._merged(rows.unionByName(self.levels.pop()[1]))
-            rank += 1
-        self.levels.append((rank, stored(rows.sortWithinPartitions("gram", "seg"), f"level{rank}")))
-        return own
-
-    def known(self, texts: DataFrame) -> DataFrame:
-        """(dk, th, s, e): the byte ranges of a new batch, not yet added, whose whole segments some level has.
-
-        The batch's array is merged with each level by key: a join of two sorted tables."""
-        own = self.suffixes(texts)
-        keys = own.select("gram", "seg").distinct()
-        found = [keys.join(level.select("gram", "seg"), ["gram", "seg"], "left_semi") for _, level in self.levels]
-        if not found:
-            return own.limit(0).select(*KEY, F.col("a").alias("s"), F.col("b").alias("e"))
-        hits = reduce(DataFrame.unionByName, found).distinct()
-        return own.join(hits, ["gram", "seg"], "left_semi").select(*KEY, F.col("a").alias("s"), (F.col("b") + self.window).alias("e"))
-
-    def scan(self) -> tuple[DataFrame, DataFrame]:
-        """Merges the levels: whole repeats (gram, seg) and occurrences that may be repeated in part (dk, th, a, p, b)."""
+            _, older = self.levels.pop()
+            merged = self._sorted(_merged(older, array), "level")
+            discard(older, array)
+            array, rank = merged, rank + 1
+        self.levels.append((rank, array))
+
+    def take(self, occurrences: DataFrame) -> DataFrame:
+        """Adds a batch; returns what ``scan`` finds for it."""
+        array = self.array_of(occurrences)
+        found = stored(self.scan(array), "found", few=True)
+        self.add(array)
+        return found
+
+    def partly(self) -> DataFrame:
+        """(dk, th, a, p, b): one occurrence of each suffix that shares its first ``GRAM`` bytes with another segment."""
         rows = reduce(DataFrame.unionByName, [x for _, x in self.levels])
-        if len(self.levels) > 1:
-            rows = stored(self._merged(rows), "scan")
-        shared = rows.groupBy("gram").agg(F.count("*").alias("segs")).where("segs > 1").select("gram")
-        partly = rows.join(shared, "gram", "left_semi").select("occ.*")
-        return rows.where("n > 1").select("gram", "seg"), partly
+        spread = rows.groupBy("head", "gram").agg(F.min("seg").alias("low"), F.max("seg").alias("high"))
+        # stored, so that a hot gram's side of the join is a plain exchange, which Spark can split
+        shared = stored(spread.where("low <> high").select("head", "gram"), "grams", few=True)
+        return rows.join(shared, ["head", "gram"], "left_semi").select(*PLACE)
+
+
+def _merged(older: DataFrame, newer: DataFrame) -> DataFrame:
+    """Two arrays as one: a merge of sorted runs in the same buckets."""
+    rest = ["n", *PLACE]
+    a = older.select(*ORDER, *[F.col(c).alias(f"{c}_a") for c in rest])
+    b = newer.select(*ORDER, *[F.col(c).alias(f"{c}_b") for c in rest])
+    both = a.join(b.hint("merge"), ORDER, "full_outer")
+    n = F.coalesce("n_a", F.lit(0)) + F.coalesce("n_b", F.lit(0))
+    return both.select(*ORDER, n.alias("n"), *[F.when(F.col("n_a").isNotNull(), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(c) for c in PLACE])
 
 
 def _nodes(texts: DataFrame, partly: DataFrame, window: int, node: int) -> DataFrame:
@@ -266,59 +286,66 @@ def _windows(texts: DataFrame, nodes: DataFrame, window: int) -> DataFrame:
     return joined.mapInArrow(tidy(run), "w1 long, w2 long, dk long, th long, i long")
 
 
-def _repeated_spans(spark: SparkSession, texts: DataFrame, family: SuffixFamily, window: int, node: int) -> DataFrame:
-    """(dk, th, s, e): byte ranges that make up all repeated windows; ranges may overlap."""
-    whole, partly = family.scan()
-    every = reduce(DataFrame.unionByName, family.arrays)
-    of_segments = every.join(whole, ["gram", "seg"], "left_semi").select(*KEY, F.col("a").alias("s"), (F.col("b") + window).alias("e"))
+def _repeated_spans(texts: DataFrame, batches: int, window: int, gram: int, node: int) -> DataFrame:
+    """(dk, th, spans): the maximal runs of repeated bytes of each document that has any, in order."""
+    every = stored(suffixes(texts, window, gram), "suffixes", by="batch")
+    family = SuffixFamily(texts.sparkSession)
+    found = [family.take(every.where(F.col("batch") == k)) for k in range(batches)]
+    whole = stored(reduce(DataFrame.unionByName, found).distinct(), "whole")
+    of_segments = every.join(whole, ORDER, "left_semi").select(*KEY, F.col("a").alias("s"), (F.col("b") + window).alias("e"))
 
-    nodes = stored(_nodes(texts, partly, window, node), "nodes")
+    nodes = stored(_nodes(texts, family.partly(), window, node), "nodes")
     twice = nodes.where("span is not null").groupBy("core", "span").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "lo", "hi")).alias("one")).where("n > 1")
     twice = stored(twice, "twice", few=True)
     of_nodes = nodes.join(twice.select("core", "span"), ["core", "span"], "left_semi").select(*KEY, F.col("lo").alias("s"), (F.col("hi") + window).alias("e"))
 
     open_ = nodes.join(twice.select("core", "span"), ["core", "span"], "left_anti")
-    cores = nodes.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    cores = stored(nodes.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores", few=True)
     open_ = stored(open_.join(cores, "core", "left_semi"), "open", few=True)
     # a window may be repeated in a node that is settled: one such node of each kind stands in for all
     stand_in = twice.join(open_.select("core").distinct(), "core", "left_semi").select("one.*")
     windows = stored(_windows(texts, open_.select(*KEY, "lo", "hi").unionByName(stand_in), window), "windows")
-    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    again = stored(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "again", few=True)
     of_windows = windows.join(again, ["w1", "w2"], "left_semi").select(*KEY, F.col("i").alias("s"), (F.col("i") + window).alias("e"))
-    return of_segments.unionByName(of_nodes).unionByName(of_windows)
+
+    runs = stored(_runs(of_segments.unionByName(of_nodes).unionByName(of_windows)), "runs")
+    discard(every, whole, *found, *(x for _, x in family.levels), nodes, twice, cores, open_, windows, again)
+    return runs.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
+
+
+def _runs(spans: DataFrame) -> DataFrame:
+    """Maximal runs of overlapping or touching spans of each document, merged by a sorted pass that can spill."""
+    longest = spans.groupBy(*KEY, "s").agg(F.max("e").alias("e"))
+    order = Window.partitionBy(*KEY).orderBy("s")
+    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = longest.withColumn("begins", F.when(reach >= F.col("s"), 0).otherwise(1))
+    numbered = marked.withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*KEY, "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
 
 
-def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of ``raw``, and the maximal runs that went."""
-    runs: list[list[int]] = []
-    for s, e in sorted(spans):
-        if runs and s <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], e)
-        else:
-            runs.append([s, e])
+def cut(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """What is left of ``raw`` without the runs, which are in order and do not touch."""
     left, at = [], 0
     for s, e in runs:
         left.append(raw[at:s])
         at = e
     left.append(raw[at:])
-    return b"".join(left), [(s, e) for s, e in runs]
+    return b"".join(left)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, node: int = NODE, batches: int = BATCHES, with_kept: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept, spans]) for every row of ``docs``."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text[, kept, spans]) for every row of ``docs``.
+
+    ``text`` is what remains; of a character that was cut, the bytes that remain are left out of it, while ``kept`` has them.
+    """
     if gram & (gram - 1) or window < gram + node:
         raise ValueError("gram must be a power of two and gram + node at most the window")
-    spark = docs.sparkSession
-    texts = Texts(docs, id_col, text_col, batches).df
-    family = SuffixFamily(spark, window, gram)
-    for k in range(batches):
-        family.add(texts.where(F.col("batch") == k))
-    spans = _repeated_spans(spark, texts, family, window, node)
-    lists = spans.groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    texts = store_texts(docs, id_col, text_col, batches)
+    lists = _repeated_spans(texts, batches, window, gram, node)
     joined = texts.select(*KEY, "id", "text").join(lists.hint("shuffle_merge"), KEY, "left").select("id", "text", "spans")
     extra = ", kept binary, spans array<struct<s: long, e: long>>" if with_kept else ""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
     if with_kept:
         kinds += [pa.binary(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))]
         names += ["kept", "spans"]
@@ -326,15 +353,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for d, text, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                raw = text.as_py().encode("utf-8")
-                kept, runs = cut(raw, [(x["s"], x["e"]) for x in found.as_py() or ()])
-                row = (d, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest())
+            for d, text, found in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2), strict=True):
+                raw, runs = text.as_py(), [(x["s"], x["e"]) for x in found.as_py() or ()]
+                kept = cut(raw, runs)
+                row = (d, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))
                 rows.append(row + (kept, [{"s": s, "e": e} for s, e in runs]) if with_kept else row)
             yield _arrow(rows, names, kinds)
 
-    return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)
-
-
-def dedup_digests(docs: DataFrame) -> DataFrame:
-    return dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string" + extra)

@@ -42,7 +42,7 @@ def texts():
     return made + [words(3, i) + shared[i : i + 401 + i] + words(4, 50 + i) for i in range(12)]
 
 
-@pytest.mark.parametrize("batches", [1, 4])
+@pytest.mark.parametrize("batches", [1, 5])
 def test_suffix_dedup_by_hand(spark, batches):
     made = texts()
     df = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string")
@@ -50,7 +50,7 @@ def test_suffix_dedup_by_hand(spark, batches):
     assert [got[i] for i in range(len(made))] == repeats_by_hand(made, 400)
 
 
-def test_suffix_dedup_small_windows_and_pieces(spark, monkeypatch):
+def test_suffix_dedup_small_windows(spark):
     made = [words(60, i % 5)[: 150 + 13 * i] for i in range(25)] + ["ab" * 90, "ba" * 90]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string")
     out = suffix_dedup.dedup(df, window=50, gram=8, node=16, with_kept=True)
@@ -59,6 +59,25 @@ def test_suffix_dedup_small_windows_and_pieces(spark, monkeypatch):
     assert all(sum(s.e - s.s for s in r.spans) == r.n_removed and len(r.kept) == r.n_bytes - r.n_removed for r in rows.values())
 
 
+def test_suffix_dedup_past_a_piece(spark):
+    """Texts longer than PIECE, with a repeat over a piece's edge, periodic ones, and one of 40,000 equal bytes."""
+    shared, edge = words(3000, 21), suffix_dedup.PIECE
+    made = [words(60_000, 22), words(52_000, 23), "x" * 40_000, "abc" * 30_000]
+    made = [made[0][: edge - 3000] + shared + made[0][edge - 3000 :], shared[2000:9000] + made[1], *made[2:]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in suffix_dedup.dedup(df, with_kept=True).collect()}
+    assert max(len(t.encode()) for t in made) > edge
+    assert [(rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, rows[i].kept_sha256) for i in range(len(made))] == repeats_by_hand(made, 400)
+    assert all(rows[i].kept.decode("utf-8", "ignore") == rows[i].text for i in range(len(made)))
+
+
+def test_suffix_dedup_leaves_nothing_in_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id long, text string")
+    suffix_dedup.dedup(made).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_suffix_dedup_odd_tables(spark):
     t = words(100, 9)
     df = spark.createDataFrame([(1, t, 3), (1, t, 4), (None, None, 5)], "doc_id long, text string, dk int")
@@ -71,33 +90,54 @@ def test_suffix_dedup_odd_tables(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.binary(min_size=0, max_size=400))
 def test_every_window_is_in_one_segment(text):
-    found = sorted(s[2:] for s in suffix_dedup.segments(text, 50, 8))
+    found = sorted(s[3:] for s in suffix_dedup.segments(text, 50, 8))
     covered = [i for a, _, b in found for i in range(a, b + 1)]
     assert covered == list(range(max(0, len(text) - 49)))
     assert all(i <= p <= i + 42 for a, p, b in found for i in (a, b))
+    heads = [s[0] for s in suffix_dedup.segments(text, 50, 8)]
+    starts = [text[s[4] : s[4] + 8] for s in suffix_dedup.segments(text, 50, 8)]
+    assert [x for _, x in sorted(zip(heads, starts, strict=True))] == sorted(starts)
+
+
+def batch_of(spark, texts, first=0):
+    df = spark.createDataFrame([(0, first + i, 0, t) for i, t in enumerate(texts)], "batch int, dk long, th long, text string")
+    return suffix_dedup.suffixes(df)
 
 
 def test_levels_merge_geometrically(spark):
     family = suffix_dedup.SuffixFamily(spark)
-    ranks = []
-    for i in range(4):
-        df = spark.createDataFrame([(i, i, words(150, i))], "dk long, th long, text string")
-        family.add(df)
+    ranks, sizes = [], []
+    for i in range(5):
+        family.take(batch_of(spark, [words(150, i)], i))
         ranks.append([r for r, _ in family.levels])
-    assert ranks == [[0], [1], [1, 0], [2]]
+        sizes.append(sum(x.count() for _, x in family.levels))
+    assert ranks == [[0], [1], [1, 0], [2], [2, 0]]
+    assert sizes[-1] == sum(len(list(suffix_dedup.segments(words(150, i).encode()))) for i in range(5))
+    level = family.levels[0][1]
+    for part in level.select("head", "gram", "seg").rdd.glom().collect():
+        assert part == sorted(part)
 
 
-def test_a_new_batch_is_scanned_against_the_levels(spark):
-    family, passage = suffix_dedup.SuffixFamily(spark), words(400, 77)
-    new = spark.createDataFrame([(9, 9, words(30, 5) + passage + words(30, 6)), (10, 10, words(300, 8))], "dk long, th long, text string")
-    assert family.known(new).count() == 0
+def test_a_batch_is_scanned_against_every_level(spark):
+    family, passage, other = suffix_dedup.SuffixFamily(spark), words(400, 77), words(300, 78)
     for i in range(3):
-        family.add(spark.createDataFrame([(i, i, words(40, i) + (passage if i == 1 else "") + words(200, 20 + i))], "dk long, th long, text string"))
-    found = family.known(new).collect()
-    before, inside = len(words(30, 5).encode()), len(passage.encode())
-    assert found and {r.dk for r in found} == {9}
-    assert all(before <= r.s and r.e <= before + inside for r in found)
-    assert max(r.e for r in found) - min(r.s for r in found) > inside - 2 * 400
+        extra = passage if i == 1 else other if i == 2 else ""
+        assert family.take(batch_of(spark, [words(40, i) + extra + words(200, 20 + i)], i)).count() == 0
+    assert [r for r, _ in family.levels] == [1, 0]
+    new = [words(30, 5) + passage + words(30, 6), words(300, 8), other]
+    found = {tuple(r) for r in family.scan(family.array_of(batch_of(spark, new, 9))).collect()}
+    inside = [{s[:3] for s in suffix_dedup.segments(t.encode())} for t in (passage, other)]
+    assert found and found <= inside[0] | inside[1] and all(len(found & x) >= len(x) - 4 for x in inside)
+
+
+def test_scans_and_merges_need_no_exchange(spark):
+    from tests.test_plans import plan
+
+    family = suffix_dedup.SuffixFamily(spark)
+    a, b = (family.array_of(batch_of(spark, [words(150, i)], i)) for i in (1, 2))
+    both = a.select(*suffix_dedup.ORDER).join(b.select(*suffix_dedup.ORDER).hint("merge"), suffix_dedup.ORDER, "left_semi")
+    for text in (plan(both), plan(suffix_dedup._merged(a, b))):
+        assert "SortMergeJoin" in text and "Exchange" not in text
 
 
 def groups_by_hand(fps):
