@@ -5,15 +5,17 @@ not show is left out, and the rest is rendered as text: blocks on lines of their
 a blank line, list items with markers and indentation, preformatted text as it stands, tables with aligned columns.
 
 One row in, one row out; nothing is shuffled.  Defined results: null or empty html gives empty text and title; a page
-without tags is its text; repeated rows are rendered one by one; nesting beyond ``MAX_DEPTH`` is read as if it were at
-that depth, so that no text is lost.
+without tags is its text; repeated rows are rendered one by one; very long pages are read whole; elements may be nested to any
+depth, as nothing here calls itself (the parser keeps a stack, and the renderer is a stack of generators); an empty table gives
+an empty one; columns other than id and html are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -21,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from .shared import Boxed, tidy
 
-MAX_DEPTH = 150
-MAX_SPAN = 1000
+#: The bounds of the HTML standard for the spans of a cell.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -59,10 +61,10 @@ _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", r
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "depth")
+    __slots__ = ("tag", "attrs", "kids")
 
-    def __init__(self, tag: str, attrs: dict[str, str], depth: int):
-        self.tag, self.attrs, self.kids, self.depth = tag, attrs, [], depth
+    def __init__(self, tag: str, attrs: dict[str, str]):
+        self.tag, self.attrs, self.kids = tag, attrs, []
 
 
 def _attrs(raw: str) -> dict[str, str]:
@@ -72,25 +74,58 @@ def _attrs(raw: str) -> dict[str, str]:
     return out
 
 
+class _Open:
+    """The open elements; counts by tag and the place of an open paragraph spare most walks up the stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.count, self.paragraph = [root], Counter(), [0]
+
+    def push(self, node: Node) -> None:
+        self.paragraph.append(len(self.stack) if node.tag == "p" else 0 if node.tag in SCOPE or node.tag == "button" else self.paragraph[-1])
+        self.stack.append(node)
+        self.count[node.tag] += 1
+
+    def cut(self, at: int) -> None:
+        """Closes the element at that place and all inside it."""
+        for node in self.stack[at:]:
+            self.count[node.tag] -= 1
+        del self.stack[at:], self.paragraph[at:]
+
+    def end(self, tags: set[str], guards: set[str]) -> None:
+        """Closes the elements with one of the tags, up to a guard."""
+        while any(self.count[t] for t in tags):
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i].tag in tags:
+                    self.cut(i)
+                    break
+                if self.stack[i].tag in guards:
+                    return
+            else:
+                return
+
+    def end_tag(self, tag: str) -> None:
+        if not self.count[tag]:
+            return
+        for i in range(len(self.stack) - 1, 0, -1):
+            own = self.stack[i].tag
+            if own == tag:
+                return self.cut(i)
+            if own == "table" or (own in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "caption")):
+                return None
+        return None
+
+
 def parse(html: str) -> Node:
-    root = Node("#root", {}, 0)
-    stack, at, n = [root], 0, len(html)
+    root = Node("#root", {})
+    open_, at, n = _Open(root), 0, len(html)
+    stack = open_.stack
 
     def text(s: str) -> None:
         if s:
             if stack[-1].tag == "head" and s.strip():
-                stack.pop()
+                open_.cut(len(stack) - 1)
             stack[-1].kids.append(unescape(s) if "&" in s else s)
 
-    def end(tags: set[str], guards: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return end(tags, guards)
-            if stack[i].tag in guards:
-                return None
-        return None
-
     while at < n:
         m = _MARKUP.search(html, at)
         if not m:
@@ -102,32 +137,19 @@ def parse(html: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            if tag in ("body", "html"):
-                continue  # what follows still belongs to the body
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "caption"):
-                    break
-                if stack[i].tag == "table":
-                    break
+            if tag not in ("body", "html"):  # what follows those still belongs to the body
+                open_.end_tag(tag)
             continue
         if stack[-1].tag == "head" and tag not in IN_HEAD:
-            stack.pop()
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE or stack[i].tag == "button":
-                    break
+            open_.cut(len(stack) - 1)
+        if tag in CLOSES_P and open_.paragraph[-1]:
+            open_.cut(open_.paragraph[-1])
         if tag in ENDED_BY:
-            end(*ENDED_BY[tag])
+            open_.end(*ENDED_BY[tag])
         attrs = _attrs(m[3]) if m[3] and not m[3].isspace() else {}
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+        if tag in ("html", "body") and open_.count[tag]:
             continue
-        node = Node(tag, attrs, len(stack))
+        node = Node(tag, attrs)
         stack[-1].kids.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
@@ -135,9 +157,8 @@ def parse(html: str) -> Node:
             at = close.end() if close else n
             if body:
                 node.kids.append(unescape(body) if tag in ("title", "textarea") else body)
-        elif tag not in VOID and not (m[3] or "").endswith("/") or tag in BLOCK:
-            if tag not in VOID and len(stack) < MAX_DEPTH:
-                stack.append(node)
+        elif tag not in VOID and (not (m[3] or "").endswith("/") or tag in BLOCK):
+            open_.push(node)
     return root
 
 
@@ -158,6 +179,10 @@ def _width(s: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
 
+#: Yields what it waits for and returns its result.
+Steps = Generator["Steps", list, object]
+
+
 class _Lines:
     """Collects text into lines; remembers how many line breaks are due."""
 
@@ -206,31 +231,33 @@ class _Lines:
             self._put(line) if line else self.lines.append("")
 
 
-def _table(node: Node) -> tuple[list[str], list[str]]:
+def _table(node: Node) -> Steps:
     """Caption lines and the rows with aligned cells."""
     caption: list[str] = []
     rows: list[list[str]] = []
     carried: dict[int, int] = {}
 
-    def walk(part: Node) -> Iterator[Node]:
-        for kid in part.kids:
-            if isinstance(kid, Node) and visible(kid):
-                if kid.tag == "tr":
-                    yield kid
-                elif kid.tag == "caption":
-                    caption.extend(render_node(kid))
-                elif kid.tag in ("thead", "tbody", "tfoot"):
-                    yield from walk(kid)
-                elif kid.tag not in ("colgroup", "col"):
-                    caption.extend(render_node(kid))  # misplaced content is shown before the table
-            elif isinstance(kid, str) and kid.strip():
+    trs: list[Node] = []
+    todo = node.kids[::-1]
+    while todo:
+        kid = todo.pop()
+        if isinstance(kid, str):
+            if kid.strip():
                 caption.append(_SPACE.sub(" ", kid).strip())
-
-    def span(cell: Node, name: str) -> int:
+        elif not visible(kid):
+            continue
+        elif kid.tag == "tr":
+            trs.append(kid)
+        elif kid.tag in ("thead", "tbody", "tfoot"):
+            todo.extend(reversed(kid.kids))
+        elif kid.tag not in ("colgroup", "col"):
+            caption.extend((yield _node(kid)))  # captions, and misplaced content, are shown before the table
+
+    def span(cell: Node, name: str, most: int) -> int:
         raw = cell.attrs.get(name, "1").strip()
-        return max(1, min(MAX_SPAN, int(raw))) if raw.isascii() and raw.isdigit() else 1
+        return max(1, min(most, int(raw[:9]))) if raw.isascii() and raw.isdigit() else 1
 
-    for tr in walk(node):
+    for tr in trs:
         row: list[str] = []
 
         def carry(row: list[str] = row) -> None:
@@ -248,9 +275,10 @@ def _table(node: Node) -> tuple[list[str], list[str]]:
             if not visible(cell):
                 continue
             carry()
-            body = " ".join(x.strip() for x in render_node(cell) if x.strip())
-            down = span(cell, "rowspan")
-            for i in range(span(cell, "colspan")):
+            lines = yield _node(cell)
+            body = " ".join(x.strip() for x in lines if x.strip())
+            down = span(cell, "rowspan", MAX_ROWSPAN)
+            for i in range(span(cell, "colspan", MAX_COLSPAN)):
                 if down > 1:
                     carried[len(row)] = down - 1
                 row.append(body if i == 0 else "")
@@ -272,13 +300,31 @@ def _table(node: Node) -> tuple[list[str], list[str]]:
 
 
 def render_node(node: Node) -> list[str]:
+    return _run(_node(node))
+
+
+def _run(steps: Steps) -> list[str]:
+    """Runs a generator that yields the generators that it waits for; the stack of those that wait is a list."""
+    waiting, value = [steps], None
+    while True:
+        try:
+            waiting.append(waiting[-1].send(value))
+            value = None
+        except StopIteration as done:
+            waiting.pop()
+            value = done.value
+            if not waiting:
+                return value
+
+
+def _node(node: Node) -> Steps:
     out = _Lines()
-    _render(node, out)
+    yield _render(node, out)
     out.brk()
     return out.lines
 
 
-def _render(node: Node, out: _Lines) -> None:
+def _render(node: Node, out: _Lines) -> Steps:
     closed = node.tag == "details" and "open" not in node.attrs
     number = int(s) if node.tag == "ol" and (s := node.attrs.get("start", "")).isascii() and s.isdigit() and len(s) < 10 else 1
     for kid in node.kids:
@@ -299,7 +345,7 @@ def _render(node: Node, out: _Lines) -> None:
             out.raw(_plain(kid).strip("\n").split("\n"))
             out.blank()
         elif tag == "table":
-            caption, rows = _table(kid)
+            caption, rows = yield _table(kid)
             out.blank()
             out.raw(caption)
             out.raw(rows)
@@ -308,46 +354,58 @@ def _render(node: Node, out: _Lines) -> None:
             mark = "- "
             if node.tag == "ol":
                 mark, number = f"{number}. ", number + 1
-            lines = render_node(kid)
+            lines = yield _node(kid)
             out.brk()
             if lines:
                 pad = " " * len(mark)
                 out.raw([mark + lines[0], *((pad + x) if x else "" for x in lines[1:])])
         elif tag == "dd":
-            out.raw([("    " + x) if x else "" for x in render_node(kid)])
+            out.raw([("    " + x) if x else "" for x in (yield _node(kid))])
         elif tag == "blockquote":
             out.blank()
-            out.raw([("> " + x) if x else ">" for x in render_node(kid)])
+            out.raw([("> " + x) if x else ">" for x in (yield _node(kid))])
             out.blank()
         elif tag == "select":
-            options = list(_options(kid))
+            options = _options(kid)
             chosen = next((x for x in options if "selected" in x.attrs), options[0] if options else None)
             if chosen:
                 out.word(" " + _plain(chosen) + " ")
         elif tag in BLOCK:
             nested = node.tag in ("li", "ul", "ol") and tag in ("ul", "ol")
             out.blank() if tag in SPACED and not nested else out.brk()
-            _render(kid, out)
+            yield _render(kid, out)
             out.blank() if tag in SPACED and not nested else out.brk()
         elif tag in ("td", "th"):
             out.word(" ")
-            _render(kid, out)
+            yield _render(kid, out)
             out.word(" ")
         else:
-            _render(kid, out)
+            yield _render(kid, out)
 
 
-def _options(node: Node) -> Iterator[Node]:
-    for kid in node.kids:
+def _options(node: Node) -> list[Node]:
+    out, todo = [], node.kids[::-1]
+    while todo:
+        kid = todo.pop()
         if isinstance(kid, Node):
             if kid.tag == "option":
-                yield kid
+                out.append(kid)
             else:
-                yield from _options(kid)
+                todo.extend(reversed(kid.kids))
+    return out
 
 
 def _plain(node: Node) -> str:
-    return "".join(k if isinstance(k, str) else "\n" if k.tag == "br" else _plain(k) if visible(k) else "" for k in node.kids)
+    out, todo = [], node.kids[::-1]
+    while todo:
+        kid = todo.pop()
+        if isinstance(kid, str):
+            out.append(kid)
+        elif kid.tag == "br":
+            out.append("\n")
+        elif visible(kid):
+            todo.extend(reversed(kid.kids))
+    return "".join(out)
 
 
 def title_of(root: Node) -> str:
