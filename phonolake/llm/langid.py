@@ -8,17 +8,18 @@ against the rest is solved.  As the kernel is a scalar product of explicit sets,
 regression weights multiply out to one matrix of features by languages, and a batch of texts is scored by one matrix
 product with it.
 
-The sample is the only bounded thing: ``per_language`` rows of each language with the smallest hash of the id.  Whole
-texts are read, in training and in prediction.
-
-Defined results: null text, or text without a letter, is ``und`` with score 0; without any labelled row every text is
-``und``; ties go to the language that sorts first; repeated rows get equal answers; a null id is held out by no rule and
-is predicted like any other.
+The sample is the only bounded thing: ``per_language`` rows of each language with the smallest hash of the id, and the
+``MAX_LANGUAGES`` labels of the most rows.  Whole texts are read, in training and in prediction.
+
+Defined results: null text, or text without a letter (a character that Unicode counts as one; digits, fractions and
+superscripts are none), is ``und`` with score 0; without any labelled row every text is ``und``; ties go to the language that
+sorts first; repeated rows get equal answers; a null id is held out by no rule and is predicted like any other; very long
+texts are read in overlapping pieces; an empty table gives an empty one; columns other than id, text and language are not
+read, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,9 @@ MAX_N = 4
 FEATURES = 1 << 15
 #: Documented bounds of the labelled sample and of the landmarks in it, for each language.
 PER_LANGUAGE, LANDMARKS = 300, 48
+#: Labels that are learned at most: those of the most rows.  Sums for so many reach the driver.
+MAX_LANGUAGES = 1000
 RIDGE = 1e-2
-_LETTER = re.compile(r"[^\W\d_]")
 #: Every byte that is ASCII but no letter becomes a space; A-Z become a-z.
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)
@@ -93,7 +95,7 @@ class KernelModel:
         names, scores = [], []
         for at in range(0, len(texts), batch):
             part = texts[at : at + batch]
-            has = [bool(t and _LETTER.search(t)) and bool(self.languages) for t in part]
+            has = [bool(t) and any(map(str.isalpha, t)) and bool(self.languages) for t in part]
             rows = [presence(t) for t, ok in zip(part, has, strict=True) if ok]
             best = iter(())
             if rows:
@@ -114,7 +116,8 @@ def held_out(doc_id: Column) -> Column:
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> KernelModel:
     """``labelled``: doc_id, text, lang; rows without text or language are left out."""
     rows = labelled.where("text is not null and lang is not null").withColumn("_u", F.xxhash64(F.lit(3), "doc_id").bitwiseAND(F.lit(2**40 - 1)))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    sums = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in sums.collect()}
     if not counts:
         return KernelModel.fit(np.zeros((0, FEATURES)), [])
     # so many are expected under this hash that fewer than per_language are unlikely; the rest is cut below
