@@ -10,11 +10,14 @@ Pieces find their place by their rank among pieces of their length.  The rank is
 buckets' sums are added up, so a length that a third of all pieces share is spread over all tasks.
 
 Defined results: null text is empty and yields one piece with the single id 0; repeated rows are packed each on its own
-(equal rows are interchangeable); nothing is dropped or cut but documents longer than a sequence.
+(equal rows are interchangeable); a null id is kept; nothing is dropped or cut but documents longer than a sequence; very
+long texts are read whole; an empty table gives an empty one; columns other than id and text are not read, whatever their
+names.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -56,6 +59,19 @@ _FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)])
 #: _CUT[a, b]: whether the tokenizer cuts between bytes of these classes in any case.
 _CUT = np.array([[a in (_GAP,) or b == _GAP or (_JOINED not in (a, b) and (a != b or a == _DIGIT)) for b in range(5)] for a in range(5)])
 _SPECIAL = re.compile(rb"<\|(?:start|end)oftext\|>")
+#: The normalizer and the pattern of words of a tokenizer file to which the cuts above apply.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_words(path: str) -> bool:
+    """Whether the tokenizer of the file lowers letters and cuts words as ``WordTokenizer`` assumes."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    splits = (found.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    same = (found.get("normalizer") or {}).get("normalizers") == _NORMAL and splits[0].get("pattern") == {"Regex": _PATTERN}
+    known = all(_SPECIAL.fullmatch(t["content"].encode()) for t in found.get("added_tokens") or ())
+    return same and splits[0].get("behavior") == "Removed" and known and found.get("post_processor") is None
 
 
 class WordTokenizer:
@@ -63,7 +79,8 @@ class WordTokenizer:
 
     The tokenizer drops white space, lowers all letters, and cuts between letters, digits and symbols before it merges.
     So texts are cut there, ASCII is lowered, and each distinct piece is encoded once and remembered; a text's ids are its
-    pieces' ids one after the other.  Texts that hold a special token's string are encoded as they are.
+    pieces' ids one after the other.  Texts that hold a special token's string are encoded as they are, and so are all texts
+    under a file with other rules.
     """
 
     def __init__(self, path: str):
@@ -71,7 +88,7 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.by_words = Tokenizer.from_file(path), cuts_words(path)
         self.words = Remembered(_FOLD, MAX_CACHED_WORDS)
         self._reset()
 
@@ -95,6 +112,8 @@ class WordTokenizer:
 
     def encode_many(self, texts: list[bytes]) -> list[np.ndarray]:
         """Of UTF-8 bytes."""
+        if not self.by_words:
+            return [np.array(x, "<u4") for x in self._encode(texts)]
         if self.words.full:
             self._reset()
         joined = b" ".join(texts)
@@ -214,12 +233,13 @@ def plan_bins(histogram: dict[int, int], seq_len: int = SEQ_LEN) -> list[tuple[l
                 a = np.array(free)
                 b = np.searchsorted(a, gap + least - a, side="right") - 1
                 ok = (b >= 0) & (a >= a[b.clip(0)])
-                total = np.where(ok, a + a[b.clip(0)], -1)
-                for i in np.argsort(-total, kind="stable")[:8]:
-                    x, y = int(a[i]), int(a[b[i]])
-                    if total[i] > best[0] and (x != y or left[x] - used[x] >= 2):
-                        best = (int(total[i]), x, y)
-                        break
+                # a length is its own partner only if two pieces of it are left; where it is and one is left, no longer partner
+                # fits beside it, and shorter ones look at it themselves: the best of what remains is the best of all pairs
+                two = np.array([left[s] - used[s] >= 2 for s in free])
+                total = np.where(ok & ((b != np.arange(len(a))) | two), a + a[b.clip(0)], -1)
+                i = int(total.argmax())
+                if total[i] > least:
+                    best = (int(total[i]), int(a[i]), int(a[b[i]]))
             if best[1] is None:
                 used[least] += 1
             else:
