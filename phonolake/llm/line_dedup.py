@@ -3,8 +3,8 @@
 Lines are exploded and reduced to a 128-bit hash of their key; documents are counted for each hash; the positions of
 the lines to drop go back to their document, where the remaining lines are joined again by position.  Only hashes and
 positions are shuffled for the counts.  A hot line is one row for each document in an exchange on (hash, document) and
-is summed in each task before the exchange on the hash.  In the joins that bring the verdict back, a hot hash is dealt
-with by Spark's splitting of skewed partitions, as both sides are plain equi-joins.
+is summed in each task before the exchange on the hash.  The sums are stored before the joins that bring the verdict back,
+so that both sides of a join are plain exchanges and Spark can split the partition of a hot hash.
 
 Defined results:
 
@@ -12,6 +12,7 @@ Defined results:
 * rows that repeat both id and text are one document; rows with the same id and another text are counted once for the
   id, and each is cleaned on its own;
 * a null id counts as a document and is smaller than any other id;
+* lines of any length are hashed whole, and texts of any length split whole; an empty table gives an empty one;
 * among ties nothing is left open: the largest id holding the line keeps all its copies of it.
 """
 
@@ -62,8 +63,10 @@ def _dropped_positions(docs: DataFrame, min_chars: int, min_docs: int) -> DataFr
         .agg(F.count(F.lit(1)).alias("_docs"), F.max("_id").alias("_keeper"))
         .where(F.col("_docs") >= min_docs)
     )
+    # stored, so that both sides of the join are plain exchanges, of which Spark splits a hot hash's
+    shared = stored(shared, "shared", few=True)
     lost = held.join(shared, ["_h1", "_h2"]).where(~F.col("_id").eqNullSafe(F.col("_keeper")))
-    return lost.groupBy("_id", "_th").agg(F.flatten(F.collect_list("_at")).alias("_drop"))
+    return stored(lost.groupBy("_id", "_th").agg(F.flatten(F.collect_list("_at")).alias("_drop")), "drops", few=True)
 
 
 def dedup_lines(
