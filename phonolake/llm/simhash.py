@@ -10,7 +10,9 @@ Only distinct fingerprints are joined, so a group of copies of any size is one r
 alternating star contraction, whose rounds are written to the shared folder.  Nothing about documents is collected.
 
 Defined results: null text has no words; texts without words have fingerprint zero and are linked like any other;
-repeated rows get the same answer; a null id keeps its row and never becomes a component's id while another id is there.
+repeated rows get the same answer; a null id keeps its row and never becomes a component's id while another id is there;
+very long texts are read whole, their bits counted in pieces; an empty table gives an empty one; columns other than id
+and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -145,7 +147,9 @@ def classify(slim: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     lowest = named.groupBy("root").agg(F.min("rep").alias("low"))
     linked = named.join(lowest, "root").select(F.col("node").alias("_fp"), "low", "root")
     per_class = classes.withColumnRenamed("fp", "_fp").join(linked, "_fp", "left")
-    return per_class.select("_fp", F.coalesce("low", "rep").alias("_component"), F.coalesce("root", "_fp").alias("_root"))
+    named = per_class.select("_fp", F.coalesce("low", "rep").alias("_component"), F.coalesce("root", "_fp").alias("_root"))
+    # stored, so that the join with the rows is of plain exchanges, of which Spark splits a hot fingerprint's
+    return stored(named, "named", few=True)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
