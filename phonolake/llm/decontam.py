@@ -5,24 +5,28 @@ English words, units after numbers, and names (capitalised words inside a senten
 question with other numbers or names has the same template; a run of name words without punctuation inside is one
 placeholder, and so is a number of several words.  A capitalised word that begins a sentence may be a name or not: texts
 are read both ways, and each window of an item is indexed with every choice.  Windows of ``WINDOW`` template tokens are
-hashed and looked up in the windows of the benchmark.  A document that holds at least ``min_share`` of an item's windows is
-aligned with the item, and equal values in the item's slots must have equal values in the document's (slot consistency).
+hashed and looked up in the windows of the benchmark.  Hits are aligned: those count together whose shifts against the item
+differ by no more words than the item has, so that words put in between part nothing, and a stray phrase elsewhere adds
+nothing.  An alignment that holds at least ``min_share`` of an item's windows is a copy if equal values in the item's slots
+have equal values in the document's, over all slots of the windows that it holds (slot consistency).
 
 The literal windows, lower-cased, are looked up beside the template windows, so that copies in another case or without
-punctuation are found; a document is reported when either share reaches ``min_share``.  Where template windows on the same
-alignment show one value of the item as two values of the document, the literal share alone does not report it.  Template
-windows short of ``MIN_LITERALS`` literals count as held where their literal windows are, in a third share over all windows;
+punctuation are found; they are a share of their own, under the same slot consistency.  A document that holds ``min_share`` of
+them in pieces too far apart for an alignment is reported too.  Template windows short of ``MIN_LITERALS`` literals count as held where their literal windows are, in a third share over all windows;
 shares of template windows alone leave them out, so that other numbers in them lose nothing.
 The benchmark is a stated query set.  It is processed in blocks of bounded size against all documents, so its index in
 memory is bounded whatever its size.  Documents are read once for each block and never shuffled; only hits are grouped.
 
 Defined results: null texts have no tokens; an item with fewer tokens than a window is matched as one window of all its
-tokens; items without tokens match nothing; repeated rows are reported once; a null id is reported as null.
+tokens; items without tokens match nothing; repeated rows are reported once; a null id, of a document or an item, is reported
+as null; very long texts are read whole; an empty table on either side gives an empty one; columns other than ids and texts
+are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -201,7 +205,7 @@ def _hash(tokens: list[int]) -> int:
 class Index:
     """The benchmark items of one block: window hash -> (item, place, choices)."""
 
-    def __init__(self, items: list[tuple[int, str]], size: int = WINDOW):
+    def __init__(self, items: list[tuple[int | None, str]], size: int = WINDOW):
         reader = Reader()
         self.ids, self.tokens, self.size = [], [], size
         #: for each item and place: a window begins there; it counts, sentences' first words being plain; or being names
@@ -325,27 +329,63 @@ class Index:
                         hits[int(self.item[r])][int(self.place[r])].append((int(places[p]), s, p, int(self.bits[r])))
         found = []
         for k in sorted(hits.keys() | exact.keys()):
-            held = hits[k].keys()
-            counts = [(sum(map(bool, ok[list(held)])), int(ok.sum())) for ok in (self.plain[k], self.named[k])]
-            counts.append((len(exact[k]), self.lengths[k]))
-            counts.append((sum(map(bool, self.begins[k][list(held | exact[k].keys())])), int(self.begins[k].sum())))
+            if copy := self._copy(k, hits[k], exact[k], streams, literal, kind, min_share):
+                found.append((self.ids[k], *copy))
+        return found
+
+    def _copy(self, k: int, hits: dict, exact: dict, streams: list, literal: np.ndarray, kind: np.ndarray, min_share: float) -> tuple | None:
+        """(windows hit, windows, share, same values) of the first alignment that is a copy, the one of most hits first; of
+        the literal windows, if they are enough and no alignment is."""
+        reach = len(self.tokens[k][0])
+        # (shift, place, hit); literal hits have no slots to compare
+        at = sorted([(one[0] - place, place, one) for place, some in hits.items() for one in some] + [(p - place, place, ()) for place, some in exact.items() for p in some])
+        shifts = [x[0] for x in at]
+        least = min_share * min([int(ok.sum()) for ok in (self.plain[k], self.named[k], self.begins[k]) if ok.any()] + [self.lengths[k]])
+        wide: list[tuple[int, int]] = []  # (distinct places within reach, shift) of each shift that may hold enough of them
+        inside: Counter[int] = Counter()
+        lo = hi = 0
+        for j, d in enumerate(shifts):
+            if j and d == shifts[j - 1]:
+                continue
+            while hi < len(at) and shifts[hi] <= d + reach:
+                inside[at[hi][1]] += 1
+                hi += 1
+            while shifts[lo] < d - reach:
+                inside[at[lo][1]] -= 1
+                if not inside[at[lo][1]]:
+                    del inside[at[lo][1]]
+                lo += 1
+            if len(inside) >= least:
+                wide.append((len(inside), d))
+        aligned = False
+        for _, d in sorted(wide, key=lambda x: (-x[0], x[1])):
+            nearest: dict[int, tuple[int, tuple]] = {}
+            literals: set[int] = set()
+            for shift, place, one in at[bisect_left(shifts, d - reach) : bisect_right(shifts, d + reach)]:
+                if not one:
+                    literals.add(place)
+                elif place not in nearest or abs(shift - d) < nearest[place][0]:
+                    nearest[place] = (abs(shift - d), one)
+            held = list(nearest)
+            counts = [(int(ok[held].sum()), int(ok.sum())) for ok in (self.plain[k], self.named[k])]
+            counts.append((len(literals), self.lengths[k]))
+            begun = [p for p in nearest.keys() | literals if p < len(self.begins[k])]
+            counts.append((int(self.begins[k][begun].sum()), int(self.begins[k].sum())))
             hit, all_ = max(counts, key=lambda c: c[0] / c[1] if c[1] else 0)
             if not all_ or hit < min_share * all_:
                 continue
-            by_shift: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
-            for place, some in hits[k].items():
-                for word, s, p, bits in some:
-                    by_shift[word - place].append((place, s, p, bits))
-            for place, words in exact[k].items():
-                for p in words:
-                    by_shift[p - place]  # no slot to compare: values are the same
-            if any(self._consistent(k, by_shift[d], streams, literal, kind) for d in sorted(by_shift, key=lambda d: (-len(by_shift[d]), d))):
-                same = all(
-                    place in exact[k] or any(all(mine == theirs for mine, theirs in self._values(k, place, *one[1:], streams, literal, kind)) for one in some)
-                    for place, some in hits[k].items()
-                )
-                found.append((self.ids[k], hit, all_, hit / all_, same))
-        return found
+            aligned = True
+            pairs: dict[int, int] = {}
+            # where the words themselves are held, each slot holds its own value
+            slots = [
+                (mine, mine if place in literals else theirs)
+                for place, (_, one) in nearest.items() for mine, theirs in self._values(k, place, *one[1:], streams, literal, kind)
+            ]
+            if all(pairs.setdefault(mine, theirs) == theirs for mine, theirs in slots):
+                return hit, all_, hit / all_, all(mine == theirs for mine, theirs in slots)
+        if not aligned and len(exact) >= min_share * self.lengths[k]:
+            return len(exact), self.lengths[k], len(exact) / self.lengths[k], True
+        return None
 
     def _values(self, k: int, place: int, s: int, p: int, bits: int, streams: list, literal: np.ndarray, kind: np.ndarray) -> Iterator[tuple[int, int]]:
         """(value of the item, value of the text) in each slot of a window."""
@@ -355,15 +395,6 @@ class Index:
                 a, b = int(places[q]), int(places[q + 1]) if q + 1 < len(places) else len(literal)
                 yield mine, value_of(literal[a:b].tolist(), int(kind[a]))
 
-    def _consistent(self, k: int, some: list[tuple[int, int, int, int]], streams: list, literal: np.ndarray, kind: np.ndarray) -> bool:
-        """Whether no value of the item has two in the text."""
-        pairs: dict[int, int] = {}
-        for one in some:
-            for mine, theirs in self._values(k, *one, streams, literal, kind):
-                if pairs.setdefault(mine, theirs) != theirs:
-                    return False
-        return True
-
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -388,7 +419,8 @@ def _held(
     out = None
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
-        index = Index(sorted((r["i"] if r["i"] is not None else -1, r["t"]) for r in block.collect()), window)
+        rows = sorted(block.collect(), key=lambda r: (r["i"] is None, r["i"] or 0, r["t"]))
+        index = Index([(r["i"], r["t"]) for r in rows], window)
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

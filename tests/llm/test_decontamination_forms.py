@@ -22,7 +22,7 @@ FORMS = {
     "numbers of two words": FRUIT.replace("5", "thirty five").replace("7", "two hundred"),
     "a name of two words": FRUIT.replace("Tom", "Mary Ann"),
     "two values that coincide": FRUIT.replace("5", "6").replace("7", "6"),
-    "all at once": FRUIT.replace("Tom", "Mary Ann").replace("Ann has", "Lee Roy has").replace("Ann gives", "Lee Roy gives").replace("5", "six").replace("7", "6"),
+    "all at once": FRUIT.replace("Ann has", "Lee Roy has").replace("Ann gives", "Lee Roy gives").replace("Tom", "Mary Ann").replace("5", "six").replace("7", "6"),
 }
 
 
