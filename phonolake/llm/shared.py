@@ -53,7 +53,7 @@ def stored(df: DataFrame, name: str, few: bool = False, by: str | None = None) -
     spark = df.sparkSession
     if few:
         most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, min(most, source_bytes(df) >> 26)))
+        df = df.coalesce(max(1, min(most, source_bytes(df) >> 24)))
     path = scratch_path(spark, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return _kept_until_exit(spark.read.schema(df.schema).parquet(path), path)
@@ -82,11 +82,10 @@ def discard(*frames: DataFrame) -> None:
 
 
 def source_bytes(df: DataFrame) -> int:
-    """The bytes of the tables that ``df`` reads, as far as Spark's plan knows them; nothing is run.  Estimates of joins do
-    not enter, as they may be the product of their sides."""
+    """The bytes of the tables that ``df`` reads, by Spark's plan; nothing is run.  2^60 or more where the plan does not know
+    them.  Estimates of joins do not enter, as they may be the product of their sides."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
-    return sum(x for x in sizes if x < 1 << 60)
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def text_of(column: Column) -> Column:

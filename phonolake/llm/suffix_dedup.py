@@ -150,7 +150,7 @@ def store_texts(docs: DataFrame, id_col: str, text_col: str, batches: int) -> Da
     base = base.select(F.coalesce("id", F.lit(-(2**63))).alias("dk"), F.xxhash64("text").alias("th"), "id", "text", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(batches)).cast("int").alias("batch"))
     # as many buckets as an exchange has partitions; fewer for small tables, more where buckets would be large
     size, most = source_bytes(base), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
-    n = max(spark.sparkContext.defaultParallelism, min(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 16), min(most, size // BUCKET_BYTES))
+    n = max(spark.sparkContext.defaultParallelism, min(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 16), min(most, size // BUCKET_BYTES) if size < 1 << 60 else 0)
     return bucketed(base.repartition(n, *KEY), "texts", n, KEY)
 
 
