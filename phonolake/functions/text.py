@@ -204,14 +204,14 @@ def reported_name(text: Column) -> Column:
 def code_points(text: Column) -> Column:
     """``U+0061 U+0062`` of a text."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.array_join(F.transform(chars, lambda c: F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(c)), 4, "0"))), " ")
+    return F.array_join(F.transform(chars, lambda c: F.format_string("U+%04X", F.ascii(c))), " ")
 
 
 @F.pandas_udf(T.StringType())
 def unicode_names(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Names of a text's characters, by commas."""
+    """``char: NAME`` of a text's characters, by semicolons."""
     for s in parts:
-        yield s.map(lambda x: ", ".join(unicodedata.name(c, "UNKNOWN") for c in x), na_action="ignore")
+        yield s.map(lambda x: "; ".join(f"{c}: {unicodedata.name(c, 'UNNAMED')}" for c in x), na_action="ignore")
 
 
 def result_text(response: Column) -> Column:
@@ -220,6 +220,23 @@ def result_text(response: Column) -> Column:
     return F.coalesce(response["text"], response["output_text"], F.array_join(parts, ""))
 
 
+def conversation_of_path(path: Column, mark: str = "_") -> Column:
+    """What stands before the first mark of the file's name."""
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    return F.substring_index(name, mark, 1)
+
+
+def run_tag(moment: Column) -> Column:
+    """A run's tag, such as 20240131_235959."""
+    return F.date_format(moment, "yyyyMMdd_HHmmss")
+
+
+def best_phonemes(response: Column) -> Column:
+    """The phonemes of the best hypothesis of an assessment in JSON, word by word and joined by spaces; empty without any."""
+    words = F.from_json(F.get_json_object(response, "$.NBest[0].Words"), "array<struct<Phonemes: array<struct<Phoneme: string>>>>")
+    return F.coalesce(F.array_join(F.flatten(F.transform(words, lambda w: F.coalesce(w["Phonemes"]["Phoneme"], F.array().cast("array<string>")))), " "), F.lit(""))
+
+
 def speaker_of_path(path: Column) -> Column:
     """The folder that holds the file."""
     return F.element_at(F.split(F.regexp_replace(path, r"/[^/]*$", ""), "/"), -1)

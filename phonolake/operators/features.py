@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +54,14 @@ def feature_distance(a: Sequence[str], b: Sequence[str], gap: float = 1.0) -> fl
     return row[-1]
 
 
+def feature_rates(distance: str, n_phones: str) -> list[Column]:
+    """Aggregates over utterances: FED, the sum of their feature edit distances, FER, that sum in percent of the phones, and
+    PFER, the mean distance of an utterance; zero without phones or rows."""
+    total = F.coalesce(F.sum(distance), F.lit(0.0))
+    fer = F.coalesce(F.try_divide(100.0 * total, F.sum(n_phones)), F.lit(0.0))
+    return [total.alias("FED"), fer.alias("FER"), F.coalesce(F.avg(distance), F.lit(0.0)).alias("PFER")]
+
+
 @F.pandas_udf(T.DoubleType())
 def feature_edit_distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:

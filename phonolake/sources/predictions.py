@@ -15,14 +15,21 @@ SKIPPED = (".cache", ".error")
 def read_lines(spark: SparkSession, pattern: str, skip: tuple[str, ...] = SKIPPED) -> DataFrame:
     """(file, line_no, value) of non-empty lines, without files whose names hold one of ``skip``.
 
-    A shard is one writer's file; reading it whole gives each line its true number."""
-    files = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("__name"), "value")
+    ``line_no`` orders the lines of a file; files of any size are read by many tasks."""
+    lines = lines_in_order(spark.read.text(pattern))
+    name = F.element_at(F.split("file", "/"), -1)
     for part in skip:
-        files = files.where(~F.col("__name").contains(part))
-    lines = files.select("file", F.posexplode(F.split("value", "\r\n|\n")).alias("line_no", "value"))
+        lines = lines.where(~name.contains(part))
     return lines.where(F.trim("value") != "")
 
 
+def lines_in_order(lines: DataFrame) -> DataFrame:
+    """(file, line_no, value) of a text source; ``line_no`` is the offset of the line's split and the row that it is of its
+    task, which reads a split from its beginning to its end."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    return lines.select(F.col("_metadata.file_path").alias("file"), at.alias("line_no"), "value")
+
+
 def parse_records(lines: DataFrame, strict: bool = False) -> DataFrame:
     """(file, line_no, sample_key, rec): flat records, or one-key objects {key: record}; a malformed line is skipped, or
     with ``strict`` an error that names its place."""
@@ -31,7 +38,7 @@ def parse_records(lines: DataFrame, strict: bool = False) -> DataFrame:
     is_flat = F.get_json_object("value", "$.pred").isNotNull() | F.get_json_object("value", "$.passthrough").isNotNull()
     valid = F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{")
     if strict:
-        place = F.concat(F.lit("malformed JSON at "), F.col("file"), F.lit(":"), (F.col("line_no") + 1).cast("string"))
+        place = F.concat(F.lit("malformed JSON in "), F.col("file"), F.lit(": "), F.substring("value", 1, 80))
         lines = lines.withColumn("value", F.when(valid, F.col("value")).otherwise(F.raise_error(place).cast("string")))
     else:
         lines = lines.where(valid)

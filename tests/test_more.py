@@ -51,7 +51,7 @@ def test_more_text(spark):
 
     t = F.col("t")
     assert one(text.clean_response(t, fix_g=False), "a g") == "ag" and one(text.clean_response(t, fix_rhotics=True), "ɚ") == "ə˞"
-    assert one(text.unicode_names(t), "aˈ") == "LATIN SMALL LETTER A, MODIFIER LETTER VERTICAL LINE"
+    assert one(text.unicode_names(t), "aˈ") == "a: LATIN SMALL LETTER A; ˈ: MODIFIER LETTER VERTICAL LINE"
     assert one(text.speaker_of_path(t), "x/spk7/u.wav") == "spk7"
     assert one(text.clean_token(t), " ˈa! ") == "a"
     assert one(F.array_join(text.without_special(F.split(t, " "), ["<s>"]), " "), "<s> a <s>") == "a"
@@ -103,3 +103,62 @@ def test_guesses_and_macro(spark):
 def test_schemas_parse(spark):
     for ddl in (schemas.KALDI_TEXT, schemas.MANIFEST, schemas.BATCH_RESULT, schemas.SCORING, schemas.AUDIT, schemas.SPEAKER_META, schemas.WORD_LIST, schemas.TIME_ALIGNED):
         assert spark.createDataFrame([], ddl).columns
+
+
+def test_code_points_above_the_basic_plane(spark):
+    from phonolake.functions import text
+
+    row = spark.createDataFrame([("a\U0001F600é",)], "t string").select(text.code_points(F.col("t")).alias("p")).first()
+    assert row.p == "U+0061 U+1F600 U+00E9"
+
+
+def test_texts_read_by_their_parts(spark):
+    from phonolake.functions import phones, text
+
+    answer = '{"NBest": [{"Words": [{"Phonemes": [{"Phoneme": "h"}, {"Phoneme": "aw"}]}, {"Word": "x"}, {"Phonemes": [{"Phoneme": "s"}]}]}]}'
+    df = spark.createDataFrame([("HHAH0LOW1", "HH AA T", "a/b/C07_s1_x.wav", answer, "{}")], "a string, b string, p string, j string, e string")
+    row = df.select(
+        phones.read_arpabet(F.col("a")).alias("a"), phones.read_arpabet(F.col("b")).alias("b"), text.conversation_of_path(F.col("p")).alias("c"),
+        text.best_phonemes(F.col("j")).alias("j"), text.best_phonemes(F.col("e")).alias("e"), text.run_tag(F.lit("2024-01-31 23:59:59").cast("timestamp")).alias("t"),
+    ).first()
+    assert row.a == ["h", "ʌ", "l", "oʊ"] and row.b == ["h", "ɑ", "t"] and row.c == "C07" and (row.j, row.e) == ("h aw s", "") and row.t == "20240131_235959"
+
+
+def test_lines_of_large_files_keep_their_order(spark, tmp_path):
+    from phonolake.sources import kaldi
+
+    lines = [f"utt{i % 700} text {i}" for i in range(20_000)]
+    (tmp_path / "text").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = kaldi.read_text(spark, f"{tmp_path}/text")
+        assert spark.read.text(f"{tmp_path}/text").rdd.getNumPartitions() > 4
+        got = {r.utt_id: r.text for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == dict(x.split(" ", 1) for x in lines)
+
+
+def test_small_reports(spark, tmp_path):
+    from phonolake.operators import features
+    from phonolake.sinks import files
+
+    one = spark.createDataFrame([("a", 1.5)], "run string, per double")
+    path = f"file://{tmp_path}/summary.csv"
+    files.append_summary_csv(one, path)
+    files.append_summary_csv(one.select("per", F.lit("b, c").alias("run")), path)
+    assert (tmp_path / "summary.csv").read_text() == 'run,per\na,1.5\n"b, c",1.5\n'
+    assert (tmp_path / "summary.csv.txt").read_text() == "run: a\nper: 1.5\n\nrun: b, c\nper: 1.5\n\n"
+    with pytest.raises(ValueError, match="columns"):
+        files.append_summary_csv(one.withColumn("more", F.lit(1)), path)
+    assert '"rows"' in files.json_report(one, run="x") and '"per": 1.5' in files.json_report(one)
+    counts = spark.createDataFrame([("TA", "none", 5), ("FA", "deletion", 1), ("FA", "substitution", 2)], "bucket string, actual_error_type string, n long")
+    assert files.slot_summary(counts) == "slots: 8\nTA: 5 (none 5)\nFA: 3 (substitution 2, deletion 1)\n"
+    results = spark.createDataFrame([("1", "p", None), ("2", "", "bad")], "key string, processed_transcript string, error string")
+    assert files.read_cache(spark, f"{tmp_path}/cache") is None
+    for k in range(2):
+        files.write_cache(results.withColumn("processed_transcript", F.concat("processed_transcript", F.lit(str(k)))), f"{tmp_path}/cache")
+    assert [(r.key, r.processed_transcript) for r in files.read_cache(spark, f"{tmp_path}/cache").collect()] == [("1", "p1")]
+    rates = spark.createDataFrame([(1.0, 4), (3.0, 4)], "d double, n long").agg(*features.feature_rates("d", "n")).first()
+    assert (rates.FED, rates.FER, rates.PFER) == (4.0, 50.0, 2.0)
