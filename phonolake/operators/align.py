@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,8 +21,25 @@ BLANK = "-"
 Row = tuple[str, str, str]
 
 
+#: From so many symbols on, a row of a table is one step of numpy.
+_WIDE = 24
+
+
 def edit_table(a: Sequence[str], b: Sequence[str], same: Callable[[int, int], bool] | None = None) -> list[list[int]]:
     """Unit-cost edit distances of all prefixes."""
+    if len(b) >= _WIDE:
+        if same:
+            unequal = np.array([[not same(i, j) for j in range(len(b))] for i in range(len(a))], bool).reshape(len(a), len(b))
+        else:
+            x, y = _codes(a, b)
+            unequal = x[:, None] != y[None, :]
+        steps = np.arange(len(b) + 1)
+        rows = [steps]
+        for i in range(len(a)):
+            t = rows[-1] + 1
+            t[1:] = np.minimum(t[1:], rows[-1][:-1] + unequal[i])
+            rows.append(np.minimum.accumulate(t - steps) + steps)  # insertions, each a step to the right
+        return [r.tolist() for r in rows]
     same = same or (lambda i, j: a[i] == b[j])
     table = [list(range(len(b) + 1))]
     for i in range(len(a)):
@@ -32,6 +50,21 @@ def edit_table(a: Sequence[str], b: Sequence[str], same: Callable[[int, int], bo
     return table
 
 
+def _codes(*sides: Sequence[str]) -> list[np.ndarray]:
+    """Numbers for symbols; the blank is zero."""
+    known = {BLANK: 0}
+    return [np.array([known.setdefault(s, len(known)) for s in side], np.int64) for side in sides]
+
+
+def _packed(terms: Sequence[np.ndarray | int], bits: int) -> np.ndarray:
+    """Terms, the first the weightiest, in one number: sums compare as the sums of the terms do, one after the other, as long
+    as each stays below half of 2^bits."""
+    total = np.int64(0)
+    for t in terms:
+        total = (total << np.int64(bits)) + np.asarray(t, np.int64)
+    return total
+
+
 def align_pair(a: Sequence[str], b: Sequence[str], blank: str = BLANK) -> list[tuple[str, str]]:
     """One best alignment: walking back from the end, a tie goes to an insertion, then a deletion, then the diagonal."""
     table, i, j, out = edit_table(a, b), len(a), len(b), []
@@ -99,6 +132,9 @@ def place_prompt(prompted: Sequence[str], rows: Sequence[tuple[str, str]]) -> li
     edits against the predicted ones, length.
     """
 
+    if len(rows) >= _WIDE and len(prompted) + len(rows) < 2048:
+        return _place_wide(prompted, rows)
+
     def symbols(at: tuple[int, ...], move: tuple[int, ...]) -> Row:
         u, h = rows[at[1]] if move[1] else (BLANK, BLANK)
         return (prompted[at[0]] if move[0] else BLANK, u, h)
@@ -111,6 +147,36 @@ def place_prompt(prompted: Sequence[str], rows: Sequence[tuple[str, str]]) -> li
     return [symbols(*s) for s in steps]
 
 
+def _place_wide(prompted: Sequence[str], rows: Sequence[tuple[str, str]]) -> list[Row]:
+    """``place_prompt``, a row of the grid at a time."""
+    p, u, h = _codes(prompted, [r[0] for r in rows], [r[1] for r in rows])
+
+    def value(p: np.ndarray, u: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return _packed((p != u, -((p == h) & (h != 0)).astype(np.int64), -(u == h).astype(np.int64), p != h, 1), 12)
+
+    both = value(p[:, None], u[None, :], h[None, :])
+    right, down = value(np.int64(0), u, h), value(p, np.int64(0), np.int64(0))
+    reach = np.concatenate([[0], np.cumsum(right)])
+    best = [reach]
+    for i in range(len(prompted)):
+        t = best[-1] + down[i]
+        t[1:] = np.minimum(t[1:], best[-1][:-1] + both[i])
+        best.append(np.minimum.accumulate(t - reach) + reach)
+    out, i, j = [], len(prompted), len(rows)
+    while i or j:
+        here = best[i][j]
+        if i and j and best[i - 1][j - 1] + both[i - 1, j - 1] == here:
+            i, j = i - 1, j - 1
+            out.append((prompted[i], *rows[j]))
+        elif i and best[i - 1][j] + down[i - 1] == here:
+            i -= 1
+            out.append((prompted[i], BLANK, BLANK))
+        else:
+            j -= 1
+            out.append((BLANK, *rows[j]))
+    return out[::-1]
+
+
 def align_strict(prompted: Sequence[str], uttered: Sequence[str], predicted: Sequence[str]) -> list[Row]:
     """Uttered and predicted are aligned first, then the prompt is placed on their rows."""
     return place_prompt(prompted, align_pair(uttered, predicted))
@@ -123,6 +189,8 @@ def align_joint(prompted: Sequence[str], uttered: Sequence[str], predicted: Sequ
     predicted, rows that are TA or CD, edits of prompt and predicted, length, rows without a prompt.
     """
     sides = (prompted, uttered, predicted)
+    if sum(map(len, sides)) < 256:
+        return _joint_packed(*sides)
 
     def symbols(at: tuple[int, ...], move: tuple[int, ...]) -> Row:
         return tuple(s[i] if m else BLANK for s, i, m in zip(sides, at, move, strict=True))
@@ -135,6 +203,52 @@ def align_joint(prompted: Sequence[str], uttered: Sequence[str], predicted: Sequ
     return [symbols(*s) for s in _best_path(tuple(map(len, sides)), moves, value, 7)]
 
 
+def _joint_packed(prompted: Sequence[str], uttered: Sequence[str], predicted: Sequence[str]) -> list[Row]:
+    """``align_joint``, a line of the grid along the predicted phones at a time."""
+    p, u, h = _codes(prompted, uttered, predicted)
+
+    def value(p: np.ndarray, u: np.ndarray, h: np.ndarray, prompt: bool) -> np.ndarray:
+        matches = (-((u == h) & (h != 0)).astype(np.int64), -((p == h) & (h != 0)).astype(np.int64), -np.asarray(u == h).astype(np.int64))
+        return _packed((p != u, *matches, p != h, 1, int(not prompt)), 9)
+
+    none, far = np.int64(0), np.int64(2**62)
+    right = value(none, none, h, False)
+    reach = np.concatenate([[0], np.cumsum(right)])
+    ph, uh = value(p[:, None], none, h[None, :], True), value(none, u[:, None], h[None, :], False)
+    pu, only_p, only_u = value(p[:, None], u[None, :], none, True), value(p, none, none, True), value(none, u, none, False)
+    all_ = value(p[:, None, None], u[None, :, None], h[None, None, :], True)
+    best: list[list[np.ndarray]] = []
+    for i in range(len(p) + 1):
+        best.append([])
+        for j in range(len(u) + 1):
+            t = np.full(len(h) + 1, far)
+            if not i and not j:
+                t[0] = 0
+            if i and j:
+                t = np.minimum(t, best[i - 1][j - 1] + pu[i - 1, j - 1])
+                t[1:] = np.minimum(t[1:], best[i - 1][j - 1][:-1] + all_[i - 1, j - 1])
+            if i:
+                t = np.minimum(t, best[i - 1][j] + only_p[i - 1])
+                t[1:] = np.minimum(t[1:], best[i - 1][j][:-1] + ph[i - 1])
+            if j:
+                t = np.minimum(t, best[i][j - 1] + only_u[j - 1])
+                t[1:] = np.minimum(t[1:], best[i][j - 1][:-1] + uh[j - 1])
+            best[i].append(np.minimum.accumulate(t - reach) + reach)
+    out, (i, j, k) = [], map(len, (p, u, h))
+    while i or j or k:
+        here = best[i][j][k]
+        # predecessors in the order in which the grid is walked; the first that explains the score
+        for di, dj, dk in ((1, 1, 1), (1, 1, 0), (1, 0, 1), (1, 0, 0), (0, 1, 1), (0, 1, 0), (0, 0, 1)):
+            if di > i or dj > j or dk > k:
+                continue
+            x, y, z = (p[i - 1] if di else none), (u[j - 1] if dj else none), (h[k - 1] if dk else none)
+            if best[i - di][j - dj][k - dk] + value(x, y, z, bool(di)) == here:
+                break
+        out.append((prompted[i - 1] if di else BLANK, uttered[j - 1] if dj else BLANK, predicted[k - 1] if dk else BLANK))
+        i, j, k = i - di, j - dj, k - dk
+    return out[::-1]
+
+
 def slots(prompted: Sequence[str], other: Sequence[str]) -> tuple[list[str], list[list[str]]]:
     """For each prompted phone its counterpart, and the insertions before, between and behind them."""
     phones, gaps = [], [[]]

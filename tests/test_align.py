@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,3 +93,38 @@ def test_udfs(spark):
     assert [(r.m.TA, r.m.FR, r.m.FA, r.m.CD, r.m.DE) for r in out] == [x[3] for x in STRICT[:6]]
     assert all(r.m.TR == r.m.CD + r.m.DE for r in out)
     assert all(r.n >= len(x[0]) for r, x in zip(out, STRICT, strict=False))
+
+
+def by_the_grid(monkeypatch, call):
+    """The result of the plain walk through the grid, symbol by symbol."""
+    with monkeypatch.context() as m:
+        m.setattr(align, "_WIDE", 10**9)
+        m.setattr(align, "_joint_packed", lambda *sides: slow_joint(*sides))
+        return call()
+
+
+def slow_joint(*sides):
+    def symbols(at, move):
+        return tuple(s[i] if m else align.BLANK for s, i, m in zip(sides, at, move, strict=True))
+
+    def value(at, move):
+        p, u, h = symbols(at, move)
+        blank = align.BLANK
+        return (int(p != u), -int(u == h != blank), -int(p == h != blank), -int(align.bucket(p, u, h) in ("TA", "CD")), int(p != h), 1, 1 - move[0])
+
+    moves = [(1, 1, 1), (0, 1, 1), (0, 0, 1), (1, 0, 0), (1, 1, 0), (1, 0, 1), (0, 1, 0)]
+    return [symbols(*s) for s in align._best_path(tuple(map(len, sides)), moves, value, 7)]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_rows_at_a_time_give_the_same_paths(seed, monkeypatch):
+    r = random.Random(seed)
+    text = lambda most: [r.choice("abc" if seed % 2 else "abcdefgh") for _ in range(r.randint(0, most))]
+    a, b, c = text(60), text(60), text(60)
+    monkeypatch.setattr(align, "_WIDE", 1)
+    wide = (align.edit_table(a, b), align.align_pair(a, b), align.align_strict(a, b, c), align.flap_phones(a, b, [x == "b" for x in b]))
+    short = text(7), text(7), text(7)
+    joint = align.align_joint(*short)
+    plain = by_the_grid(monkeypatch, lambda: (align.edit_table(a, b), align.align_pair(a, b), align.align_strict(a, b, c), align.flap_phones(a, b, [x == "b" for x in b])))
+    assert wide == plain
+    assert joint == slow_joint(*short)
