@@ -6,6 +6,7 @@ to phones letter by letter.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,17 +14,19 @@ from pyspark.sql import functions as F
 
 from ..functions import ipa, phones, text, vocabulary
 from ..operators import align, apply, audit, features, geolocation, inventory, labels, merge, scoring, slots, splits, tables
+from ..session import spread
+from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(duck: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        if duck:
+            SQL[f.__name__] = duck
         return f
 
     return keep
@@ -87,10 +90,9 @@ def q07_label_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT token, n, row_number() OVER (ORDER BY encode(token)) + 3 AS id FROM (
-  SELECT unnest(regexp_extract_all(text, '[ -~]')) AS token, count(*) AS n FROM documents GROUP BY 1)""")
+  SELECT unnest(string_split(text, '')) AS token, count(*) AS n FROM documents GROUP BY 1)""")
 def q08_character_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.regexp_replace("text", "[^ -~]", "").alias("text"))
-    return vocabulary.character_vocabulary(d, "text")
+    return vocabulary.character_vocabulary(spread(table(spark, sf_dir, "documents").select("text")), "text")
 
 
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), props) AS k, coalesce(json_extract_string(props, '$.none'), props) AS other FROM events")
@@ -196,14 +198,17 @@ def q15_top_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_partkey,
-       count(*) OVER (w RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) - count(*) OVER (w RANGE BETWEEN CURRENT ROW AND CURRENT ROW) AS n_near
-FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber)""")
+WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_partkey, l_quantity >= 20 AS src, l_discount > 0.02 AS tgt FROM lineitem)
+SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, CASE WHEN a.tgt THEN coalesce((SELECT string_agg(x.p, ';' ORDER BY x.n, x.p) FROM (
+         SELECT b.l_linenumber AS n, CAST(b.l_partkey AS VARCHAR) AS p FROM l b WHERE b.l_orderkey = a.l_orderkey AND b.l_returnflag = a.l_returnflag AND b.src
+           AND b.l_linenumber <> a.l_linenumber AND abs(b.l_linenumber - a.l_linenumber) <= 2 ORDER BY 1, 2 LIMIT 5) x), '') END AS near_labels,
+       CASE WHEN a.tgt THEN (SELECT count(*) FROM l b WHERE b.l_orderkey = a.l_orderkey AND b.l_returnflag = a.l_returnflag AND b.src) > CAST(a.src AS INT)
+       END AS found_in_group
+FROM l a""")
 def q16_neighbour_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
-    w = Window.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber")
-    near = F.count("*").over(w.rangeBetween(-2, 2)) - F.count("*").over(w.rangeBetween(0, 0))
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", near.alias("n_near"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity", "l_discount")
+    found = merge.neighbours(li, "l_orderkey", "l_linenumber", 2, F.col("l_discount") > 0.02, F.col("l_quantity") >= 20, F.col("l_partkey").cast("string"), ["l_returnflag"])
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "near_labels", "found_in_group")
 
 
 @query("""
@@ -219,22 +224,28 @@ def q17_ctc_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- phone metrics on stand-ins --------------------------------------------------------------------------------------
 
 
-def _initials(column: Column) -> Column:
-    """ASCII letters that begin the words of a text."""
-    return F.lower(F.array_join(F.regexp_extract_all(column, F.lit(r"(?:^|[ \n])([A-Za-z])"), F.lit(1)), ""))
+#: Letters as phones of the inventory, for tables without phonetic text.
+_LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", ("æ", "b", "k", "d", "ɛ", "f", "ɡ", "h", "ɪ", "d͡ʒ", "k", "l", "m", "n", "oʊ", "p", "k", "ɹ", "s", "t", "ʌ", "v", "w", "z", "j", "z"), strict=True))
+#: The letters of a text in SQL, those of equal phones being one.
+_SPELLED = "translate(regexp_replace(lower({}), '[^a-z]', '', 'g'), 'cqx', 'kkz')"
 
 
-@query(r"""
-WITH t AS (SELECT conv_id, turn, lower(list_aggregate(regexp_extract_all(text, '(?:^|[ \n])([A-Za-z])', 1), 'string_agg', '')) AS s FROM conversations),
+def _phones(column: Column) -> Column:
+    """The ASCII letters of a whole text as phones."""
+    table_ = F.create_map(*[F.lit(x) for kv in _LETTERS.items() for x in kv])
+    return F.transform(F.regexp_extract_all(F.lower(column), F.lit("([a-z])"), F.lit(1)), lambda c: F.element_at(table_, c))
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, turn, {_SPELLED.format("text")} AS s FROM conversations),
 p AS (SELECT a.conv_id, a.turn, coalesce(a.s, '') AS hyp, coalesce(b.s, '') AS ref FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
 SELECT conv_id, turn, length(ref) AS n_phones, levenshtein(hyp, ref) AS per_errors,
        round(CASE WHEN length(ref) > 0 THEN 100.0 * levenshtein(hyp, ref) / length(ref) ELSE 0.0 END, 6) AS per FROM p""")
 def q18_phone_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", _initials(F.col("text")).alias("s"))
-    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("s").alias("ref"))
-    p = c.withColumnRenamed("s", "hyp").join(after, ["conv_id", "turn"])
-    n, e = F.length("ref").cast("long"), F.levenshtein("hyp", "ref").cast("long")
-    return p.select("conv_id", "turn", n.alias("n_phones"), e.alias("per_errors"), F.round(F.when(n > 0, 100.0 * e / n).otherwise(0.0), 6).alias("per"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", _phones(F.col("text")).alias("h"))
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("h").alias("u"))
+    scored = scoring.utterance_errors(c.join(after, ["conv_id", "turn"]), with_counts=False)
+    return rounded(scored.select("conv_id", "turn", "n_phones", "per_errors", "per"))
 
 
 @query(r"""
@@ -284,18 +295,17 @@ def q23_disjoint_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.disjoint_speakers(c, "c_name", "c_mktsegment", ["CUSTOMER#000000003", "Customer#000000010"], 20).select("c_custkey", "split")
 
 
-@query("""
-SELECT doc_id, md5(trim(replace(replace(replace(translate(text, ' !"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~ˈˌ', ''), 'g', 'ɡ'), 'ɚ', 'ə˞'), 'ɝ', 'ɜ˞'), chr(10) || chr(9) || ' ')) AS digest FROM documents""".replace("\\\\", "\\"))
+@query(f"""
+SELECT doc_id, md5(trim(replace(replace(replace({sql.nfd("translate(text, ' ' || " + sql.quoted(string.punctuation + "ˈˌ") + ", '')")}, 'g', 'ɡ'), 'ɚ', 'ə˞'), 'ɝ', 'ɜ˞'),
+  chr(10) || chr(9) || ' ')) AS digest FROM documents""")
 def q24_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_text(F.col("text"), decompose=False).cast("binary")).alias("digest"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.md5(text.clean_text(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query(r"""
-SELECT doc_id, len(s) AS n_spans, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS longest FROM (
-  SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '[ \n]', '', 'g'), 'tion|ing|the|and|an|er|en|th'), lambda x: x <> '') AS s FROM documents)""")
+@query(f"""
+SELECT doc_id, len(s) AS n_spans, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS longest FROM (SELECT doc_id, {sql.skipped("text")} AS s FROM documents)""")
 def q25_skipped_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.filter(F.split(F.regexp_replace("text", r"[ \n]", ""), "tion|ing|the|and|an|er|en|th"), lambda x: x != "")
-    d = table(spark, sf_dir, "documents").select("doc_id", s.alias("s"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", phones.skipped_spans(F.col("text")).alias("s"))
     return d.select("doc_id", F.size("s").cast("long").alias("n_spans"), F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).cast("long").alias("longest"))
 
 
@@ -339,13 +349,19 @@ def q30_haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(n, "r").groupBy("s_suppkey").agg(F.round(F.min(geolocation.haversine_km(F.col("a"), F.col("c"), F.col("b"), F.col("d"))), 4).alias("nearest_km"))
 
 
-@query("""
-SELECT doc_id, regexp_extract(text, '\\d+(?:\\.\\d+)?') AS number, nullif(regexp_extract(text, '(\\d{6})', 1), '') AS six,
-  CAST(CASE WHEN regexp_extract(text, '\\d+(?:\\.\\d+)?') <> '' THEN 1 ELSE 0 END AS INT) AS has FROM documents""".replace("\\\\", "\\"))
+@query(r"""
+WITH c AS (SELECT c_custkey, c_acctbal || CASE c_custkey % 4 WHEN 0 THEN ' S' WHEN 1 THEN ' N' WHEN 2 THEN ' degrees W' ELSE '' END AS place FROM customer)
+SELECT 'c' || c_custkey AS id, regexp_extract(place, '[-+]?\d+(?:\.\d+)?') AS number, nullif(regexp_extract(place, '(\d{6})', 1), '') AS six,
+  CASE WHEN regexp_matches(place, '[SW]') THEN -1 ELSE 1 END * CAST(regexp_extract(place, '[-+]?\d+(?:\.\d+)?') AS DOUBLE) AS coordinate FROM c
+UNION ALL
+SELECT 'd' || doc_id, regexp_extract(text, '[-+]?\d+(?:\.\d+)?'), nullif(regexp_extract(text, '(\d{6})', 1), ''),
+  CASE WHEN regexp_matches(text, '[SW]') THEN -1 ELSE 1 END * TRY_CAST(nullif(regexp_extract(text, '[-+]?\d+(?:\.\d+)?'), '') AS DOUBLE) FROM documents""")
 def q31_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    number = F.regexp_extract(t, r"\d+(?:\.\d+)?", 0)
-    return table(spark, sf_dir, "documents").select("doc_id", number.alias("number"), text.six_digits(t).alias("six"), (number != "").cast("int").alias("has"))
+    sides = F.element_at(F.array(F.lit(" S"), F.lit(" N"), F.lit(" degrees W"), F.lit("")), (F.col("c_custkey") % 4 + 1).cast("int"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.concat(F.col("c_acctbal").cast("string"), sides).alias("t"))
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("text").alias("t"))
+    t = F.col("t")
+    return c.unionByName(d).select("id", text.first_number(t).alias("number"), text.six_digits(t).alias("six"), text.coordinate(t).alias("coordinate"))
 
 
 @query("""
@@ -366,11 +382,13 @@ def q33_running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY c_custkey DESC""")
+SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0) ORDER BY c_custkey DESC""")
 def q34_pending_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs are customers; the done ones have an order of a ninth of all orders, the rest is pending."""
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     runs = c.select("c_custkey", "c_name", F.col("c_custkey").alias("m"))
-    return tables.pending_runs(runs, o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "m").drop("m")
+    done = o.where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    return tables.pending_runs(runs, done, "c_custkey", "m").drop("m")
 
 
 @query("""
@@ -424,27 +442,24 @@ def q40_angular_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(e.groupBy("user_id").agg(F.min("a").alias("min_a"), F.max("a").alias("max_a"), F.avg("l").alias("mean_loss")))
 
 
-# ---- operators without an SQL form: rows only -----------------------------------------------------------------------
-
-#: Letters as phones of the inventory, for tables without phonetic text.
-_LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", ("æ", "b", "k", "d", "ɛ", "f", "ɡ", "h", "ɪ", "d͡ʒ", "k", "l", "m", "n", "oʊ", "p", "k", "ɹ", "s", "t", "ʌ", "v", "w", "z", "j", "z"), strict=True))
+# ---- phones of whole texts ------------------------------------------------------------------------------------------
 
 
 def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(language, utt_id, canonical, transcription, prediction): the first word of three turns in a row."""
-    word = F.lower(F.regexp_extract("text", "([A-Za-z]+)", 1))
-    table_ = F.create_map(*[F.lit(x) for kv in _LETTERS.items() for x in kv])
-    spelled = F.array_join(F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.element_at(table_, c)), " ")
+    """(language, utt_id, canonical, transcription, prediction): three turns in a row, whole, spelled in phones."""
+    spelled = F.array_join(_phones(F.col("text")), " ")
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", spelled.alias("p")).where("p <> ''")
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = c.withColumn("u", F.lead("p", 1).over(w)).withColumn("h", F.lead("p", 2).over(w)).where("u is not null")
     utt = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    return t.select(F.col("role").alias("language"), utt.alias("utt_id"), F.col("p").alias("canonical"), F.col("u").alias("transcription"), F.coalesce("h", F.lit("")).alias("prediction"))
+    out = t.select(F.col("role").alias("language"), utt.alias("utt_id"), F.col("p").alias("canonical"), F.col("u").alias("transcription"), F.coalesce("h", F.lit("")).alias("prediction"))
+    return spread(out)
 
 
 @query()
 def r01_mdd_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.summarize(scoring.score_utterances(_triples(spark, sf_dir), joint=True), ["language"])
+    """Of whole turns; the joint alignment, cubic in their length, is in ``r12_joint_mdd``."""
+    return scoring.summarize(scoring.score_utterances(_triples(spark, sf_dir)), ["language"])
 
 
 @query()
@@ -452,36 +467,61 @@ def r02_slot_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.mark_suspects(slots.slot_rows(_triples(spark, sf_dir)))
 
 
-@query()
+@query(f"""
+SELECT doc_id, md5(normalized) AS digest, normalized <> text AS changed, rule_ids, {sql.looks_like_ipa("text")} AS looks_like_ipa FROM ({sql.audit("documents", "doc_id", "text")})
+UNION ALL
+SELECT -1 - event_id, md5(normalized), normalized <> text, rule_ids, {sql.looks_like_ipa("text")}
+FROM ({sql.audit("(SELECT event_id, translate(event_type, 'vcokrp', 'ʃɕʈɚrp') || CASE event_id % 3 WHEN 0 THEN 'tʃ pʰaː' WHEN 1 THEN '' ELSE ' x' END AS x FROM events)", "event_id", "x")})""")
 def r03_normalization_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    """Whole documents, and words of IPA made of event types."""
+    made = F.concat(F.translate("event_type", "vcokrp", "ʃɕʈɚrp"), F.element_at(F.array(F.lit("tʃ pʰaː"), F.lit(""), F.lit(" x")), (F.col("event_id") % 3 + 1).cast("int")))
+    e = table(spark, sf_dir, "events").select((-1 - F.col("event_id")).alias("doc_id"), made.alias("text"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(e))
     out = ipa.normalize_with_audit(d, "text", "r")
-    return out.select("item_id", "r.normalized", "r.changed", F.array_join("r.rule_ids", ";").alias("rule_ids"), ipa.looks_like_ipa(F.col("text")).alias("looks_like_ipa"))
+    return out.select("doc_id", F.md5(F.col("r.normalized").cast("binary")).alias("digest"), "r.changed", F.array_join("r.rule_ids", ";").alias("rule_ids"), ipa.looks_like_ipa(F.col("text")).alias("looks_like_ipa"))
 
 
-@query()
+@query(f"""
+WITH s AS (SELECT doc_id, {sql.segment("text")} AS s FROM documents), p AS (SELECT doc_id, len(s) AS n, {sql.project("s")} AS p FROM s)
+SELECT doc_id, CAST(n AS INT) AS n_tokens, CAST(len(p) AS INT) AS n_phones, md5(coalesce(array_to_string(p, ' '), '')) AS digest FROM p""")
 def r04_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", phones.segment(F.col("text")).alias("s"))
-    p = phones.project_tokens(F.col("s"))
-    return d.select("doc_id", F.size("s").alias("n_tokens"), F.size(p).alias("n_phones"), F.md5(F.array_join(p, " ").cast("binary")).alias("digest"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", phones.segment(F.col("text")).alias("s"))
+    d = d.select("doc_id", F.size("s").alias("n_tokens"), phones.project_tokens(F.col("s")).alias("p"))
+    return d.select("doc_id", "n_tokens", F.size("p").alias("n_phones"), F.md5(F.array_join("p", " ").cast("binary")).alias("digest"))
 
 
-@query()
+@query("""
+SELECT CAST(doc_id AS VARCHAR) AS key, CASE WHEN length(text) % 97 = 0 THEN '' ELSE md5(text) END AS processed_transcript,
+       CASE WHEN length(text) % 97 = 0 THEN '' ELSE text END AS predicted_transcript,
+       CASE WHEN length(text) % 97 = 0 THEN 'RuntimeError' END AS error_type, CASE WHEN length(text) % 97 = 0 THEN 'refused' END AS error_message FROM documents""")
 def r05_apply_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A callable on each row, resumed: half of the results are there already."""
+
     def factory() -> Callable[..., list[dict[str, str]]]:
+        import hashlib
+
         def call(text: str, **_: object) -> list[dict[str, str]]:
             if len(text) % 97 == 0:
                 raise RuntimeError("refused")
-            return [{"processed_transcript": text[:1], "predicted_transcript": text[:3]}]
+            return [{"processed_transcript": hashlib.md5(text.encode()).hexdigest(), "predicted_transcript": text}]
 
         return call
 
-    return apply.run_on_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", factory)
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = apply.run_on_rows(d.where("doc_id % 2 = 0"), "doc_id", factory)
+    out = apply.resume(d, done, "doc_id", factory)
+    return out.select("key", "processed_transcript", "predicted_transcript", F.col("error.type").alias("error_type"), F.col("error.message").alias("error_message"))
 
 
-@query()
+@query(f"""
+WITH s AS (SELECT doc_id, unnest({sql.skipped("text")}) AS span FROM documents),
+n AS (SELECT span, count(*) AS n FROM s GROUP BY span),
+e AS (SELECT span, doc_id FROM (SELECT DISTINCT span, doc_id FROM s) QUALIFY row_number() OVER (PARTITION BY span ORDER BY doc_id) <= 5)
+SELECT span, n, array_to_string(list_transform(string_split(span, ''), lambda c: printf('U+%04X', unicode(c))), ' ') AS code_points,
+       (SELECT string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FROM e WHERE e.span = n.span) AS examples FROM n""")
 def r06_span_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.span_counts(audit.skipped_rows(table(spark, sf_dir, "benchmark"), "item_id", "text", "text"))
+    rows = audit.skipped_rows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", "text")
+    return audit.span_counts(rows).withColumn("examples", F.array_join(F.transform("examples", lambda x: x.cast("string")), ","))
 
 
 @query()
@@ -490,6 +530,9 @@ def r07_feature_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("utt_id", features.feature_edit_distance("h", "u").alias("fed"), align.sub_ins_del("h", "u").alias("e")).select("utt_id", "fed", "e.sub", "e.ins", "e.del")
 
 
+# ---- operators without an SQL form: rows only -----------------------------------------------------------------------
+
+
 @query()
 def r08_conversation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
@@ -511,7 +554,18 @@ def r10_chance_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.mean_and_deviation(out.withColumn("metric", F.lit("accuracy")), ["metric"], "accuracy")
 
 
-@query()
+@query("""SELECT event_id AS id, '$.inner.target' AS path, props AS value FROM events WHERE props IS NOT NULL""")
 def r11_json_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.struct("event_type", F.col("props").alias("target")).alias("inner"))).alias("j"))
     return audit.walk_json(e, "event_id", "j", "target")
+
+
+@query()
+def r12_joint_mdd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joint alignment of the names, brands and types of parts, whole, spelled in phones."""
+    spelled = lambda c: F.array_join(_phones(F.col(c)), " ")
+    p = table(spark, sf_dir, "part").select(F.lit("part").alias("language"), F.col("p_partkey").cast("string").alias("utt_id"), spelled("p_name").alias("canonical"), spelled("p_brand").alias("transcription"), spelled("p_type").alias("prediction"))
+    return scoring.summarize(scoring.score_utterances(spread(p), joint=True), ["language"])
+
+
+from . import corpus_queries  # noqa: E402,F401 - registers the queries of sources, sinks and text functions

@@ -31,7 +31,7 @@ def test_no_products(spark, sf_dir, name):
 
 @pytest.mark.parametrize("name,table,columns", [
     ("q02_missing_keys", "documents", {"doc_id", "source"}), ("q10_accuracy_and_f1", "documents", {"doc_id", "n_chars"}), ("q21_chunk_ids", "orders", {"o_orderkey"}),
-    ("q16_neighbour_window", "lineitem", {"l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"}), ("q23_disjoint_speakers", "customer", {"c_custkey", "c_name", "c_mktsegment"}),
+    ("q16_neighbour_window", "lineitem", {"l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity", "l_discount"}), ("q23_disjoint_speakers", "customer", {"c_custkey", "c_name", "c_mktsegment"}),
 ])
 def test_columns_are_pruned(spark, sf_dir, name, table, columns):
     text = plan(queries.QUERIES[name](spark, sf_dir))
@@ -44,6 +44,10 @@ def test_filters_reach_the_scan(spark, sf_dir):
     assert "PushedFilters: [" in plan(df) and "p_brand" in re.search(r"PushedFilters: \[([^\n]*)\]", plan(df))[1]
 
 
+#: Unicode decomposition, which Spark lacks, and callables and JSON of unknown depth run in Arrow batches.
+IN_PYTHON = {"q24_clean_text", "q25_skipped_spans", "q47_responses", "q50_error_rates", "r03_normalization_audit", "r04_projection", "r05_apply_rows", "r06_span_audit", "r11_json_walk"}
+
+
 def test_native_queries_run_no_python(spark, sf_dir):
-    for name in queries.SQL:
+    for name in queries.SQL.keys() - IN_PYTHON:
         assert not re.search(r"ArrowEvalPython|MapInArrow|MapInPandas|BatchEvalPython", plan(queries.QUERIES[name](spark, sf_dir))), name
