@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import phones, text, vocabulary
-from ..operators import features, geolocation, labels, merge, scoring, slots, splits, tables
+from ..operators import align, features, geolocation, labels, merge, scoring, slots, splits, tables
 from ..plans import evaluation
 from ..session import scratch_folder
 from ..sinks import files
 from ..sources import kaldi, predictions
 from ..sources import tables as sources
 from . import sql
-from .queries import _SPELLED, _phones, query, rounded, table
+from .queries import _LETTERS, _SPELLED, _phones, query, rounded, table
 
 _WAV = mimetypes.guess_type("x.wav")[0]
 _FLAT = r"regexp_replace(text, '[\x20\t\n]+', ' ', 'g')"
@@ -318,3 +318,53 @@ def q54_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("p"), u.alias("u"), F.when(F.col("l_quantity") < 25, "A").otherwise("N").alias("h"))
     p, u, h = F.col("p"), F.col("u"), F.col("h")
     return slots.bucket_counts(s.select(slots.bucket(p, u, h).alias("bucket"), slots.error_type(p, u).alias("actual_error_type")))
+
+
+_PARTS = f"src AS (SELECT p_partkey, {_SPELLED.format('p_name')} AS p, {_SPELLED.format('p_brand')} AS u, {_SPELLED.format('p_type')} AS h FROM part)"
+_AT = "substr({}, CAST(k AS INT), 1)"
+
+
+def _count(condition: str) -> str:
+    """Places of a placed triple where the condition on p, u and h holds."""
+    for name, column in (("$p", "qp"), ("$u", "qu"), ("$h", "qh")):
+        condition = condition.replace(name, _AT.format(column))
+    return f"CAST(len(list_filter(range(1, length(qp) + 1), lambda k: {condition})) AS BIGINT)"
+
+
+def _marks(other: str) -> str:
+    return f"array_to_string(list_transform(range(1, length(qp) + 1), lambda k: CASE WHEN {_AT.format('qp')} = {_AT.format(other)} THEN 'C' ELSE 'E' END), ' ')"
+
+
+def _part_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", *[_phones(F.col(c)).alias(n) for c, n in (("p_name", "c"), ("p_brand", "u"), ("p_type", "h"))])
+
+
+@query(f"""
+WITH RECURSIVE {_PARTS}, uh AS (SELECT u AS a, h AS b FROM src), {sql.pair_paths("pair", "uh")},
+x AS (SELECT s.p, y.pa AS pu, y.pb AS ph, s.p_partkey FROM src s JOIN pair y ON s.u = y.a AND s.h = y.b), {sql.placed("placed", "x")}
+SELECT p_partkey, {_count("$p = $u AND $p = $h")} AS "TA", {_count("$p = $u AND $p <> $h")} AS "FR", {_count("$p <> $u AND $p = $h")} AS "FA",
+       {_count("$p <> $u AND $p <> $h AND $u = $h")} AS "CD", {_count("$p <> $u AND $p <> $h AND $u <> $h")} AS "DE", {_count("$p <> $u AND $p <> $h")} AS "TR",
+       {_marks("qu")} AS "corr_U", {_marks("qh")} AS "corr_P"
+FROM placed z JOIN x ON x.p = z.p AND x.pu = z.pu AND x.ph = z.ph""")
+def q55_strict_mdd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, brands and types of parts, whole, as prompted, uttered and predicted phones."""
+    t = _part_phones(spark, sf_dir).withColumn("m", align.strict_mdd("c", "u", "h"))
+    return t.select("p_partkey", *[f"m.{k}" for k in ("TA", "FR", "FA", "CD", "DE", "TR", "corr_U", "corr_P")])
+
+
+@query(f"""
+WITH RECURSIVE {_PARTS}, uh AS (SELECT u AS a, h AS b FROM src), {sql.pair_paths("pair", "uh")},
+e AS (SELECT a, b, CAST(len(list_filter(range(1, length(pa) + 1), lambda k: {_AT.format('pa')} = '-')) AS BIGINT) AS ins,
+             CAST(len(list_filter(range(1, length(pa) + 1), lambda k: {_AT.format('pb')} = '-')) AS BIGINT) AS del,
+             CAST(len(list_filter(range(1, length(pa) + 1), lambda k: {_AT.format('pa')} <> {_AT.format('pb')} AND {_AT.format('pa')} <> '-' AND {_AT.format('pb')} <> '-')) AS BIGINT) AS sub FROM pair)
+SELECT u, h, count(*) AS n, sum(length(u)) AS phones, round(100.0 * sum(sub) / sum(length(u)), 6) AS "SUB", round(100.0 * sum(ins) / sum(length(u)), 6) AS "INS",
+       round(100.0 * sum(del) / sum(length(u)), 6) AS "DEL", round(100.0 * sum(sub + ins + del) / sum(length(u)), 6) AS "PER"
+FROM src JOIN e ON u = a AND h = b GROUP BY u, h""".replace("sum(length(u)) AS phones", "CAST(sum(length(u)) AS BIGINT) AS phones"))
+def q56_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substitutions, insertions and deletions of brands read as types, in percent of the phones, by spelling."""
+    scored = scoring.utterance_errors(_part_phones(spark, sf_dir))
+    letter = F.create_map(*[F.lit(x) for k, v in _LETTERS.items() if k not in "cqx" for x in (v, k)])
+    spelled = lambda c: F.array_join(F.transform(c, lambda x: F.element_at(letter, x)), "").alias(c)
+    out = scored.groupBy(spelled("u"), spelled("h")).agg(*scoring.error_rates())
+    return rounded(out.select("u", "h", F.col("N").alias("n"), "phones", "SUB", "INS", "DEL", "PER"))

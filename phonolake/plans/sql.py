@@ -86,3 +86,53 @@ def project(tokens: str) -> str:
     names = ", ".join(quoted(k) for k in entries)
     values = ", ".join("[" + ", ".join(map(quoted, v)) + "]" for v in entries.values())
     return f"flatten(list_transform({tokens}, lambda k: coalesce(map_extract_value(MAP([{names}], [{values}]), k), CAST([] AS VARCHAR[]))))"
+
+
+def pair_paths(name: str, source: str) -> str:
+    """CTEs that end in ``name`` (a, b, pa, pb): for each distinct pair of strings of ``source`` (a, b) its alignment, a
+    blank being a hyphen.  Rows of the table of edit distances, then the walk back: insertion, deletion, diagonal."""
+    return f"""
+{name}_t AS (
+  SELECT DISTINCT a, b, 0 AS i, range(0, length(b) + 1) AS row FROM {source}
+  UNION ALL
+  SELECT a, b, i + 1, list_transform(range(0, length(b) + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda k:
+    j - k + CASE WHEN k = 0 THEN row[1] + 1 ELSE least(row[k + 1] + 1, row[k] + CAST(substr(b, k, 1) <> substr(a, i + 1, 1) AS INT)) END)))
+  FROM {name}_t WHERE i < length(a)),
+{name}_w AS (
+  SELECT a, b, list(row ORDER BY i) AS t, length(a) AS i, length(b) AS j, '' AS pa, '' AS pb FROM {name}_t GROUP BY a, b
+  UNION ALL
+  SELECT a, b, t, CASE WHEN ins THEN i ELSE i - 1 END, CASE WHEN ins OR NOT del THEN j - 1 ELSE j END,
+         CASE WHEN ins THEN '-' ELSE substr(a, i, 1) END || pa, CASE WHEN ins OR NOT del THEN substr(b, j, 1) ELSE '-' END || pb
+  FROM (SELECT *, j > 0 AND t[i + 1][j] + 1 = t[i + 1][j + 1] AS ins, i > 0 AND t[i][j + 1] + 1 = t[i + 1][j + 1] AS del FROM {name}_w WHERE i > 0 OR j > 0)),
+{name} AS (SELECT a, b, pa, pb FROM {name}_w WHERE i = 0 AND j = 0)"""
+
+
+def _value(p: str, u: str, h: str) -> str:
+    """The terms of the strict placement in one number: edits, matches, agreements, edits against the prediction, length."""
+    return f"((((CAST({p} <> {u} AS BIGINT) * 4096 - CAST({p} = {h} AND {h} <> '-' AS BIGINT)) * 4096 - CAST({u} = {h} AS BIGINT)) * 4096 + CAST({p} <> {h} AS BIGINT)) * 4096 + 1)"
+
+
+def placed(name: str, source: str) -> str:
+    """CTEs that end in ``name`` (p, pu, ph, qp, qu, qh): prompts of ``source`` (p, pu, ph) placed on the rows of pu and ph."""
+    at = lambda s, k: f"substr({s}, CAST({k} AS INT), 1)"
+    both = lambda i, j: _value(at("p", i), at("pu", j), at("ph", j))
+    down = lambda i: _value(at("p", i), "'-'", "'-'")
+    right = _value("'-'", at("pu", "k"), at("ph", "k"))
+    return f"""
+{name}_c AS (
+  SELECT DISTINCT p, pu, ph, list_transform(range(0, length(pu) + 1), lambda j: CAST(coalesce(list_sum(list_transform(range(1, j + 1), lambda k: {right})), 0) AS BIGINT)) AS c FROM {source}),
+{name}_t AS (
+  SELECT p, pu, ph, c, 0 AS i, c AS row FROM {name}_c
+  UNION ALL
+  SELECT p, pu, ph, c, i + 1, list_transform(range(0, length(pu) + 1), lambda j: c[j + 1] + list_min(list_transform(range(0, j + 1), lambda k:
+    CASE WHEN k = 0 THEN row[1] + {down("i + 1")} ELSE least(row[k + 1] + {down("i + 1")}, row[k] + {both("i + 1", "k")}) END - c[k + 1])))
+  FROM {name}_t WHERE i < length(p)),
+{name}_w AS (
+  SELECT p, pu, ph, list(row ORDER BY i) AS t, length(p) AS i, length(pu) AS j, '' AS qp, '' AS qu, '' AS qh FROM {name}_t GROUP BY p, pu, ph
+  UNION ALL
+  SELECT p, pu, ph, t, CASE WHEN diag OR down THEN i - 1 ELSE i END, CASE WHEN diag OR NOT down THEN j - 1 ELSE j END,
+         CASE WHEN diag OR down THEN substr(p, i, 1) ELSE '-' END || qp, CASE WHEN diag OR NOT down THEN substr(pu, j, 1) ELSE '-' END || qu,
+         CASE WHEN diag OR NOT down THEN substr(ph, j, 1) ELSE '-' END || qh
+  FROM (SELECT *, i > 0 AND j > 0 AND t[i][j] + {both("i", "j")} = t[i + 1][j + 1] AS diag, i > 0 AND t[i][j + 1] + {down("i")} = t[i + 1][j + 1] AS down
+        FROM {name}_w WHERE i > 0 OR j > 0)),
+{name} AS (SELECT p, pu, ph, qp, qu, qh FROM {name}_w WHERE i = 0 AND j = 0)"""

@@ -44,8 +44,8 @@ def test_filters_reach_the_scan(spark, sf_dir):
     assert "PushedFilters: [" in plan(df) and "p_brand" in re.search(r"PushedFilters: \[([^\n]*)\]", plan(df))[1]
 
 
-#: Unicode decomposition, which Spark lacks, and callables and JSON of unknown depth run in Arrow batches.
-IN_PYTHON = {"q24_clean_text", "q25_skipped_spans", "q47_responses", "q50_error_rates", "r03_normalization_audit", "r04_projection", "r05_apply_rows", "r06_span_audit", "r11_json_walk"}
+#: Unicode decomposition, which Spark lacks, alignments with a path, callables and JSON of unknown depth run in Arrow batches.
+IN_PYTHON = {"q24_clean_text", "q25_skipped_spans", "q47_responses", "q50_error_rates", "q55_strict_mdd", "q56_edit_counts", "r03_normalization_audit", "r04_projection", "r05_apply_rows", "r06_span_audit", "r11_json_walk"}
 
 
 def test_native_queries_run_no_python(spark, sf_dir):
