@@ -8,7 +8,8 @@ conversations the one with the smallest id stays.  What remains is rendered as o
 
 Defined results: turns are ordered by turn, then role, then text, nulls first; rows that repeat turn, role and text are
 one turn; a null role is rendered as ``unknown`` and is not equal to that word in the hash; null text is rendered empty
-and differs from the empty text in the hash; a null conversation id is one conversation.
+and differs from the empty text in the hash; a null conversation id is one conversation; very long texts and conversations are
+hashed whole; an empty table gives an empty one; columns other than the four named ones are not read, whatever their names.
 """
 
 from __future__ import annotations

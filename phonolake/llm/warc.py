@@ -14,7 +14,8 @@ folder is in a store that is no file path, archives are rows of a table there.
 
 Defined results: null html is the empty payload; a null url is written as an empty target; rows that repeat an id are
 records of their own (of equal payloads the smallest id is the response, and of equal ids and payloads the first row);
-a null id gets a record without an id header and is read back as null.
+a null id gets a record without an id header and is read back as null; very long payloads are one record; an empty table gives
+no archive and an empty result; columns other than id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -177,14 +178,17 @@ def write_pages(
         F.coalesce(box.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"),
     )
     base = base.withColumn("digest", F.sha2("payload", 256)).withColumn("n_bytes", F.octet_length("payload").cast("long"))
-    base = base.withColumn("_k", F.coalesce("page_id", F.lit(-(2**63))))
-    slim = base.where(F.col("n_bytes") >= min_revisit_bytes).select("page_id", "_k", F.unhex("digest").alias("_d"))
-    groups = slim.groupBy("_d").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    # rows without an id have no key to be dealt by but their digest
+    base = base.withColumn("_k", F.coalesce("page_id", F.lit(-(2**63)))).withColumn("_n", F.when(F.col("page_id").isNull(), F.xxhash64("digest")).otherwise(F.lit(0)))
+    slim = base.where(F.col("n_bytes") >= min_revisit_bytes).select("page_id", "_k", F.col("_n").alias("_nk"), F.unhex("digest").alias("_d"))
+    groups = slim.groupBy("_d").agg(F.min("page_id").alias("_first"), F.count("*").alias("_same")).where("_same > 1").drop("_same")
+    # stored, so that the join is of plain exchanges, of which Spark splits a hot digest's
+    groups = stored(groups, "digests", few=True)
     again = slim.join(groups, "_d").where(~F.col("page_id").eqNullSafe(F.col("_first")))
     # for each id the responses that its payloads repeat: one entry, or a few where an id has several rows
-    of_id = again.groupBy("_k").agg(F.map_from_entries(F.collect_set(F.struct(F.lower(F.hex("_d")), "_first"))).alias("_firsts"))
+    of_id = again.groupBy("_k", F.col("_nk").alias("_n")).agg(F.map_from_entries(F.collect_set(F.struct(F.lower(F.hex("_d")), "_first"))).alias("_firsts"))
     # payloads are shuffled once, by id; that is also how they are dealt to archives
-    marked = base.repartition("_k").join(of_id, "_k", "left")
+    marked = base.repartition("_k", "_n").join(of_id, ["_k", "_n"], "left")
     first = F.try_element_at("_firsts", F.col("digest"))
     marked = marked.withColumn("_first", first).withColumn("_again", F.coalesce(F.map_contains_key("_firsts", F.col("digest")), F.lit(False)))
     marked = marked.withColumn("payload", F.when(F.col("_again"), F.lit(b"")).otherwise(F.col("payload")))

@@ -109,3 +109,17 @@ def test_pages_query(spark, sf_dir):
     from phonolake.llm.html_text import extract_pages
 
     assert sorted((r.page_id or 0, r.text) for r in extract_pages(odd).collect()) == [(0, ""), (1, "a"), (1, "a")]
+
+
+def test_archives_of_no_pages_and_of_very_long_ones(spark):
+    from phonolake.llm import chat, warc
+
+    schema = "page_id long, url string, html string, digest int"
+    assert warc.archive_round_trip(spark.createDataFrame([], schema)).count() == 0
+    long = "<p>" + "word " * 400_000
+    rows = [(None, "u", long, 1), (None, "u", "x" * 200, 1), (None, "u", "x" * 200, 1), (3, None, long, 1), (5, "v", None, 1)]
+    got = sorted(((r.page_id or 0), r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_round_trip(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(0, 200, "response", None), (0, 200, "revisit", None), (0, len(long), "revisit", 3), (3, len(long), "response", None), (5, 0, "response", None)]
+    turns = spark.createDataFrame([(1, 0, "user", long, 9), (2, 0, "user", long, 9), (2, 1, "assistant", "ok", 9)], "conv_id long, turn int, role string, text string, n_turns int")
+    assert [(r.conv_id, r.n_turns, r.n_equal) for r in chat.format_chats(turns).collect()] == [(2, 2, 1)]
+    assert chat.format_chats(turns.limit(0)).count() == 0
