@@ -6,8 +6,8 @@ Each line is judged by itself.  It is removed if it
 
 * does not end in closing punctuation of any script (punctuation rule),
 * holds many symbol characters or shouts with repeated exclamation marks (symbol rule),
-* holds several menu separators (navigation rule), or
-* is a licence, copyright, cookie or script notice (boilerplate rule).
+* holds several menu separators, or is an entry of a menu and nothing else (navigation rule), or
+* is a licence, copyright, cookie or script notice in English, French, German or Spanish (boilerplate rule).
 
 A line is a paragraph, and a long one is not lost for its end or for a phrase in it: the punctuation and boilerplate rules
 fail only lines shorter than ``LONG_LINE`` and lines without any end of a sentence.  ``long_lines=False`` has them fail
@@ -20,7 +20,8 @@ long and sorted, which finds every candidate; candidates are then compared as te
 cannot change a count.
 
 Defined results: null text has no words, counts zero and is rejected; an empty document likewise; repeated rows are
-judged one by one; columns named like an output are replaced.
+judged one by one; very long texts are read whole; an empty table gives an empty one; columns named like an output are
+replaced, others stay.
 """
 
 from __future__ import annotations
@@ -36,9 +37,18 @@ from .shared import ASCII_SPACE, Boxed, text_of
 POSITION_BITS = 21
 #: Phrases that mark a line as boilerplate, as one pattern over the lower-case line.
 BOILERPLATE = (
-    r"all rights reserved|licen[sc]ed under|is licensed|released under the|copyright \(c\)|cookie policy|use cookies|"
-    r"privacy policy|terms of (use|service)|enable javascript|javascript is disabled|lorem ipsum|sign up for our|"
-    r"subscribe to our|click here to"
+    r"(?:^|[^a-z])(?:all rights reserved|licen[sc]ed under|is licensed|released under the|copyright \(c\)|cookie policy|use cookies|"
+    r"privacy policy|terms of (?:use|service)|enable javascript|javascript is disabled|lorem ipsum|sign up for our|"
+    r"subscribe to our|click here to|"
+    r"tous droits réservés|politique de confidentialité|utilise des cookies|mentions légales|conditions d.utilisation|abonnez-vous à|"
+    r"alle rechte vorbehalten|datenschutzerklärung|verwendet cookies|nutzungsbedingungen|abonnieren sie|"
+    r"todos los derechos reservados|política de privacidad|utiliza cookies|términos de uso|suscríbete a)"
+)
+#: A line of the lower-case text that is a menu's entry.
+NAVIGATION = (
+    r"^[\x20\x09-\x0D]*(?:home|menu|search|log ?in|log ?out|sign in|sign up|contact(?: us)?|about(?: us)?|site ?map|skip to content|back to top|"
+    r"next page|previous page|read more|share this|accueil|connexion|rechercher|plan du site|lire la suite|startseite|anmelden|suche|impressum|"
+    r"weiterlesen|inicio|iniciar sesión|buscar|contacto|mapa del sitio|leer más)[\x20\x09-\x0D.!:>»]*$"
 )
 #: Characters of a line from which on it is a paragraph, if a sentence ends in it.
 LONG_LINE = 200
@@ -113,6 +123,7 @@ def judge(
             (F.regexp_count(line, F.lit(r"[#*$%&|<>]")) * 50 <= F.length(line))
             & (F.regexp_count(line, F.lit("!!")) < 2)
             & (F.regexp_count(line, F.lit("[|»›•·]")) < 3)
+            & ~F.lower(line).rlike(NAVIGATION)
             & well_formed
         )
 

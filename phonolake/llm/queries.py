@@ -113,13 +113,13 @@ counted AS (
              AND (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g'))) * 50 <= length(x)
              AND (length(x) - length(replace(x, '!!', ''))) / 2 < 2
              AND length(x) - length(regexp_replace(x, '[|»›•·]', '', 'g')) < 3
-             AND NOT regexp_matches(lower(x), 'BOILERPLATE'))), 'string_agg', chr(10))), 0)) AS lost_chars
+             AND NOT regexp_matches(lower(x), 'NAVIGATION') AND NOT regexp_matches(lower(x), 'BOILERPLATE'))), 'string_agg', chr(10))), 0)) AS lost_chars
   FROM words d LEFT JOIN covered c ON d.doc_id = c.doc_id),
 judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
          NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= 0.5 * length(text) AS kept
   FROM counted)
-""".replace("BOILERPLATE", quality.BOILERPLATE)
+""".replace("BOILERPLATE", quality.BOILERPLATE).replace("NAVIGATION", quality.NAVIGATION)
 
 
 def oracle_sql() -> dict[str, str]:

@@ -136,3 +136,11 @@ def test_key_parts_in_spark(spark):
     keys = {r.i: r.k for r in rows}
     assert keys == {i: t.strip(SPACE).translate(LOWER) for i, t in enumerate(lines)}
     assert all((a.k == b.k) == (a.p == b.p) for a in rows for b in rows)
+
+
+def test_menus_and_notices_in_four_languages(spark):
+    lines = ["Home", " Log in ", "Accueil.", "Impressum", "Mapa del sitio", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Lea nuestra política de privacidad.", "Copyright (c) Us."]
+    kept = ["They went home.", "Inicio la frase con calma.", "It is unlicensed under law."]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines + kept)], "doc_id long, text string")
+    rows = {r.doc_id: r.clean_text for r in quality.judge(df).collect()}
+    assert [rows[i] for i in range(len(lines))] == [""] * len(lines) and [rows[len(lines) + i] for i in range(len(kept))] == kept
