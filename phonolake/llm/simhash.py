@@ -144,7 +144,8 @@ def classify(slim: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     classes = stored(slim.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("rep")), "classes", few=True)
     found = components(links(classes.select("fp"), max_bits))
     named = found.join(classes.withColumnRenamed("fp", "node"), "node")
-    lowest = named.groupBy("root").agg(F.min("rep").alias("low"))
+    # stored, so that the join is of plain exchanges, of which Spark splits that of a component with very many members
+    lowest = stored(named.groupBy("root").agg(F.min("rep").alias("low")), "lowest", few=True)
     linked = named.join(lowest, "root").select(F.col("node").alias("_fp"), "low", "root")
     per_class = classes.withColumnRenamed("fp", "_fp").join(linked, "_fp", "left")
     named = per_class.select("_fp", F.coalesce("low", "rep").alias("_component"), F.coalesce("root", "_fp").alias("_root"))
