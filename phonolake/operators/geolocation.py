@@ -55,22 +55,30 @@ def extent(df: DataFrame, lat: str, lon: str) -> DataFrame:
     return df.agg(*[f(c).alias(f"{n}_{c}") for c in (lat, lon) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))])
 
 
-def miss_rate(df: DataFrame, k: int, key: str, x: str, y: str, z: str, lat: str, lon: str) -> DataFrame:
+#: Places that are broadcast at once, about a megabyte.
+PLACES = 20_000
+
+
+def miss_rate(df: DataFrame, k: int, key: str, x: str, y: str, z: str, lat: str, lon: str, block: int = PLACES) -> DataFrame:
     """Percentage of rows whose target is not among the k distinct targets nearest to the prediction.
 
-    Targets are distinct at six decimals.  They are a stated set of places; each row is compared with all of them in one
-    pass over an array, without a row for each pair, and a place counts as nearer if its product is larger, or equal and
-    it sorts first.  Zero where there are no rows or no more than k places.
+    Targets are distinct at six decimals.  They are a stated set of places; each row is compared with blocks of them, an array
+    of at most about ``block`` places each, in one pass without a row for each pair.  A place counts as nearer if its product is
+    larger, or equal and it sorts first.  Zero where there are no rows or no more than k places.
     """
     places = df.select(F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon")).distinct()
+    n = places.count()
+    blocks = max(1, -(-n // block))
     gx, gy, gz = to_unit(F.col("lat"), F.col("lon"))
-    listed = places.select(F.struct("lat", "lon", gx.alias("x"), gy.alias("y"), gz.alias("z")).alias("g")).agg(F.sort_array(F.collect_list("g")).alias("places"))
-    rows = df.select(F.col(key), F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(z).alias("__z"), F.round(lat, 6).alias("__lat"), F.round(lon, 6).alias("__lon"))
-    joined = rows.crossJoin(F.broadcast(listed))  # the right side is one row
-    product = lambda g: F.col("__x") * g["x"] + F.col("__y") * g["y"] + F.col("__z") * g["z"]
-    own = F.element_at(F.filter("places", lambda g: (g["lat"] == F.col("__lat")) & (g["lon"] == F.col("__lon"))), 1)
-    joined = joined.withColumn("__own", product(own))
-    nearer = F.size(F.filter("places", lambda g: (product(g) > F.col("__own")) | ((product(g) == F.col("__own")) & (F.struct(g["lat"], g["lon"]) < F.struct(F.col("__lat"), F.col("__lon"))))))
-    scored = joined.select((nearer < k).cast("double").alias("hit"), F.size("places").alias("n"))
-    rate = F.when(F.max("n") <= k, 0.0).otherwise(100.0 * (1 - F.avg("hit")))
-    return scored.agg(F.coalesce(rate, F.lit(0.0)).alias("miss_rate"))
+    listed = places.select(F.struct("lat", "lon", gx.alias("x"), gy.alias("y"), gz.alias("z")).alias("g"), F.pmod(F.xxhash64("lat", "lon"), F.lit(blocks)).alias("b"))
+    rows = df.select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(z).alias("__z"), F.round(lat, 6).alias("__lat"), F.round(lon, 6).alias("__lon"))
+    product = lambda x, y, z: F.col("__x") * x + F.col("__y") * y + F.col("__z") * z
+    rows = rows.withColumn("__own", product(*to_unit(F.col("__lat"), F.col("__lon")))).withColumn("__nearer", F.lit(0))
+    ahead = lambda g: (product(g["x"], g["y"], g["z"]) > F.col("__own")) | (
+        (product(g["x"], g["y"], g["z"]) == F.col("__own")) & (F.struct(g["lat"], g["lon"]) < F.struct(F.col("__lat"), F.col("__lon"))))
+    for b in range(blocks):
+        one = listed.where(F.col("b") == b).agg(F.collect_list("g").alias("__places"))
+        rows = rows.crossJoin(F.broadcast(one))  # the right side is one row of bounded size
+        rows = rows.withColumn("__nearer", F.col("__nearer") + F.size(F.filter("__places", ahead))).drop("__places")
+    rate = 100.0 * (1 - F.avg((F.col("__nearer") < k).cast("double")))
+    return rows.agg((F.coalesce(rate, F.lit(0.0)) if n > k else F.lit(0.0)).alias("miss_rate"))

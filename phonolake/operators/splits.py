@@ -57,38 +57,48 @@ def carve_validation(df: DataFrame, unit: str, ratio: float, seed: int = 0) -> D
     return moved.select(*df.columns)
 
 
-def conversation_split(df: DataFrame, conversation: str, label: str, ratios: tuple[float, float, float] = (0.7, 0.15, 0.15)) -> DataFrame:
-    """Whole conversations in train, val or test: first every split gets one of each label, rarest label first, as far as
-    conversations go round; then each goes to the split that is furthest below its share.  The greedy choice is made
-    over the small table of distinct conversations on the driver."""
-    rows = df.groupBy(conversation).agg(F.sort_array(F.collect_set(label)).alias("labels"), F.count("*").alias("n")).orderBy(conversation).collect()
-    names, total = ("train", "val", "test"), sum(r["n"] for r in rows)
-    share = dict(zip(names, ratios, strict=True))
-    holders: dict[str, list] = {}
-    for r in rows:
-        for k in r["labels"]:
-            holders.setdefault(k, []).append(r)
+#: Buckets of a running sum over conversations, whatever their number.
+_BUCKETS = 256
+
+
+def conversation_split(df: DataFrame, conversation: str, label: str, ratios: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 0) -> DataFrame:
+    """Whole conversations in train, val or test.  First every split gets one of each label, rarest label first, as far as
+    conversations go round; the others fill the splits up to their shares of the rows, in the order of a hash.
+
+    The first pass places three conversations for each label at most, so it needs no more than the smallest few of each
+    label; those are all that reaches the driver.  The second is a running sum, by buckets and within them."""
+    sizes = df.where(F.col(conversation).isNotNull()).groupBy(conversation).agg(F.collect_set(label).alias("labels"), F.count("*").alias("n"))
+    held = sizes.select(conversation, "labels", "n", F.explode("labels").alias("label"))
+    number = {r["label"]: r["c"] for r in held.groupBy("label").agg(F.count("*").alias("c")).collect()}  # one row a label
+    order = Window.partitionBy("label").orderBy("n", F.col(conversation).cast("string"))
+    few = held.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= 3 * max(1, len(number)))
+    rows = {r[conversation]: r for r in few.select(conversation, "labels", "n").collect()}
+    names, total = ("train", "val", "test"), sizes.agg(F.sum("n")).first()[0] or 0
     where: dict[object, str] = {}
     filled = dict.fromkeys(names, 0)
-
-    def put(r, name: str) -> None:
-        where[r[conversation]] = name
-        filled[name] += r["n"]
-
-    for k in sorted(holders, key=lambda k: (len(holders[k]), k)):
+    for k in sorted(number, key=lambda k: (number[k], str(k))):
+        own = [r for r in rows.values() if k in r["labels"]]
         for name in ("test", "val", "train"):
-            if any(where.get(r[conversation]) == name for r in holders[k]):
-                continue
-            free = [r for r in holders[k] if r[conversation] not in where]
-            if free:
-                put(min(free, key=lambda r: (r["n"], str(r[conversation]))), name)
-    for r in sorted(rows, key=lambda r: (-r["n"], str(r[conversation]))):
-        if r[conversation] not in where:
-            put(r, max(names, key=lambda s: (share[s] * total - filled[s], s == "train")))
-    spark = df.sparkSession
+            free = [r for r in own if r[conversation] not in where]
+            if free and not any(where.get(r[conversation]) == name for r in own):
+                r = min(free, key=lambda r: (r["n"], str(r[conversation])))
+                where[r[conversation]] = name
+                filled[name] += r["n"]
     kind = df.schema[conversation].dataType.simpleString()
-    side = spark.createDataFrame(list(where.items()), f"{conversation} {kind}, split string")
-    return df.drop("split").join(side, conversation, "left")
+    side = df.sparkSession.createDataFrame(list(where.items()), f"{conversation} {kind}, __placed string")
+    rest = sizes.select(conversation, "n").join(side, conversation, "left_anti").withColumn("__h", F.xxhash64(F.lit(seed), conversation))
+    rest = rest.withColumn("__b", F.pmod("__h", F.lit(_BUCKETS)))
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # over the buckets' sums, a few rows
+    sums = rest.groupBy("__b").agg(F.sum("n").alias("__s")).withColumn("__before", F.coalesce(F.sum("__s").over(before), F.lit(0)))
+    inside = Window.partitionBy("__b").orderBy("__h", conversation).rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.col("__before") + F.sum("n").over(inside) - F.col("n") / 2
+    need = [max(0.0, share * total - filled[s]) for s, share in zip(names, ratios, strict=True)]
+    left = total - sum(filled.values())
+    scale = left / sum(need) if sum(need) else 0.0
+    dealt = rest.join(sums, "__b").withColumn("__m", middle)
+    split = F.when(F.col("__m") < need[0] * scale, "train").when(F.col("__m") < (need[0] + need[1]) * scale, "val").otherwise("test")
+    placed = dealt.select(conversation, split.alias("split")).unionByName(side.select(conversation, F.col("__placed").alias("split")))
+    return df.drop("split").join(placed, conversation, "left")
 
 
 def few_shot(df: DataFrame, label: str, key: str, policy: str, k: int = 0, seed: int = 0) -> DataFrame:

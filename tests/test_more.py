@@ -162,3 +162,21 @@ def test_small_reports(spark, tmp_path):
     assert [(r.key, r.processed_transcript) for r in files.read_cache(spark, f"{tmp_path}/cache").collect()] == [("1", "p1")]
     rates = spark.createDataFrame([(1.0, 4), (3.0, 4)], "d double, n long").agg(*features.feature_rates("d", "n")).first()
     assert (rates.FED, rates.FER, rates.PFER) == (4.0, 50.0, 2.0)
+
+
+def test_places_in_blocks_give_the_same_rate(spark):
+    rows = [(i, math.cos(i * 0.7), math.sin(i * 0.7), math.sin(i * 1.3), math.radians((i * 37) % 120 - 60), math.radians((i * 53) % 300 - 150)) for i in range(150)]
+    df = spark.createDataFrame(rows, "key long, x double, y double, z double, lat double, lon double")
+    whole = geolocation.miss_rate(df, 5, "key", "x", "y", "z", "lat", "lon").first().miss_rate
+    parts = geolocation.miss_rate(df, 5, "key", "x", "y", "z", "lat", "lon", block=40).first().miss_rate
+    assert 0 < whole < 100 and parts == whole
+
+
+def test_whole_conversations_fill_the_splits(spark):
+    rows = [(c, f"l{c % 4 if c < 400 else 9}") for c in range(406) for _ in range(1 + c % 7)]
+    out = splits.conversation_split(spark.createDataFrame(rows, "c long, l string"), "c", "l")
+    assert out.count() == len(rows) and out.where("split is null").count() == 0
+    assert out.groupBy("c").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
+    assert out.where("l = 'l9'").select("split").distinct().count() == 3
+    share = {r.split: r.n / len(rows) for r in out.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    assert abs(share["train"] - 0.7) < 0.02 and abs(share["val"] - 0.15) < 0.02 and abs(share["test"] - 0.15) < 0.02
