@@ -56,13 +56,21 @@ def _codes(*sides: Sequence[str]) -> list[np.ndarray]:
     return [np.array([known.setdefault(s, len(known)) for s in side], np.int64) for side in sides]
 
 
-def _packed(terms: Sequence[np.ndarray | int], bits: int) -> np.ndarray:
-    """Terms, the first the weightiest, in one number: sums compare as the sums of the terms do, one after the other, as long
-    as each stays below half of 2^bits."""
-    total = np.int64(0)
-    for t in terms:
-        total = (total << np.int64(bits)) + np.asarray(t, np.int64)
-    return total
+def _units(most: Sequence[int]) -> list[int]:
+    """What one of each term counts if terms, the first the weightiest, are packed in one number: sums of them compare as the
+    sums of the terms do, one after the other, where the sum of a term spans no more than ``most``."""
+    units = [1]
+    for n in most[:0:-1]:
+        units.append(units[-1] * (n + 1))
+    return units[::-1]
+
+
+def _fits(most: Sequence[int]) -> bool:
+    return _units([*most])[0] * (most[0] + 1) < 1 << 62
+
+
+def _packed(terms: Sequence[np.ndarray | int], units: Sequence[int]) -> np.ndarray:
+    return sum(np.asarray(t, np.int64) * np.int64(u) for t, u in zip(terms, units, strict=True))
 
 
 def align_pair(a: Sequence[str], b: Sequence[str], blank: str = BLANK) -> list[tuple[str, str]]:
@@ -132,7 +140,7 @@ def place_prompt(prompted: Sequence[str], rows: Sequence[tuple[str, str]]) -> li
     edits against the predicted ones, length.
     """
 
-    if len(rows) >= _WIDE and len(prompted) + len(rows) < 2048:
+    if len(rows) >= _WIDE and _fits(_place_spans(len(prompted), len(rows))):
         return _place_wide(prompted, rows)
 
     def symbols(at: tuple[int, ...], move: tuple[int, ...]) -> Row:
@@ -147,12 +155,17 @@ def place_prompt(prompted: Sequence[str], rows: Sequence[tuple[str, str]]) -> li
     return [symbols(*s) for s in steps]
 
 
+def _place_spans(n: int, m: int) -> list[int]:
+    return [n + m, min(n, m), n + m, n + m, n + m]
+
+
 def _place_wide(prompted: Sequence[str], rows: Sequence[tuple[str, str]]) -> list[Row]:
     """``place_prompt``, a row of the grid at a time."""
     p, u, h = _codes(prompted, [r[0] for r in rows], [r[1] for r in rows])
+    units = _units(_place_spans(len(prompted), len(rows)))
 
     def value(p: np.ndarray, u: np.ndarray, h: np.ndarray) -> np.ndarray:
-        return _packed((p != u, -((p == h) & (h != 0)).astype(np.int64), -(u == h).astype(np.int64), p != h, 1), 12)
+        return _packed((p != u, -((p == h) & (h != 0)).astype(np.int64), -np.asarray(u == h).astype(np.int64), p != h, 1), units)
 
     both = value(p[:, None], u[None, :], h[None, :])
     right, down = value(np.int64(0), u, h), value(p, np.int64(0), np.int64(0))
@@ -189,7 +202,7 @@ def align_joint(prompted: Sequence[str], uttered: Sequence[str], predicted: Sequ
     predicted, rows that are TA or CD, edits of prompt and predicted, length, rows without a prompt.
     """
     sides = (prompted, uttered, predicted)
-    if sum(map(len, sides)) < 256:
+    if _fits([sum(map(len, sides))] * 7):
         return _joint_packed(*sides)
 
     def symbols(at: tuple[int, ...], move: tuple[int, ...]) -> Row:
@@ -206,10 +219,11 @@ def align_joint(prompted: Sequence[str], uttered: Sequence[str], predicted: Sequ
 def _joint_packed(prompted: Sequence[str], uttered: Sequence[str], predicted: Sequence[str]) -> list[Row]:
     """``align_joint``, a line of the grid along the predicted phones at a time."""
     p, u, h = _codes(prompted, uttered, predicted)
+    units = _units([len(p) + len(u) + len(h)] * 7)
 
     def value(p: np.ndarray, u: np.ndarray, h: np.ndarray, prompt: bool) -> np.ndarray:
         matches = (-((u == h) & (h != 0)).astype(np.int64), -((p == h) & (h != 0)).astype(np.int64), -np.asarray(u == h).astype(np.int64))
-        return _packed((p != u, *matches, p != h, 1, int(not prompt)), 9)
+        return _packed((p != u, *matches, p != h, 1, int(not prompt)), units)
 
     none, far = np.int64(0), np.int64(2**62)
     right = value(none, none, h, False)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,13 +46,22 @@ def hamming(a: str, b: str) -> float:
     return 1.0 if x is None or y is None else sum(p != q for p, q in zip(x, y, strict=True)) / len(FEATURES)
 
 
+#: The distances of all phones and, behind them, of an unknown one.
+_PHONES = {p: i for i, p in enumerate(VECTORS)}
+_COST = np.array([[hamming(a, b) for b in [*VECTORS, "?"]] for a in [*VECTORS, "!"]])
+
+
 def feature_distance(a: Sequence[str], b: Sequence[str], gap: float = 1.0) -> float:
-    row = [gap * j for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        above, row = row, [gap * i]
-        for j, y in enumerate(b, 1):
-            row.append(min(above[j - 1] + hamming(x, y), above[j] + gap, row[j - 1] + gap))
-    return row[-1]
+    """Least cost of turning one sequence into the other; a row of the table is one step of numpy."""
+    y = np.array([_PHONES.get(p, len(_PHONES)) for p in b], np.int64)
+    known = {p: _COST[_PHONES.get(p, len(_PHONES))][y] if p in _PHONES else np.array([hamming(p, q) for q in b]) for p in set(a)}
+    reach = gap * np.arange(len(b) + 1)
+    row = reach
+    for x in a:
+        t = row + gap
+        t[1:] = np.minimum(t[1:], row[:-1] + known[x])
+        row = np.minimum.accumulate(t - reach) + reach
+    return round(float(row[-1]), 9)
 
 
 def feature_rates(distance: str, n_phones: str) -> list[Column]:

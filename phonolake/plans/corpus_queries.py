@@ -13,7 +13,7 @@ from .. import schemas
 from ..functions import phones, text, vocabulary
 from ..operators import align, features, geolocation, labels, merge, scoring, slots, splits, tables
 from ..plans import evaluation
-from ..session import scratch_folder
+from ..session import scratch_folder, spread
 from ..sinks import files
 from ..sources import kaldi, predictions
 from ..sources import tables as sources
@@ -240,7 +240,7 @@ def q50_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.array_join(_phones(F.col("text")), " ").alias("ipa"))
     after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ipa").alias("transcription"))
     t = c.join(after, ["conv_id", "turn"]).select(F.col("role").alias("language"), F.col("ipa").alias("prediction"), "transcription", F.col("transcription").alias("canonical"))
-    scored = scoring.utterance_errors(scoring.project_triplet(t), with_counts=False)
+    scored = scoring.utterance_errors(scoring.project_triplet(spread(t)), with_counts=False)
     sums = scored.groupBy("language").agg(F.sum("per_errors").alias("errors"), *[c for c in scoring.error_rates()[:3]])
     return rounded(sums.select("language", F.col("N").alias("n"), "phones", "errors", F.col("PER").alias("per")))
 

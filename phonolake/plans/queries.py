@@ -244,7 +244,7 @@ SELECT conv_id, turn, length(ref) AS n_phones, levenshtein(hyp, ref) AS per_erro
 def q18_phone_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", _phones(F.col("text")).alias("h"))
     after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("h").alias("u"))
-    scored = scoring.utterance_errors(c.join(after, ["conv_id", "turn"]), with_counts=False)
+    scored = scoring.utterance_errors(spread(c.join(after, ["conv_id", "turn"])), with_counts=False)
     return rounded(scored.select("conv_id", "turn", "n_phones", "per_errors", "per"))
 
 
@@ -464,7 +464,9 @@ def r01_mdd_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def r02_slot_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slots.mark_suspects(slots.slot_rows(_triples(spark, sf_dir)))
+    """The whole sequences, which every slot's row repeats, are left out before the rows are sorted."""
+    rows = slots.slot_rows(_triples(spark, sf_dir)).drop("canonical_seq", "uttered_seq", "predicted_seq")
+    return slots.mark_suspects(rows)
 
 
 @query(f"""

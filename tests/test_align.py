@@ -128,3 +128,21 @@ def test_rows_at_a_time_give_the_same_paths(seed, monkeypatch):
     plain = by_the_grid(monkeypatch, lambda: (align.edit_table(a, b), align.align_pair(a, b), align.align_strict(a, b, c), align.flap_phones(a, b, [x == "b" for x in b])))
     assert wide == plain
     assert joint == slow_joint(*short)
+
+
+def test_feature_distance_by_cells():
+    from phonolake.operators import features
+
+    def slow(a, b, gap=1.0):
+        row = [gap * j for j in range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            above, row = row, [gap * i]
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j - 1] + features.hamming(x, y), above[j] + gap, row[j - 1] + gap))
+        return row[-1]
+
+    r = random.Random(3)
+    symbols = [*list(features.VECTORS)[:12], "Q", "?", "!"]
+    for _ in range(60):
+        a, b = ([r.choice(symbols) for _ in range(r.randint(0, 20))] for _ in range(2))
+        assert features.feature_distance(a, b) == pytest.approx(slow(a, b), abs=1e-9)
