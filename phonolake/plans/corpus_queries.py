@@ -173,7 +173,7 @@ def q47_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thoughts are split from answers, and answers cleaned, over whole texts."""
     d = table(spark, sf_dir, "documents").where("lang is not null and source is not null")
     r = F.when(F.col("doc_id") % 3 == 0, F.concat("lang", F.lit(" <think> "), "source", F.lit(" </think> "), "text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" <think>"), "source")).otherwise(F.col("text"))
-    d = d.select("doc_id", r.alias("r"))
+    d = spread(d.select("doc_id", r.alias("r")))
     answer, thought = text.thought_split(F.col("r"))
     digest = lambda c: F.md5(c.cast("binary"))
     # clean_token strips white space at both ends, the SQL's texts have it inside only
