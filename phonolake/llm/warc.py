@@ -1,7 +1,7 @@
 """WARC archives with dictionary compression.
 
 Records are dealt to tasks by a hash of their id, and a task writes archives of a bounded size.  Each archive is one file: a skippable Zstandard frame with a
-dictionary built from records of that archive, then every record as a frame of its own, compressed with the dictionary.
+dictionary built from a sample over all records of that archive, then every record as a frame of its own, compressed with the dictionary.
 Any record can thus be read alone, given the file's first frame.
 
 Equal payloads are found by digest: the digests are counted with partial sums, so a payload that a third of all pages
@@ -26,7 +26,7 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 from typing import BinaryIO
 from urllib.parse import urlparse
 from urllib.request import url2pathname
@@ -42,8 +42,9 @@ from .shared import Boxed, scratch_path, stored, tidy
 #: First bytes of the skippable frame that holds the dictionary.
 DICT_MAGIC = 0x184D2A5D
 DICT_BYTES = 64 << 10
-#: Bytes of an archive's first records from which its dictionary is built.
+#: Bytes of the sample from which an archive's dictionary is built: pieces spread evenly over all of its records.
 SAMPLE_BYTES = 4 << 20
+SAMPLE_PIECE = 16 << 10
 ARCHIVE_BYTES = 32 << 20
 MIN_REVISIT_BYTES = 100
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public URL namespace
@@ -80,26 +81,26 @@ def build_dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict | No
         return zstandard.ZstdCompressionDict(b"".join(samples)[-DICT_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
+def sample_of(records: list[bytes], sample_bytes: int = SAMPLE_BYTES) -> list[bytes]:
+    """Pieces at equal steps over the whole archive: long records give many, and together they have about ``sample_bytes``."""
+    step = max(1, -(-sum(map(len, records)) // sample_bytes))
+    places = ((r, at) for r in records for at in range(0, len(r), SAMPLE_PIECE))
+    return [r[at : at + SAMPLE_PIECE] for r, at in islice(places, 0, None, step)]
+
+
 def write_stream(f: BinaryIO, records: Iterator[bytes], sample_bytes: int = SAMPLE_BYTES) -> int:
-    """Writes one archive and returns its number of records."""
-    held, size = [], 0
-    for r in records:
-        held.append(r)
-        size += len(r)
-        if size >= sample_bytes:
-            break
-    dictionary = build_dictionary(held)
+    """Writes one archive and returns its number of records.  They are held until the dictionary is built: an archive is of bounded size."""
+    held = list(records)
+    dictionary = build_dictionary(sample_of(held, sample_bytes))
     if dictionary is None:
         return 0
     # the dictionary is itself compressed, as its frame allows
     raw = zstandard.ZstdCompressor(level=3).compress(dictionary.as_bytes())
     f.write(struct.pack("<II", DICT_MAGIC, len(raw)) + raw)
     packer = zstandard.ZstdCompressor(level=3, dict_data=dictionary)
-    n = 0
-    for r in chain(held, records):
+    for r in held:
         f.write(packer.compress(r))
-        n += 1
-    return n
+    return len(held)
 
 
 def write_archive(path: str, records: Iterator[bytes], sample_bytes: int = SAMPLE_BYTES) -> int:

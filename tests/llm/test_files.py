@@ -79,6 +79,14 @@ def test_archive_layout(tmp_path):
         list(warc.read_archive(path))
 
 
+def test_the_dictionary_is_of_the_whole_archive(tmp_path):
+    records = [bytes([65 + i]) * 100 for i in range(50)] + [b"z" * 100_000]
+    got = warc.sample_of(records, 40_000)
+    assert 20_000 <= sum(map(len, got)) <= 60_000 and len({g[:1] for g in got}) > 10 and got[-1][:1] == b"z"
+    assert warc.sample_of(records, 1 << 20) == records[:50] + [b"z" * n for n in [16384] * 6 + [1696]]
+    assert warc.sample_of([]) == [] and warc.sample_of([b""]) == []
+
+
 @pytest.mark.parametrize("html,text", [
     (None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\n\nb"), ("a<br>b<br><br>c", "a\nb\n\nc"), ("<div>a</div><div>b</div>", "a\nb"),
     ("<ul><li>a<li>b<ul><li>c</ul></ul>", "- a\n- b\n  - c"), ("<ol start=3><li>a</li><li>b</li></ol>", "3. a\n4. b"),
