@@ -6,44 +6,57 @@ from collections.abc import Callable
 
 import numpy as np
 
-_RATE = np.uint64(0x5851F42D4C957F2D)
+from .shared import Growing
+
+_RATES = (np.uint64(0x5851F42D4C957F2D), np.uint64(0xDA942042E4DD58B5))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes read at once, and the longest word that is remembered.  Beyond that length a word is looked at by itself, as the
 #: sums that serve as hashes are sound for short strings only.
 BATCH_BYTES = 1 << 20
 MAX_WORD = 256
+#: Bytes whose sums are held at once, however long a text is.
+_BLOCK = 1 << 17
 
 
-def _inverse_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _inverse_powers(n: int, rate: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
-        inverse = _RATE
+        inverse = rate
         for _ in range(6):  # Newton's iteration for the inverse of an odd number
-            inverse = inverse * (np.uint64(2) - _RATE * inverse)
-        up = np.cumprod(np.full(n, _RATE))
+            inverse = inverse * (np.uint64(2) - rate * inverse)
+        up = np.cumprod(np.full(n, rate))
         down = np.cumprod(np.full(n, inverse))
     return up, down
 
 
 class WordHasher:
-    """64-bit hashes of byte ranges: sums of a random number for each byte times the powers of an odd number."""
+    """64-bit hashes of byte ranges: sums of a random number for each byte times the powers of an odd number.  ``which``
+    of two independent ones: together they tell words by 128 bits."""
 
-    def __init__(self, fold: np.ndarray | None = None):
-        table = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    def __init__(self, fold: np.ndarray | None = None, which: int = 0):
+        table = np.random.default_rng(20240607 + which).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.table = table if fold is None else table[fold]
-        self.up, self.down = _inverse_powers(1024)
+        self.up, self.down = _inverse_powers(_BLOCK + MAX_WORD, _RATES[which])
 
     def hashes(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if len(self.up) < len(raw) + 1:
-            self.up, self.down = _inverse_powers(2 * len(raw) + 1)
+        """Of ranges of up to ``MAX_WORD`` bytes, in order of their starts."""
+        out = np.empty(len(start), np.uint64)
+        edges = np.searchsorted(start, np.arange(0, len(raw) + _BLOCK, _BLOCK)).tolist()
+        sums = np.zeros(_BLOCK + MAX_WORD + 1, np.uint64)
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(self.table[raw] * self.up[: len(raw)], out=sums[1:])
-            h = (sums[end] - sums[start]) * self.down[start]
-            h ^= (end - start).astype(np.uint64) << np.uint64(56)
-            h ^= h >> np.uint64(32)
-            h *= _MIX
-            h ^= h >> np.uint64(29)
-        return np.maximum(h, np.uint64(1))  # 0 marks an empty place
+            for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                if a == b:
+                    continue
+                base = k * _BLOCK
+                part = raw[base : base + _BLOCK + MAX_WORD]
+                np.cumsum(self.table[part] * self.up[: len(part)], out=sums[1 : len(part) + 1])
+                here = start[a:b] - base
+                h = (sums[end[a:b] - base] - sums[here]) * self.down[here]
+                h ^= (end[a:b] - start[a:b]).astype(np.uint64) << np.uint64(56)
+                h ^= h >> np.uint64(32)
+                h *= _MIX
+                h ^= h >> np.uint64(29)
+                out[a:b] = h
+        return np.maximum(out, np.uint64(1))  # 0 marks an empty place
 
 
 class HashIndex:
@@ -82,6 +95,11 @@ class HashIndex:
         self._place(keys, np.arange(self.size, self.size + len(keys), dtype=np.int32))
         self.size += len(keys)
 
+    def skip(self) -> int:
+        """The next number, which then belongs to no key."""
+        self.size += 1
+        return self.size - 1
+
     def _place(self, keys: np.ndarray, values: np.ndarray) -> None:
         mask = np.int64((1 << self.bits) - 1)
         at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -96,14 +114,17 @@ class HashIndex:
 
 
 class Remembered:
-    """Numbers for words by their hash, with the words themselves shown once to whoever learns facts about them."""
+    """Numbers for words by 128 bits of hash, with the words themselves shown once to whoever learns facts about them.
+
+    The index goes by the first 64 bits; a word whose other 64 bits are not those of the word that it meets there is kept
+    by its bytes."""
 
     def __init__(self, fold: np.ndarray | None = None, most: int = 1_500_000):
-        self.hasher, self.most = WordHasher(fold), most
+        self.hasher, self.checker, self.most = WordHasher(fold), WordHasher(fold, 1), most
         self.reset()
 
     def reset(self) -> None:
-        self.index = HashIndex()
+        self.index, self.checks, self.clashing = HashIndex(), Growing("u8"), {}
 
     @property
     def full(self) -> bool:
@@ -111,7 +132,7 @@ class Remembered:
 
     def numbers(self, joined: bytes, raw: np.ndarray, start: np.ndarray, end: np.ndarray, learn: Callable[[list[bytes]], None]) -> np.ndarray:
         """The number of each range; ``learn`` gets the list of new words, in the order of their numbers."""
-        keys = self.hasher.hashes(raw, start, end)
+        keys, checks = self.hasher.hashes(raw, start, end), self.checker.hashes(raw, start, end)
         out = self.index.find(keys)
         new = np.flatnonzero(out < 0)
         if len(new):
@@ -119,5 +140,13 @@ class Remembered:
             where = new[first]
             learn([joined[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
             self.index.add(distinct)
+            self.checks.extend(checks[where])
             out[new] = self.index.find(keys[new])
+        for k in np.flatnonzero(self.checks.room[out] != checks).tolist():
+            word = joined[start[k] : end[k]]
+            if word not in self.clashing:
+                learn([word])
+                self.clashing[word] = self.index.skip()
+                self.checks.extend(checks[k : k + 1])
+            out[k] = self.clashing[word]
         return out

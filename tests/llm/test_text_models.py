@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from phonolake.llm import chat, decontam, langid, packing, queries
-from phonolake.llm.words import HashIndex, WordHasher
+from phonolake.llm.words import HashIndex, Remembered, WordHasher
 
 TOKENIZER = packing.default_tokenizer()
 
@@ -48,6 +48,39 @@ def test_any_text(texts):
         assert g.tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_words_of_one_hash_stay_apart(plain):
+    """With a first hash of three values nearly all words clash in it, and the second tells them."""
+    class Poor:
+        def __init__(self, hasher):
+            self.hasher = hasher
+
+        def hashes(self, *args):
+            return self.hasher.hashes(*args) % np.uint64(3) + np.uint64(1)
+
+    words = packing.WordTokenizer(TOKENIZER)
+    words.words.hasher = Poor(words.words.hasher)
+    r = random.Random(3)
+    for _ in range(20):
+        text = " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 4))) for _ in range(200))
+        assert words.encode(text.encode()).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(words.words.clashing) > 100
+
+
+def test_word_hashes_do_not_depend_on_the_place():
+    r = np.random.default_rng(5)
+    word = [bytes(r.integers(97, 123, int(n)).astype(np.uint8)) for n in r.integers(1, 257, 300)]
+    joined = b" ".join(word * 12)  # longer than two blocks
+    assert len(joined) > 3 << 17
+    size = np.array([len(w) for w in word * 12])
+    end = np.cumsum(size + 1) - 1
+    raw = np.frombuffer(joined, np.uint8)
+    for which in (0, 1):
+        h = WordHasher(which=which).hashes(raw, end - size, end).reshape(12, 300)
+        assert (h == h[0]).all() and len(set(h[0].tolist())) == len(set(word))
+    got = Remembered().numbers(joined, raw, end - size, end, lambda new: None)
+    assert len(set(got.tolist())) == len(set(word)) and (got.reshape(12, 300) == got[:300]).all()
+
+
 def test_hash_index():
     r = np.random.default_rng(0)
     keys = np.unique(r.integers(1, 2**63, 5000, dtype=np.uint64))
