@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +48,35 @@ def truncated(tokens: Column, most: int = 512, empty: str = "?") -> Column:
 
 def in_slashes(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.concat(F.lit("/"), t, F.lit("/")))
+
+
+@lru_cache(maxsize=8)
+def _pieces(path: str):
+    """One processor for each worker and model file."""
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=path)
+
+
+def piece_functions(path: str) -> dict[str, Callable[..., Column]]:
+    """Functions of columns by a subword model's file, which all executors can read: text_to_pieces, text_to_ids,
+    pieces_to_ids, ids_to_pieces, pieces_to_text, ids_to_text.  Null stays null; a piece that the model lacks has the id
+    of its unknown piece."""
+
+    def over_rows(kind: str, step: Callable) -> Callable[..., Column]:
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = _pieces(path)
+            for s in parts:
+                yield pd.Series([None if x is None else step(model, x) for x in s], index=s.index, dtype=object)
+
+        run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return F.pandas_udf(run, kind)
+
+    return {
+        "text_to_pieces": over_rows("array<string>", lambda m, x: m.encode(x, out_type=str)),
+        "text_to_ids": over_rows("array<int>", lambda m, x: m.encode(x, out_type=int)),
+        "pieces_to_ids": over_rows("array<int>", lambda m, x: [m.piece_to_id(p) for p in x]),
+        "ids_to_pieces": over_rows("array<string>", lambda m, x: [m.id_to_piece(int(i)) for i in x]),
+        "pieces_to_text": over_rows("string", lambda m, x: m.decode_pieces(list(x))),
+        "ids_to_text": over_rows("string", lambda m, x: m.decode_ids([int(i) for i in x])),
+    }

@@ -30,14 +30,44 @@ def groups_over(df: DataFrame, by: list[str], least: int) -> DataFrame:
     return df.join(big, by, "left_semi")
 
 
+#: Hash classes of a group's rows, each of which gives one row as a boundary of the group's ranges.
+_PIVOTS = 64
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], rank: str = "__r", total: str = "__n") -> DataFrame:
+    """Adds each row's rank in its group, from 1, and the group's number of rows; null keys are a group, nulls come first.
+
+    No group is sorted by one task: up to ``_PIVOTS`` of its rows, chosen by hash, cut it into ranges; a row's rank is the
+    number of rows in the ranges before its own, and its rank in that.  Any boundaries give the same ranks."""
+    key = F.struct(*order)
+    picked = df.groupBy(*by, F.pmod(F.xxhash64(*order), F.lit(_PIVOTS)).alias("__c")).agg(F.min_by(key, F.xxhash64(F.lit(1), *order)).alias("__k"))
+    bounds = picked.groupBy(*by).agg(F.collect_list("__k").alias("__k")).select(*[F.col(c).alias(f"__b_{c}") for c in by], "__k")
+    same = [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in by]
+    cut = df.join(bounds, same).withColumn("__p", F.size(F.filter("__k", lambda k: k < key))).drop("__k", *bounds.columns)
+    inside = Window.partitionBy(*by, "__p").orderBy(*order)
+    sums = cut.groupBy(*by, "__p").agg(F.count("*").alias("__s"))
+    group = Window.partitionBy(*by)  # at most one row for each range
+    before = F.coalesce(F.sum("__s").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[F.col(c).alias(f"__b_{c}") for c in by], F.col("__p").alias("__b__p"), before.alias("__before"), F.sum("__s").over(group).alias(total))
+    placed = cut.withColumn("__i", F.row_number().over(inside)).join(sums, [*same, F.col("__p") == F.col("__b__p")])
+    return placed.withColumn(rank, F.col("__before") + F.col("__i")).select(*df.columns, rank, total)
+
+
 def fraction_split(df: DataFrame, by: list[str], order: list[str], train: float = 0.75, val: float = 0.10) -> DataFrame:
     """Within each group, by rank: floor(n * train) rows train, floor(n * val) rows val, the rest test."""
-    w = Window.partitionBy(*by)
-    df = df.withColumn("__r", F.row_number().over(w.orderBy(*order))).withColumn("__n", F.count("*").over(w))
+    df = ranked(df, by, order)
     a, b = F.floor(F.col("__n") * train), F.floor(F.col("__n") * val)
     return df.withColumn("split", F.when(F.col("__r") <= a, "train").when(F.col("__r") <= a + b, "val").otherwise("test")).drop("__r", "__n")
 
 
+def choose_units(df: DataFrame, by: list[str], unit: str, n: int, seed: int = 0) -> DataFrame:
+    """The rows of n units of each group (districts of a state, files of a district), chosen by hash; all where there are
+    fewer.  Only distinct units are ranked, and Spark limits their ranks before the exchange."""
+    units = df.where(F.col(unit).isNotNull()).select(*by, unit).distinct().withColumn("__h", F.xxhash64(F.lit(seed), *by, unit))
+    chosen = head_n(units, by, ["__h", unit], n).select(*[F.col(c).alias(f"__u_{c}") for c in [*by, unit]])
+    return df.join(chosen, [F.col(c).eqNullSafe(F.col(f"__u_{c}")) for c in [*by, unit]], "left_semi")
+
+
 def disjoint_speakers(df: DataFrame, speaker: str, group: str, test_speakers: list[str], n_val: int) -> DataFrame:
     """Speakers are in one split only: listed ones in test (whatever their case), then the first min(n_val, n - 1) of
     each group in val, the rest in train.  Ranks are over distinct speakers."""
