@@ -114,6 +114,15 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return near.select("a", "b")
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with ``m`` of ``least`` (u, m).
+
+    The join is on another number that stands for u, so that the sums are exchanged once more: Spark splits the partition of
+    a node with very many links only where both sides are plain exchanges."""
+    key = F.col("u").bitwiseXOR(F.lit(1)).alias("_k")
+    return edges.select("u", "v", key).join(least.select(key, "m"), "_k").drop("_k")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): for every node of ``edges`` (long columns a, b; any direction, repeats allowed) the smallest node
     of its component.  Alternating large-star and small-star rounds; each is written to the shared folder."""
@@ -125,10 +134,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: every node's smaller neighbours and itself go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s")).select("s.u", "s.v").where("u <> v")
+        small = _with_least(large, least).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s")).select("s.u", "s.v").where("u <> v")
         new = stored(small.distinct(), "edges", few=True)
         e, after = new, checksum(new)
         if after == before:
