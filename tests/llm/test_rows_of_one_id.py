@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from phonolake.llm import decontam, simhash
 
 ITEM = "the quick farmer sells many crates of apples at a market near the old river mill"
@@ -24,28 +22,3 @@ def test_one_row_of_each_component(spark):
     assert len(kept) == 3
     assert {(r.doc_id, r.text) for r in kept if r.doc_id is not None} == {(1, other), (0, third + " ")}
     assert [r.text.strip() for r in kept if r.doc_id is None] == [ITEM]
-
-
-def test_a_node_of_very_many_links_is_split(spark):
-    """A star of 60,000 links among others: the join of the links with the least neighbours is marked as split."""
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40KB", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
-    }
-    old = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        star = spark.range(1, 60_001, 1, 4).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
-        others = spark.range(100_000, 103_000, 1, 4).select(F.col("id").alias("u"), (F.col("id") + 10_000).alias("v"))
-        edges = star.unionByName(others)
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        got = simhash._with_least(edges, low)
-        rows = got.collect()
-        assert len(rows) == 63_000 and all(r.m == (1 if r.u == 0 else r.v) for r in rows)
-        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    found = simhash.components(edges.toDF("a", "b")).collect()
-    assert len(found) == 60_001 + 6_000 and {r.root for r in found if r.node <= 60_000} == {0}
