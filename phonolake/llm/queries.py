@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_text, langid, line_dedup, packing, quality, simhash, suffix_dedup, warc
+from . import chat, decontam, html_text, langid, line_dedup, packing, prefix_trie, quality, resampling, simhash, suffix_dedup, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,10 +57,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(prefix_trie.branched_sequences(table(spark, sf_dir, "conversations"))).drop("n_ends")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [
         op1_line_dedup, op2_suffix_dedup, op3_warc, op4_quality_rules, op5_packing,
-        op6_html_extraction, op7_simhash, op8_chat, op9_decontamination, op10_language,
+        op6_html_extraction, op7_simhash, op8_chat, op9_decontamination, op10_language, op11_prefix_trie, op12_token_counts,
+        op13_resampling,
     ]
     return {f.__name__: f for f in made}
 
@@ -122,6 +135,13 @@ judged AS (
 """.replace("BOILERPLATE", quality.BOILERPLATE).replace("NAVIGATION", quality.NAVIGATION)
 
 
+def _crc32(text: str) -> str:
+    """The checksum of an SQL string, a byte and then its eight bits at a time."""
+    steps = f"flatten(list_transform(range(0, strlen({text})), lambda i: [('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT, 256, 256, 256, 256, 256, 256, 256, 256]))"
+    step = "CASE WHEN x < 256 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda a, x: {step}), 4294967295)"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": f"""
@@ -147,4 +167,51 @@ p AS (SELECT DISTINCT turns[1:n] AS head FROM (SELECT turns, unnest(range(1, n_t
 u AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS n_equal FROM c GROUP BY turns)
 SELECT u.conv_id, c.n_turns, u.n_equal, c.text FROM u JOIN c ON u.conv_id = c.conv_id
 WHERE u.turns NOT IN (SELECT head FROM p)""",
+        "op11_prefix_trie": f"""
+WITH t AS (
+  SELECT conv_id, md5(strlen(r) || ':' || r || x) AS key, strlen(x) AS size,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(r) || ':' || r || x)) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+ids AS (SELECT conv_id, conv_id - conv_id % 5 AS first, {_crc32("s")} % 9 AS h FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM t)),
+mixed AS (
+  SELECT i.conv_id, 0 AS part, pos, key, size FROM ids i JOIN t ON t.conv_id = i.first AND pos <= h
+  UNION ALL SELECT i.conv_id, 1, pos, key, size FROM ids i JOIN t ON t.conv_id = i.conv_id AND pos > h),
+c AS (
+  SELECT i.conv_id, coalesce(keys, []) AS keys, coalesce(sizes, []) AS sizes
+  FROM ids i LEFT JOIN (SELECT conv_id, list(key ORDER BY part, pos) AS keys, list(size ORDER BY part, pos) AS sizes FROM mixed GROUP BY conv_id) m ON m.conv_id = i.conv_id),
+p AS (SELECT conv_id, keys[1:d] AS node, d, sizes[d] AS size, len(keys) = d AS ends FROM (SELECT *, unnest(range(0, len(keys) + 1)) AS d FROM c)),
+n AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(max(size), 0) AS size,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ended
+  FROM p GROUP BY node, d),
+k AS (SELECT node[1:d - 1] AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.node = k.node),
+s AS (
+  SELECT node[1:up] AS node, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * size) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM w) GROUP BY 1)
+SELECT w.conv_id, w.d AS depth, a.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves::BIGINT AS n_leaves,
+       s.saved::BIGINT AS saved_tokens, sha256(w.ended) AS ends_sha256
+FROM w JOIN s ON w.node = s.node LEFT JOIN n a ON w.d > 0 AND a.node = w.node[1:w.d - 1]""",
+        "op13_resampling": f"""
+WITH raw AS (
+  SELECT true AS own, row_number() OVER () AS r, doc_id, text FROM documents
+  UNION ALL SELECT false, row_number() OVER (), NULL, text FROM benchmark),
+w AS (
+  SELECT own, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM raw),
+f AS (
+  SELECT own, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+b AS (SELECT f, {_crc32("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM f)),
+h AS (SELECT own, r, bucket FROM f JOIN b USING (f)),
+s AS (SELECT bucket, count(*) FILTER (WHERE own) AS s, count(*) FILTER (WHERE NOT own) AS t FROM h GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (all_s + 10000)) / ((s + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain
+  FROM s, (SELECT sum(s) AS all_s, sum(t) AS all_t FROM s)),
+d AS (SELECT r, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM h JOIN g USING (bucket) WHERE own GROUP BY r),
+e AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS eligible,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM w LEFT JOIN d ON w.r = d.r WHERE own),
+o AS (SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id) AS k, count(*) FILTER (WHERE eligible) OVER () AS n FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND k <= 25 * n // 100 THEN k END AS rank FROM o""",
     }
