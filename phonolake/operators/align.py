@@ -1,22 +1,24 @@
 """Alignment of phone sequences.
 
-Each row is aligned by itself, in Arrow batches, without a shuffle.  Equal triples repeat a lot in word-level corpora;
-every worker remembers the alignments it has made, within a bound.  Edit distances that need no path are Spark's own
-levenshtein over one letter a phone.
+Rows are aligned in Arrow batches, without a shuffle: the columns' functions at the end go by ``align_batch``, which aligns many
+rows at once.  The functions on single rows say what an alignment is, a table or a grid at a time.  Edit distances that need
+no path are Spark's own levenshtein over one letter a phone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import align_batch
+
 BLANK = "-"
 Row = tuple[str, str, str]
 
@@ -325,48 +327,64 @@ MDD_TYPE = _struct(
 SLOT_TYPE = T.ArrayType(_struct(slot_type=_TEXT, slot_index=_INT, gap_pos=_INT, prompted=_TEXT, uttered=_TEXT, predicted=_TEXT))
 
 
-def _summary(rows: list[Row]) -> dict:
-    found = [bucket(*r) for r in rows]
-    n = {k: found.count(k) for k in ("TA", "FR", "FA", "CD", "DE")}
+def _marks(same: np.ndarray) -> str:
+    """``C`` and ``E`` with spaces between them."""
+    out = np.full(max(0, 2 * len(same) - 1), ord(" "), np.uint8)
+    out[::2] = np.where(same, ord("C"), ord("E"))
+    return out.tobytes().decode()
+
+
+def _summary(names: np.ndarray, p: np.ndarray, u: np.ndarray, h: np.ndarray) -> dict:
+    """Counts and texts of the rows of an alignment, whose symbols are numbers of ``names``."""
+    as_said, as_read, agree = u == p, h == p, u == h
+    cd, de = int((~as_said & ~as_read & agree).sum()), int((~as_said & ~as_read & ~agree).sum())
     return {
-        "TR": n["CD"] + n["DE"], **n,
-        "corr_U": " ".join("C" if p == u else "E" for p, u, _ in rows), "corr_P": " ".join("C" if p == h else "E" for p, _, h in rows),
-        "prompted": " ".join(r[0] for r in rows), "uttered": " ".join(r[1] for r in rows), "predicted": " ".join(r[2] for r in rows),
+        "TR": cd + de, "TA": int((as_said & as_read).sum()), "FR": int((as_said & ~as_read).sum()), "FA": int((~as_said & as_read).sum()), "CD": cd, "DE": de,
+        "corr_U": _marks(as_said), "corr_P": _marks(as_read), "prompted": " ".join(names[p]), "uttered": " ".join(names[u]), "predicted": " ".join(names[h]),
     }
 
 
-def _triple_udf(align: Callable[..., list[Row]]) -> Callable[..., Column]:
-    @F.pandas_udf(MDD_TYPE)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        @lru_cache(maxsize=50_000)
-        def one(c: tuple[str, ...], u: tuple[str, ...], h: tuple[str, ...]) -> dict:
-            return _summary(align(c, u, h))
+_MDD = pa.struct([*((k, pa.int64()) for k in ("TR", "TA", "FR", "FA", "CD", "DE")), *((k, pa.string()) for k in ("corr_U", "corr_P", "prompted", "uttered", "predicted"))])
 
-        fields = ["TR", "TA", "FR", "FA", "CD", "DE", "corr_U", "corr_P", "prompted", "uttered", "predicted"]
-        for c, u, h in batches:
-            rows = [one(tuple(x), tuple(y), tuple(z)) for x, y, z in zip(c, u, h, strict=True)]
-            yield pd.DataFrame(rows, columns=fields)
 
-    return run
+def _triple_udf(align: Callable[..., list[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> Callable[..., Column]:
+    """Of (canonical, uttered, predicted) phones; equal triples of a batch are aligned once."""
 
+    @F.arrow_udf(MDD_TYPE)
+    def run(c: pa.Array, u: pa.Array, h: pa.Array) -> pa.Array:
+        names, columns = align_batch.numbered(c, u, h)
+        few, which = align_batch.distinct(*columns)
+        found = pa.array([_summary(names, *rows) for rows in align(*few)], _MDD)
+        return found.take(pa.array(which))
 
-strict_mdd = _triple_udf(align_strict)
-joint_mdd = _triple_udf(align_joint)
+    return run
 
 
-@F.pandas_udf(_struct(**{"sub": _LONG, "ins": _LONG, "del": _LONG}))
-def sub_ins_del(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Edit counts of (hyp, ref)."""
-    for hyp, ref in batches:
-        rows = [edit_counts(list(h), list(r)) for h, r in zip(hyp, ref, strict=True)]
-        yield pd.DataFrame(rows, columns=["sub", "ins", "del"])
+strict_mdd = _triple_udf(align_batch.strict)
+joint_mdd = _triple_udf(align_batch.joint)
 
 
-@F.pandas_udf(SLOT_TYPE)
-def slot_table(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    names = ["slot_type", "slot_index", "gap_pos", "prompted", "uttered", "predicted"]
-    for c, u, h in batches:
-        yield pd.Series([[dict(zip(names, r, strict=True)) for r in slot_rows(list(x), list(y), list(z))] for x, y, z in zip(c, u, h, strict=True)])
+@F.arrow_udf(_struct(**{"sub": _LONG, "ins": _LONG, "del": _LONG}))
+def sub_ins_del(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    """Edit counts of (hyp, ref)."""
+    _, columns = align_batch.numbered(hyp, ref)
+    few, which = align_batch.distinct(*columns)
+    counts = align_batch.edit_counts(*few)[which].reshape(-1, 3)
+    return pa.StructArray.from_arrays([pa.array(counts[:, k]) for k in range(3)], names=["sub", "ins", "del"])
+
+
+@F.arrow_udf(SLOT_TYPE)
+def slot_table(c: pa.Array, u: pa.Array, h: pa.Array) -> pa.Array:
+    """The rows of ``slot_rows`` of (canonical, uttered, predicted) phones."""
+    names, columns = align_batch.numbered(c, u, h)
+    rows, size = align_batch.slot_table(*columns)
+    slot, is_phone, place, *symbols = rows
+    shown = pa.array(names, pa.string())
+    fields = [
+        pa.array(["gap", "phone"]).take(pa.array(is_phone)), pa.array(slot, pa.int32()), pa.array(place, pa.int32(), mask=is_phone == 1), *(shown.take(pa.array(s)) for s in symbols)
+    ]
+    made = pa.StructArray.from_arrays(fields, names=["slot_type", "slot_index", "gap_pos", "prompted", "uttered", "predicted"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), made)
 
 
 @F.pandas_udf(T.ArrayType(_TEXT))

@@ -72,19 +72,19 @@ def q42_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'combined' AS language, 's' || n_nationkey AS utt_id, n_name AS prediction, n_name || n_nationkey AS transcription, CAST(NULL AS VARCHAR) AS canonical, 1 AS kinds FROM nation""")
+SELECT role AS language, conv_id || '-' || turn AS utt_id, text AS prediction, role || turn AS transcription, CAST(NULL AS VARCHAR) AS canonical, 1 AS kinds FROM conversations""")
 def q43_merged_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON object with a key for each sample; the phones of the passthrough that are no noise; the folder is discovered."""
+    """One JSON object with a key for each turn, read in ranges of bytes; the phones of the passthrough that are no noise;
+    the folder is discovered."""
     folder = scratch_folder(spark, "merged")
-    n = table(spark, sf_dir, "nation")
-    rec = F.struct(
-        F.array(F.struct(F.col("n_name").alias("processed_transcript"))).alias("pred"),
-        F.struct(F.array("n_name", F.lit("[NOISE]"), F.col("n_nationkey").cast("string")).alias("masked_phones")).alias("passthrough"),
-    )
-    whole = n.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("s"), "n_nationkey"), rec)))).alias("t"))
-    files.write_small(spark, f"{folder}/run/out.json", whole.first()["t"])
-    files.write_small(spark, f"{folder}/run/shard.jsonl", "{}")
-    kinds = predictions.discover(spark, folder).count()
+    c = table(spark, sf_dir, "conversations")
+    key = F.concat_ws("-", "conv_id", "turn")
+    passed = F.struct(F.col("role").alias("lang_sym"), F.array("role", F.lit("[NOISE]"), F.col("turn").cast("string")).alias("masked_phones"))
+    rec = F.struct(F.array(F.struct(F.col("text").alias("processed_transcript"))).alias("pred"), passed.alias("passthrough"))
+    files.write_document(c.select(key.alias("key"), F.to_json(rec).alias("value")), f"{folder}/run/out.json", "key", "key")
+    for name in ("out.json", "shard.jsonl"):
+        files.write_small(spark, f"{folder}/found/{name}", "{}")
+    kinds = predictions.discover(spark, f"{folder}/found").count()
     rows = predictions.read_merged(spark, f"{folder}/run/out.json")
     return evaluation.scoring_input(rows).withColumn("kinds", F.lit(kinds))
 
@@ -148,8 +148,8 @@ def q46_transcripts_and_caches(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "transcripts")
     n = table(spark, sf_dir, "nation")
     names = F.element_at(F.array(*map(F.lit, ("TRAIN", "test", "Dev", "validation", "other"))), (F.col("n_regionkey") + 1).cast("int"))
-    whole = n.agg(F.to_json(F.collect_list(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), names.alias("split")))).alias("t")).first()["t"]
-    files.write_small(spark, f"{folder}/all.json", whole)
+    rec = F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), names.alias("split"))
+    files.write_document(n.select("n_nationkey", F.to_json(rec).alias("value")), f"{folder}/all.json", "n_nationkey")
     rows = sources.read_transcripts(spark, f"{folder}/all.json", "id long, name string, split string").select("id", "name", "split", F.lit(False).alias("cached"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("key"), F.col("s_name").alias("processed_transcript"), F.when(F.col("s_suppkey") % 2 == 1, "bad").alias("error"))
     files.write_cache(s, f"{folder}/cache")

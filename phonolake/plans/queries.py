@@ -458,7 +458,7 @@ def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def r01_mdd_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of whole turns; the joint alignment, cubic in their length, is in ``r12_joint_mdd``."""
+    """Of whole turns; their joint alignment is in ``r12_joint_mdd``."""
     return scoring.summarize(scoring.score_utterances(_triples(spark, sf_dir)), ["language"])
 
 
@@ -564,10 +564,9 @@ def r11_json_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def r12_joint_mdd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The joint alignment of the names, brands and types of parts, whole, spelled in phones."""
-    spelled = lambda c: F.array_join(_phones(F.col(c)), " ")
-    p = table(spark, sf_dir, "part").select(F.lit("part").alias("language"), F.col("p_partkey").cast("string").alias("utt_id"), spelled("p_name").alias("canonical"), spelled("p_brand").alias("transcription"), spelled("p_type").alias("prediction"))
-    return scoring.summarize(scoring.score_utterances(spread(p), joint=True), ["language"])
+    """The joint alignment of three whole turns in a row."""
+    t = scoring.project_triplet(_triples(spark, sf_dir)).withColumn("joint_mdd", align.joint_mdd("c", "u", "h"))
+    return scoring.detection_metrics(t.groupBy("language").agg(*scoring.sum_counts("Joint_", "joint_mdd")), "Joint_")
 
 
-from . import corpus_queries  # noqa: E402,F401 - registers the queries of sources, sinks and text functions
+from . import corpus_queries, sequence_queries  # noqa: E402,F401 - these register their queries

@@ -7,7 +7,7 @@ import csv
 import io
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,18 @@ def write_merged(rows: DataFrame, normalized: DataFrame, audit: DataFrame, folde
     audit.write.mode("overwrite").option("header", "true").csv(f"{folder}/normalization_report")
 
 
+def write_document(values: DataFrame, path: str, order: str, key: str | None = None, value: str = "value") -> None:
+    """One JSON document of all rows, in the order of a column: an object of ``key`` and the JSON text ``value``, or, without a
+    key, an array of the values.  One file is one task's work, which sorts on disk and holds no more than a row."""
+    w = Window.orderBy(order)
+    begin, end = ("{", "}") if key else ("[", "]")
+    # a string as JSON is that of an array of it, without the brackets
+    name = F.concat(F.regexp_replace(F.to_json(F.array(F.col(key).cast("string"))), r"^\[|\]$", ""), F.lit(": ")) if key else F.lit("")
+    opening = F.when(F.row_number().over(w) == 1, begin).otherwise(", ")
+    closing = F.when(F.lead(F.lit(1)).over(w).isNull(), end).otherwise("")
+    values.select(F.concat(opening, name, F.col(value), closing).alias("value")).write.mode("overwrite").option("lineSep", " ").text(path)
+
+
 def append_summary(summary: DataFrame, path: str) -> None:
     """Appends a run's metrics; a run never rewrites those before it."""
     summary.write.mode("append").parquet(path)

@@ -65,9 +65,14 @@ def read_predictions(spark: SparkSession, pattern: str, skip_cache: bool = True)
 
 
 def read_merged(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_key, pred, passthrough) of one JSON object with a key for each sample."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", f"map<string, {RECORD}>")).alias("sample_key", "rec")).select("sample_key", "rec.pred", "rec.passthrough")
+    """(sample_key, pred, passthrough) of one JSON object with a key for each sample, of any size; the last of equal keys
+    counts."""
+    from .documents import read_entries
+
+    entries = read_entries(spark, path)
+    own = F.from_json(F.concat(F.lit("{"), "entry", F.lit("}")), f"map<string, {RECORD}>")
+    rows = entries.select("file", "split", "seq", F.explode(own).alias("sample_key", "rec"))
+    return last_wins(rows, ["sample_key"], ["file", "split", "seq"]).select("sample_key", "rec.pred", "rec.passthrough")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

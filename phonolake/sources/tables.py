@@ -24,9 +24,11 @@ def read_fields(spark: SparkSession, paths: list[str], fields: list[str], per_fi
 
 
 def read_transcripts(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Transcripts with a split column: synonyms of val are one name, rows of other splits are dropped, and train and
-    test must have rows."""
-    rows = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", "true").json(path)
+    """Transcripts of one JSON array of any size, with a split column: synonyms of val are one name, rows of other splits
+    are dropped, and train and test must have rows.  A malformed entry is an error."""
+    from .documents import read_entries
+
+    rows = read_entries(spark, path).select(F.from_json("entry", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
     name = F.lower("split")
     rows = rows.withColumn("split", F.when(name.isin("val", "dev", "validation", "valid"), "val").when(name.isin("train", "test"), name)).where("split is not null")
     found = {r["split"] for r in rows.select("split").distinct().collect()}  # three names at most
