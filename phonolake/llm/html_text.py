@@ -51,10 +51,12 @@ ENDED_BY = {
     "body": ({"head"}, {"html"}),
 }
 IN_HEAD = frozenset("base link meta title style script noscript template".split())
+TABLE = frozenset("table caption colgroup thead tbody tfoot tr td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: End tags do not reach beyond these.
 SCOPE = frozenset("table td th caption html".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_MARKUP = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
@@ -104,12 +106,18 @@ class _Open:
                 return
 
     def end_tag(self, tag: str) -> None:
-        if not self.count[tag]:
+        """An inline element's end does not close a block inside it, whose own end is still to come; any heading's end closes
+        the open heading."""
+        ends = HEADINGS if tag in HEADINGS else {tag}
+        if not any(self.count[t] for t in ends):
             return
+        inline = tag not in BLOCK and tag not in TABLE
         for i in range(len(self.stack) - 1, 0, -1):
             own = self.stack[i].tag
-            if own == tag:
+            if own in ends:
                 return self.cut(i)
+            if inline and (own in BLOCK or own in TABLE):
+                return None
             if own == "table" or (own in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "caption")):
                 return None
         return None

@@ -88,6 +88,6 @@ def dedup_lines(
     values = {
         text_col: F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n")),
         "n_lines": F.size("_lines").cast("long"),
-        "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
+        "n_dropped": F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long"),
     }
     return box.restore(split, values)
