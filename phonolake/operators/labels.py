@@ -1,9 +1,12 @@
-"""Metrics of predicted labels.  All start from the matrix of counts (target, pred, n), which has at most K x K rows."""
+"""Metrics of predicted labels.  All start from the matrix of counts (target, pred, n)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,22 +80,84 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     return m.select(F.try_divide(F.col("c"), F.col("sx") * F.col("sy")).alias("pearson"))
 
 
-def kendall_tau_b(matrix: DataFrame) -> DataFrame:
-    """Tau-b from the counts of label pairs; zero where a side has fewer than two values.  The self-join is over cells of
-    the matrix, K x K at most, not over rows."""
-    a = matrix.select(F.col("target").alias("t1"), F.col("pred").alias("p1"), F.col("n").cast("double").alias("n1"))
-    b = matrix.select(F.col("target").alias("t2"), F.col("pred").alias("p2"), F.col("n").cast("double").alias("n2"))
-    pairs = a.join(F.broadcast(b), F.col("t1") < F.col("t2"))
-    s = pairs.agg(F.coalesce(F.sum(F.col("n1") * F.col("n2") * F.signum(F.col("p2") - F.col("p1"))), F.lit(0.0)).alias("s"))
-    n = matrix.agg(F.sum(F.col("n").cast("double")).alias("n"))
-
-    def ties(c: str, out: str) -> DataFrame:
-        g = matrix.groupBy(c).agg(F.sum(F.col("n").cast("double")).alias("g"))
-        return g.agg(F.sum(F.col("g") * (F.col("g") - 1) / 2).alias(out), F.count("*").alias(f"k_{out}"))
-
-    one = s.crossJoin(n).crossJoin(ties("target", "tt")).crossJoin(ties("pred", "tp"))  # single rows
-    pairs_n = F.col("n") * (F.col("n") - 1) / 2
-    tau = F.try_divide(F.col("s"), F.sqrt(pairs_n - F.col("tt")) * F.sqrt(pairs_n - F.col("tp")))
+def inversions(values: np.ndarray, weights: np.ndarray) -> float:
+    """Weight of the pairs of which the first is greater, by one bit of the values' ranks after the other: among values that
+    agree in the bits above, those with the bit before those without."""
+    rank = np.unique(values, return_inverse=True)[1]
+    total = 0.0
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        order = np.argsort(rank >> (bit + 1), kind="stable")
+        above, has = (rank >> (bit + 1))[order], (rank >> bit)[order] & 1
+        w = weights[order]
+        before = np.cumsum(w * has)
+        start = np.flatnonzero(np.diff(above, prepend=-1))
+        base = np.repeat(np.append(0.0, before)[start], np.diff(np.append(start, len(above))))
+        total += float(((before - base) * w * (1 - has)).sum())
+    return total
+
+
+#: Rows of counts for which values are cut into one more block, and the most cuts of a side.
+_BLOCK_ROWS, _CUTS = 4096, 512
+
+
+def _discordant(m: DataFrame, block_rows: int, cuts: int) -> DataFrame:
+    """(d): the weight of the pairs of rows of ``m`` (t, p, n) that t and p order in opposite ways.
+
+    Either side is cut at quantiles; a cut's value is a block of its own, so a value that many rows have is no part of a larger
+    block.  Pairs in other blocks on both sides are counted by the blocks' sums, pairs in one block of p within it, and pairs in one
+    block of t but not of p within that.  Blocks of one value have none."""
+    n = m.count()
+    parts = min(cuts, n // block_rows)
+    shares = [k / (parts + 1) for k in range(1, parts + 1)]
+    found = m.agg(*[F.percentile_approx(c, F.lit(shares), 20 * parts).alias(c) for c in ("t", "p")]).first() if parts else {"t": [], "p": []}
+    t_cuts, p_cuts = (np.unique(np.array(found[c], np.float64)) for c in ("t", "p"))
+
+    def block(x: np.ndarray, at: np.ndarray) -> pa.Array:
+        low = np.searchsorted(at, x, side="left")
+        return pa.array(low + np.searchsorted(at, x, side="right"), pa.int64())  # odd where the value is a cut
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t, p = b.column("t").to_numpy(), b.column("p").to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns, block(t, t_cuts), block(p, p_cuts)], names=["t", "p", "n", "tb", "pb"])
+
+    dealt = m.mapInArrow(deal, "t double, p double, n double, tb long, pb long")
+
+    def within(value: str) -> Callable[[pa.Table], pa.Table]:
+        def count(part: pa.Table) -> pa.Table:
+            t, v, w = (part.column(c).to_numpy() for c in ("t", value, "n"))
+            order = np.lexsort((v, t))
+            return pa.table({"d": pa.array([inversions(v[order], w[order])], pa.float64())})
+
+        return count
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2 * len(t_cuts) + 1, 2 * len(p_cuts) + 1))
+        for b in batches:
+            sums[b.column("tb").to_numpy(), b.column("pb").to_numpy()] += b.column("n").to_numpy()
+        earlier = np.cumsum(sums, axis=0) - sums
+        greater = np.cumsum(earlier[:, ::-1], axis=1)[:, ::-1] - earlier
+        yield pa.RecordBatch.from_arrays([pa.array([float((greater * sums).sum())])], names=["d"])
+
+    one_p = dealt.where("pb % 2 = 0").groupBy("pb").applyInArrow(within("p"), "d double")
+    one_t = dealt.where("tb % 2 = 0").groupBy("tb").applyInArrow(within("pb"), "d double")
+    neither = dealt.groupBy("tb", "pb").agg(F.sum("n").alias("n")).coalesce(1).mapInArrow(across, "d double")  # as many rows as pairs of blocks
+    return one_p.unionAll(one_t).unionAll(neither).agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("d"))
+
+
+def kendall_tau_b(matrix: DataFrame, block_rows: int = _BLOCK_ROWS, cuts: int = _CUTS) -> DataFrame:
+    """Tau-b from the counts of pairs of numbers, of however many values; zero where a side has fewer than two.  No row meets
+    all others: discordant pairs are counted in blocks of either side."""
+    m = matrix.select(F.col("target").cast("double").alias("t"), F.col("pred").cast("double").alias("p"), F.col("n").cast("double").alias("n"))
+
+    def ties(keys: list[str], out: str) -> DataFrame:
+        g = m.groupBy(*keys).agg(F.sum("n").alias("g"))
+        return g.agg(F.coalesce(F.sum(F.col("g") * (F.col("g") - 1) / 2), F.lit(0.0)).alias(out), F.count("*").alias(f"k_{out}"))
+
+    n = m.agg((F.sum("n") * (F.sum("n") - 1) / 2).alias("pairs"))
+    one = _discordant(m, block_rows, cuts).crossJoin(n).crossJoin(ties(["t"], "tt")).crossJoin(ties(["p"], "tp")).crossJoin(ties(["t", "p"], "both"))  # single rows
+    pairs, tt, tp = F.col("pairs"), F.col("tt"), F.col("tp")
+    tau = F.try_divide(pairs - tt - tp + F.col("both") - 2 * F.col("d"), F.sqrt(pairs - tt) * F.sqrt(pairs - tp))
     return one.select(F.when((F.col("k_tt") < 2) | (F.col("k_tp") < 2), 0.0).otherwise(tau).alias("kendall_tau"))
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import decoding
+from ..operators import decoding, labels
 from ..session import spread
-from .queries import query, table
+from .queries import query, rounded, table
 
 _MASSES = ("1.0 + (o_custkey * {t}) % 7", "1.0 + (o_orderkey * {t}) % 5", "1.25 + (o_orderkey + o_custkey * {t}) % 6")
 _FRAMES = 5
@@ -51,3 +51,15 @@ def q58_narrow_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.get(decoding.nbest(F.col("f.p"), 1), F.lit(0))["ids"]
     names = F.array(*map(F.lit, kinds))
     return rows.select("user_id", F.array_join(F.transform(ids, lambda i: F.get(names, i)), " ").alias("path"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS t, o_totalprice AS p FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice IS NOT NULL),
+s AS (SELECT sum(CAST(sign(b.p - a.p) AS DOUBLE)) AS s FROM o a JOIN o b ON a.t < b.t),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM o),
+tt AS (SELECT sum(x * (x - 1) / 2) AS tt FROM (SELECT CAST(count(*) AS DOUBLE) AS x FROM o GROUP BY t)),
+tp AS (SELECT sum(x * (x - 1) / 2) AS tp FROM (SELECT CAST(count(*) AS DOUBLE) AS x FROM o GROUP BY p))
+SELECT round(s / (sqrt(n * (n - 1) / 2 - tt) * sqrt(n * (n - 1) / 2 - tp)), 9) AS kendall_tau FROM s, n, tt, tp""")
+def q59_kendall_of_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation of two columns of nearly as many values as rows."""
+    return rounded(labels.kendall_tau_b(labels.confusion(table(spark, sf_dir, "orders"), "o_totalprice", "o_custkey")), 9)
