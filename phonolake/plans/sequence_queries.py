@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import segments
 from ..operators import decoding, labels
 from ..session import spread
 from .queries import query, rounded, table
@@ -63,3 +64,30 @@ SELECT round(s / (sqrt(n * (n - 1) / 2 - tt) * sqrt(n * (n - 1) / 2 - tp)), 9) A
 def q59_kendall_of_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation of two columns of nearly as many values as rows."""
     return rounded(labels.kendall_tau_b(labels.confusion(table(spark, sf_dir, "orders"), "o_totalprice", "o_custkey")), 9)
+
+
+#: Some letters of the tables' texts as IPA with modifiers and tie bars.
+_IPA = {"th": "t͡ʰʃ", "e": "ẽː", "n": "ᵐn̪", "r": "ɾʲ", "o": "ɔ͜ʊ", "z": "dʒ"}
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({"".join("replace(" for _ in _IPA)}text{"".join(f", '{k}', '{v}')" for k, v in _IPA.items())}, '{segments.SEGMENT}') AS t FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS k FROM d),
+v AS (SELECT token, 1 + row_number() OVER (ORDER BY token) AS id FROM (SELECT token FROM x GROUP BY token HAVING count(*) >= 3))
+SELECT d.doc_id, CAST(len(t) AS BIGINT) AS n, md5(array_to_string(t, '|')) AS tokens,
+       coalesce((SELECT md5(string_agg(CAST(coalesce(v.id, 1) AS VARCHAR), ',' ORDER BY k)) FROM x LEFT JOIN v ON x.token = v.token WHERE x.doc_id = d.doc_id), md5('')) AS ids,
+       coalesce((SELECT md5(string_agg(v.token, '' ORDER BY k)) FROM x JOIN v ON x.token = v.token WHERE x.doc_id = d.doc_id), md5('')) AS clean FROM d""")
+def q60_segment_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, some letters spelled as IPA, cut into segments, encoded by their own vocabulary and decoded."""
+    said = F.col("text")
+    for letter, spelled in _IPA.items():
+        said = F.replace(said, F.lit(letter), F.lit(spelled))
+    d = spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", said.alias("said")))
+    known = segments.as_map(segments.segment_vocabulary(d, "said", 3))
+    ids = segments.encode_text(F.col("said"), known)
+    digest = lambda c: F.md5(c.cast("binary"))
+    out = d.select("doc_id", segments.split(F.col("said")).alias("t"), ids.alias("ids"))
+    return out.select(
+        "doc_id", F.size("t").cast("long").alias("n"), digest(F.array_join("t", "|")).alias("tokens"),
+        digest(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids"), digest(segments.decode_ids(F.col("ids"), known, clean=True)).alias("clean"),
+    )
