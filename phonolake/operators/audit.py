@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.phones import skipped_spans
 from ..functions.text import code_points
+from ..session import stored
 
 
 def skipped_rows(df: DataFrame, id_col: str, field: str, text: str) -> DataFrame:
@@ -15,11 +16,12 @@ def skipped_rows(df: DataFrame, id_col: str, field: str, text: str) -> DataFrame
 
 
 def span_counts(rows: DataFrame, examples: int = 5) -> DataFrame:
-    """(span, n, code_points, examples), the examples being the first utterances by id.  Only ranked examples, not all
-    rows of a span, are gathered."""
-    counts = rows.groupBy("span").agg(F.count("*").alias("n"))
+    """(span, n, code_points, examples), the examples being the first utterances by id.  Texts are scanned once: what is counted and
+    ranked are the stored counts by span and utterance, and Spark keeps the first few of a span before it deals them."""
+    each = stored(rows.groupBy("span", "utt_id").agg(F.count("*").alias("n")), "spans")
+    counts = each.groupBy("span").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("span").orderBy("utt_id")
-    few = rows.select("span", "utt_id").distinct().withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= examples)
+    few = each.select("span", "utt_id", F.row_number().over(w).alias("__r")).where(F.col("__r") <= examples)
     shown = few.groupBy("span").agg(F.sort_array(F.collect_list("utt_id")).alias("examples"))
     return counts.join(shown, "span").withColumn("code_points", code_points(F.col("span")))
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: The evaluation's and the corpus statistics' earth radii in km.
 RADIUS_KM, HAVERSINE_KM = 6378.1, 6371.0
 
@@ -55,30 +59,70 @@ def extent(df: DataFrame, lat: str, lon: str) -> DataFrame:
     return df.agg(*[f(c).alias(f"{n}_{c}") for c in (lat, lon) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))])
 
 
-#: Places that are broadcast at once, about a megabyte.
-PLACES = 20_000
+#: Places of a cell that are looked at one by one, and the finest cells: so fine that a cell holds a place or two.
+LEAF, LEVELS = 64, 24
+
+
+def _cell(level: int) -> Column:
+    """The cell of a unit vector among 2^level along each axis, as one number."""
+    at = [F.least(F.floor((F.col(c) + 1) / 2 * (1 << level)), F.lit((1 << level) - 1)).cast("long") for c in "xyz"]
+    return F.xxhash64(*at)  # two cells of one number would be one larger cell, whose bounds hold all the same
+
+
+def _cells(places: DataFrame, leaf: int) -> Iterator[DataFrame]:
+    """For each level the cells that some cell above was too full for: (cell, n, box, children, items), the items of cells of
+    up to ``leaf`` places, the cells inside of others."""
+    active = places.withColumn("cell", F.lit(0).cast("long"))
+    for level in range(LEVELS + 1):
+        finer = active.withColumn("child", _cell(level + 1))
+        bounds = [f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
+        counts = finer.groupBy("cell").agg(F.count("*").alias("n"), *bounds)
+        small = counts.select("cell", ((F.col("n") <= leaf) | F.lit(level == LEVELS)).alias("small"))
+        marked = finer.join(small, "cell")
+        items = marked.where("small").groupBy("cell").agg(F.collect_list(F.struct("lat", "lon", "x", "y", "z")).alias("items"))
+        children = marked.where("not small").select("cell", "child").distinct().groupBy("cell").agg(F.collect_list("child").alias("children"))  # eight at most
+        yield stored(counts.join(items, "cell", "left").join(children, "cell", "left"), "cells")
+        active = stored(marked.where("not small").drop("cell", "small").withColumnRenamed("child", "cell"), "places")
+        if active.isEmpty():
+            return
 
 
-def miss_rate(df: DataFrame, k: int, key: str, x: str, y: str, z: str, lat: str, lon: str, block: int = PLACES) -> DataFrame:
+def miss_rate(df: DataFrame, k: int, key: str, x: str, y: str, z: str, lat: str, lon: str, leaf: int = LEAF) -> DataFrame:
     """Percentage of rows whose target is not among the k distinct targets nearest to the prediction.
 
-    Targets are distinct at six decimals.  They are a stated set of places; each row is compared with blocks of them, an array
-    of at most about ``block`` places each, in one pass without a row for each pair.  A place counts as nearer if its product is
-    larger, or equal and it sorts first.  Zero where there are no rows or no more than k places.
+    Targets are distinct at six decimals.  A place is nearer if its product with the prediction is larger than the target's, or equal
+    and it sorts first.  Places are counted by cells of a grid on the sphere that gets finer: a cell whose bounds lie wholly nearer
+    counts at once, one wholly farther is left, and only cells in between are opened, at last place by place.  A row is done when k
+    are nearer or nothing is left to open, so its work goes with the cells around its target's distance and not with the number of
+    places, and no task holds more than ``leaf`` of these for a cell.  Equal rows are looked at once.  Zero where there are no rows or
+    no more than k places.
     """
-    places = df.select(F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon")).distinct()
-    n = places.count()
-    blocks = max(1, -(-n // block))
+    spark = df.sparkSession
     gx, gy, gz = to_unit(F.col("lat"), F.col("lon"))
-    listed = places.select(F.struct("lat", "lon", gx.alias("x"), gy.alias("y"), gz.alias("z")).alias("g"), F.pmod(F.xxhash64("lat", "lon"), F.lit(blocks)).alias("b"))
-    rows = df.select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(z).alias("__z"), F.round(lat, 6).alias("__lat"), F.round(lon, 6).alias("__lon"))
-    product = lambda x, y, z: F.col("__x") * x + F.col("__y") * y + F.col("__z") * z
-    rows = rows.withColumn("__own", product(*to_unit(F.col("__lat"), F.col("__lon")))).withColumn("__nearer", F.lit(0))
-    ahead = lambda g: (product(g["x"], g["y"], g["z"]) > F.col("__own")) | (
-        (product(g["x"], g["y"], g["z"]) == F.col("__own")) & (F.struct(g["lat"], g["lon"]) < F.struct(F.col("__lat"), F.col("__lon"))))
-    for b in range(blocks):
-        one = listed.where(F.col("b") == b).agg(F.collect_list("g").alias("__places"))
-        rows = rows.crossJoin(F.broadcast(one))  # the right side is one row of bounded size
-        rows = rows.withColumn("__nearer", F.col("__nearer") + F.size(F.filter("__places", ahead))).drop("__places")
-    rate = 100.0 * (1 - F.avg((F.col("__nearer") < k).cast("double")))
-    return rows.agg((F.coalesce(rate, F.lit(0.0)) if n > k else F.lit(0.0)).alias("miss_rate"))
+    places = df.select(F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon")).distinct().where("lat is not null and lon is not null")
+    places = stored(places.select("lat", "lon", gx.alias("x"), gy.alias("y"), gz.alias("z")), "places")
+    asked = ["px", "py", "pz", "lat", "lon"]
+    rows = df.select(F.col(x).alias("px"), F.col(y).alias("py"), F.col(z).alias("pz"), F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
+    rows = rows.groupBy(*asked).agg(F.count("*").alias("times"))
+    product = lambda x, y, z: F.col("px") * x + F.col("py") * y + F.col("pz") * z
+    total, missed = df.count(), 0
+    if total and places.count() > k:
+        own = product(*to_unit(F.col("lat"), F.col("lon")))
+        left = rows.withColumns({"own": own, "nearer": F.lit(0).cast("long"), "open": F.array(F.lit(0).cast("long"))})
+        low, high = (sum((f(F.col(p) * F.col(f"lo{c}"), F.col(p) * F.col(f"hi{c}")) for p, c in (("px", "x"), ("py", "y"), ("pz", "z"))), F.lit(0.0)) for f in (F.least, F.greatest))
+        ahead = lambda g: (product(g["x"], g["y"], g["z"]) > F.col("own")) | (
+            (product(g["x"], g["y"], g["z"]) == F.col("own")) & (F.struct(g["lat"], g["lon"]) < F.struct("lat", "lon")))
+        edge = (F.abs("px") + F.abs("py") + F.abs("pz")) * 1e-12  # more than what products lose by rounding
+        for cells in _cells(places, leaf):
+            met = left.withColumn("cell", F.explode("open")).drop("open").join(cells, "cell")
+            all_, some = low > F.col("own") + edge, high >= F.col("own") - edge
+            found = F.when(all_, F.col("n")).when(some & F.col("items").isNotNull(), F.size(F.filter("items", ahead))).otherwise(0)
+            further = F.when(~all_ & some & F.col("items").isNull(), F.col("children"))
+            sums = met.groupBy(*asked, "times", "own", "nearer").agg(F.sum(found).alias("found"), F.flatten(F.collect_list(further)).alias("open"))
+            sums = stored(sums.withColumn("nearer", F.col("nearer") + F.col("found")).drop("found"), "asked")
+            left = sums.where((F.col("nearer") < k) & (F.size("open") > 0))
+            done = sums.agg(F.coalesce(F.sum(F.when(F.col("nearer") >= k, F.col("times"))), F.lit(0)).alias("missed"), F.count_if((F.col("nearer") < k) & (F.size("open") > 0)).alias("left")).first()
+            missed += done["missed"]
+            if not done["left"]:
+                break
+    return spark.range(1).select(F.lit(100.0 * missed / total if total else 0.0).alias("miss_rate"))

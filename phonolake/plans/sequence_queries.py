@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import segments
-from ..operators import decoding, labels
+from ..operators import decoding, geolocation, labels
 from ..session import spread
 from .queries import query, rounded, table
 
@@ -91,3 +91,22 @@ def q60_segment_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("t").cast("long").alias("n"), digest(F.array_join("t", "|")).alias("tokens"),
         digest(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids"), digest(segments.decode_ids(F.col("ids"), known, clean=True)).alias("clean"),
     )
+
+
+_TOWNS = """n AS (SELECT c_custkey AS k, radians(((c_custkey * 7919) % 16001) / 100.0 - 80) AS lat, radians(((c_custkey * 104729) % 35003) / 100.0 - 175) AS lon,
+  radians(((c_custkey * 7919) % 16001) / 100.0 - 80 + (c_custkey % 9 - 4) / 4.0) AS a, radians(((c_custkey * 104729) % 35003) / 100.0 - 175 + (c_custkey % 7 - 3) / 3.0) AS b FROM customer)"""
+
+
+@query(f"""
+WITH {_TOWNS}, u AS (SELECT *, cos(a) * cos(b) AS px, cos(a) * sin(b) AS py, sin(a) AS pz, round(lat, 6) AS la, round(lon, 6) AS lo FROM n),
+g AS (SELECT DISTINCT la, lo, cos(la) * cos(lo) AS x, cos(la) * sin(lo) AS y, sin(la) AS z FROM u),
+s AS (SELECT k, (SELECT count(*) FROM g WHERE px * g.x + py * g.y + pz * g.z > px * cos(u.la) * cos(u.lo) + py * cos(u.la) * sin(u.lo) + pz * sin(u.la) + 1e-13) AS nearer FROM u)
+SELECT round(100.0 * avg(CASE WHEN nearer >= 3 THEN 1.0 ELSE 0.0 END), 6) AS miss_rate FROM s""")
+def q61_nearest_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearly as many places as rows, found by cells of the sphere."""
+    c = table(spark, sf_dir, "customer")
+    lat, lon = ((F.col("c_custkey") * n) % m / 100.0 - w for n, m, w in ((7919, 16001, 80), (104729, 35003, 175)))
+    a, b = F.radians(lat + (F.col("c_custkey") % 9 - 4) / 4.0), F.radians(lon + (F.col("c_custkey") % 7 - 3) / 3.0)
+    x, y, z = geolocation.to_unit(a, b)
+    rows = c.select("c_custkey", F.radians(lat).alias("lat"), F.radians(lon).alias("lon"), x.alias("x"), y.alias("y"), z.alias("z"))
+    return rounded(geolocation.miss_rate(rows, 3, "c_custkey", "x", "y", "z", "lat", "lon", leaf=16))

@@ -36,6 +36,13 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read again, so that its lineage ends there."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to as many tasks as there are cores, where it comes in fewer: a table that is one split is one task's work
     otherwise.  Tables of many splits stay as they are."""

@@ -164,12 +164,27 @@ def test_small_reports(spark, tmp_path):
     assert (rates.FED, rates.FER, rates.PFER) == (4.0, 50.0, 2.0)
 
 
-def test_places_in_blocks_give_the_same_rate(spark):
+def test_places_by_cells_give_the_rate_of_all_pairs(spark):
     rows = [(i, math.cos(i * 0.7), math.sin(i * 0.7), math.sin(i * 1.3), math.radians((i * 37) % 120 - 60), math.radians((i * 53) % 300 - 150)) for i in range(150)]
+    # predictions near their targets, copies, and a cluster of places around one point
+    rows += [(i, *geo_unit(lat, lon + 0.01 * (i % 4)), lat, lon) for i in range(150, 260) for lat, lon in [(0.3 + (i % 40) * 1e-4, 1.0 + (i % 37) * 1e-4)]]
     df = spark.createDataFrame(rows, "key long, x double, y double, z double, lat double, lon double")
-    whole = geolocation.miss_rate(df, 5, "key", "x", "y", "z", "lat", "lon").first().miss_rate
-    parts = geolocation.miss_rate(df, 5, "key", "x", "y", "z", "lat", "lon", block=40).first().miss_rate
-    assert 0 < whole < 100 and parts == whole
+    places = sorted({(round(r[4], 6), round(r[5], 6)) for r in rows})
+
+    def nearer(r):
+        own = (round(r[4], 6), round(r[5], 6))
+        score = lambda g: sum(p * q for p, q in zip(r[1:4], geo_unit(*g), strict=True))
+        return sum(score(g) > score(own) or (score(g) == score(own) and g < own) for g in places)
+
+    for k, leaf in ((5, 64), (5, 3), (1, 8)):
+        want = 100.0 * sum(nearer(r) >= k for r in rows) / len(rows)
+        assert 0 < want < 100
+        assert geolocation.miss_rate(df, k, "key", "x", "y", "z", "lat", "lon", leaf=leaf).first().miss_rate == pytest.approx(want)
+    assert geolocation.miss_rate(df, len(places), "key", "x", "y", "z", "lat", "lon").first().miss_rate == 0.0
+
+
+def geo_unit(lat, lon):
+    return math.cos(lat) * math.cos(lon), math.cos(lat) * math.sin(lon), math.sin(lat)
 
 
 def test_whole_conversations_fill_the_splits(spark):
