@@ -160,7 +160,8 @@ def q46_transcripts_and_caches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.union(cache).union(words)
 
 
-_RESPONSE = r"""(SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang || ' <think> ' || source || ' </think> ' || text WHEN 1 THEN ' <think>' || source ELSE text END AS r FROM documents)"""
+_FILLED = "(SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents)"
+_RESPONSE = rf"""(SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang || ' <think> ' || source || ' </think> ' || text WHEN 1 THEN ' <think>' || source ELSE text END AS r FROM {_FILLED})"""
 
 
 @query(rf"""
@@ -168,10 +169,10 @@ SELECT doc_id, md5(regexp_replace(CASE doc_id % 3 WHEN 1 THEN '' WHEN 0 THEN lan
        CASE doc_id % 3 WHEN 2 THEN '' ELSE source END AS thought,
        md5(replace({sql.nfd("translate(regexp_replace(r, '" + sql.SPACE + "', '', 'g'), " + sql.quoted(string.punctuation) + ", '')")}, 'g', 'ɡ')) AS cleaned,
        md5(replace(replace(replace({sql.nfd("translate(r, " + sql.quoted(string.punctuation + "ˈˌ") + ", '')")}, 'g', 'ɡ'), 'ɚ', 'ə˞'), 'ɝ', 'ɜ˞')) AS token
-FROM (SELECT d.doc_id, d.lang, d.source, d.text, x.r FROM documents d JOIN {_RESPONSE} x ON d.doc_id = x.doc_id WHERE d.lang IS NOT NULL AND d.source IS NOT NULL)""")
+FROM (SELECT d.doc_id, d.lang, d.source, d.text, x.r FROM {_FILLED} d JOIN {_RESPONSE} x ON d.doc_id = x.doc_id)""")
 def q47_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thoughts are split from answers, and answers cleaned, over whole texts."""
-    d = table(spark, sf_dir, "documents").where("lang is not null and source is not null")
+    d = table(spark, sf_dir, "documents").fillna("", ["lang", "source", "text"])
     r = F.when(F.col("doc_id") % 3 == 0, F.concat("lang", F.lit(" <think> "), "source", F.lit(" </think> "), "text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" <think>"), "source")).otherwise(F.col("text"))
     d = spread(d.select("doc_id", r.alias("r")))
     answer, thought = text.thought_split(F.col("r"))
@@ -181,12 +182,21 @@ def q47_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("r", r"^(\s*)", 1), text.clean_token(F.col("r")), F.regexp_extract(F.translate("r", string.punctuation, ""), r"(\s*)$", 1))).alias("token"))
 
 
+_NAMES = {letter: phones.ARPABET[p] for letter, p in _LETTERS.items()}
+
+
+def _named(values: dict[str, str]) -> str:
+    """The letters of a segment's name, each as its value, with spaces between them."""
+    keys, shown = (", ".join(map(sql.quoted, x)) for x in (values.keys(), values.values()))
+    return f"array_to_string(list_transform(regexp_extract_all(lower(c_mktsegment), '[a-z]'), lambda x: map_extract_value(MAP([{keys}], [{shown}]), x)), ' ')"
+
+
 @query(r"""
 SELECT c_custkey, 'DIR' || c_nationkey AS speaker, 'C' || c_custkey AS conversation, CASE c_custkey % 3 WHEN 0 THEN 'WAV' WHEN 1 THEN 'application/json' ELSE 'application/octet-stream' END AS mime,
        c_custkey % 2 = 0 AS no_audio, round(c_acctbal, 2) AS reported, lower(c_mktsegment) AS language, 'a,' || c_mktsegment AS kept, c_name AS last,
-       '20240131_2359' || lpad(CAST(c_custkey % 60 AS VARCHAR), 2, '0') AS tag, 'h ʌ l oʊ' AS ipa, 'HH AH L OW' AS arpabet, 'p ' || c_mktsegment AS phonemes,
+       '20240131_2359' || lpad(CAST(c_custkey % 60 AS VARCHAR), 2, '0') AS tag, IPA AS ipa, ARPABET AS arpabet, 'p ' || c_mktsegment AS phonemes,
        c_acctbal >= 0 AND c_custkey <= 180 AS place_ok, c_custkey >= 8000 AS long_enough, c_custkey % 5 = 0 OR c_custkey = 7 AS microphone, '{"k": "' || c_name || '"}' AS braces, c_name AS json_value
-FROM customer""".replace("WAV", _WAV))
+FROM customer""".replace("WAV", _WAV).replace("IPA AS", f"{_named({k: phones.IPA_OF_ARPABET[v] for k, v in _NAMES.items()})} AS").replace("ARPABET AS", f"{_named(_NAMES)} AS"))
 def q48_small_text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     key = F.col("c_custkey")
@@ -195,6 +205,7 @@ def q48_small_text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(key % 2 == 0, "Sorry: audio was\n not provided").otherwise(F.col("c_name"))
     answer = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(F.struct(F.lit("p").alias("Phoneme"), ), F.struct(F.col("c_mktsegment").alias("Phoneme"))).alias("Phonemes"))).alias("Words"))).alias("NBest")))
     words = F.concat(F.lit('so: {"k": "'), "c_name", F.lit('"} there'))
+    names = phones.to_arpabet(_phones(F.col("c_mktsegment")))
     moment = F.to_timestamp(F.concat(F.lit("2024-01-31 23:59:"), F.lpad((key % 60).cast("string"), 2, "0")))
     return c.select(
         "c_custkey", text.speaker_of_path(path).alias("speaker"), text.conversation_of_path(path).alias("conversation"), text.mime_type(path).alias("mime"),
@@ -202,7 +213,8 @@ def q48_small_text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.language_of(F.concat(F.lit("<"), F.lower("c_mktsegment"), F.lit("><b>"))).alias("language"),
         F.array_join(text.without_special(F.array(F.lit("<s>"), F.lit("a"), "c_mktsegment", F.lit("</s>")), ["<s>", "</s>"]), ",").alias("kept"),
         text.last_segment(F.concat(F.lit("a>b>"), "c_name")).alias("last"), text.run_tag(moment).alias("tag"),
-        F.array_join(phones.read_arpabet(F.lit("HHAH0LOW1")), " ").alias("ipa"), F.array_join(phones.to_arpabet(phones.from_arpabet(F.array(*map(F.lit, ("hh", "AH0", "L", "OW1"))))), " ").alias("arpabet"),
+        F.array_join(phones.read_arpabet(F.array_join(F.transform(names, lambda n: F.concat(n, F.lit("1"))), " ")), " ").alias("ipa"),
+        F.array_join(phones.to_arpabet(phones.from_arpabet(F.transform(names, lambda n: F.concat(F.lower(n), F.lit("0"))))), " ").alias("arpabet"),
         text.best_phonemes(answer).alias("phonemes"), (geolocation.valid_degrees(F.least(F.col("c_acctbal"), F.lit(90)) * F.when(F.col("c_acctbal") < 0, 1000).otherwise(1), key.cast("double")) & (F.col("c_acctbal") >= 0)).alias("place_ok"),
         sources.long_enough(key).alias("long_enough"), sources.keep_microphone(F.concat("c_custkey", F.when(key % 5 == 0, "_M5").otherwise("_M2")), ["7_M2"]).alias("microphone"),
         text.json_in_braces(words).alias("braces"), text.json_answer(words, "k").alias("json_value"),
@@ -268,8 +280,8 @@ def q51_order_and_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     five = splits.few_shot(d, "lang", "doc_id", "k_sample", 5, 3).agg(F.count_distinct("doc_id").alias("a"), F.count("*").alias("b")).select(F.lit("sample"), "a", "b", none)
     carved = splits.carve_validation(c.select("c_custkey", F.lit("train").alias("split")), "c_custkey", 0.1, 4)
     val = carved.agg(F.count_if(F.col("split") == "val").alias("a"), F.count("*").alias("b")).select(F.lit("val"), "a", "b", none)
-    letters = table(spark, sf_dir, "part").select("p_partkey", F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("phones"))
-    masked = splits.mask_phones(letters, "p_partkey", "phones", 0.5).select(F.forall(F.arrays_zip("phones", "masked_phones"), lambda z: (z["masked_phones"] == z["phones"]) | (z["masked_phones"] == "[NOISE]")).alias("ok"), (F.get("masked_phones", F.lit(0)) != "a").alias("bad"))
+    letters = table(spark, sf_dir, "part").select("p_partkey", _phones(F.col("p_name")).alias("phones"))
+    masked = splits.mask_phones(letters, "p_partkey", "phones", 0.5).select(F.forall(F.arrays_zip("phones", "masked_phones"), lambda z: (z["masked_phones"] == z["phones"]) | (z["masked_phones"] == "[NOISE]")).alias("ok"), (F.get("masked_phones", F.lit(0)) != F.get("phones", F.lit(0))).alias("bad"))
     masks = masked.agg(F.count_if("ok").alias("a"), F.count_if("bad").alias("b")).select(F.lit("masked"), "a", "b", none)
     return newest.union(first).union(valid).union(subset).union(shots).union(five).union(val).union(masks)
 
