@@ -24,7 +24,9 @@ def resample(x: np.ndarray, own: int, rate: int) -> np.ndarray:
     in, and the output block by block."""
     common = math.gcd(own, rate)
     up, down = rate // common, own // common
-    cut = min(1.0, up / down) * (1 - 2.0 / _ZEROS)  # of the input's highest tone; the slope ends below the output's
+    # the part of the input's tones that stays; its slope ends below the output's highest.  A higher rate holds them all, and a
+    # filter of them all leaves the input's own samples as they are
+    cut = up / down * (1 - 2.0 / _ZEROS) if up < down else 1.0
     reach = math.ceil(_ZEROS / cut)
     taps = np.arange(-reach, reach + 1)
     n = int(len(x) * rate / own)

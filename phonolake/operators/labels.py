@@ -98,15 +98,20 @@ def inversions(values: np.ndarray, weights: np.ndarray) -> float:
 
 #: Rows of counts for which values are cut into one more block, and the most cuts of a side.
 _BLOCK_ROWS, _CUTS = 4096, 512
+#: Rows of counts whose pairs are looked at as they are.
+_FEW = 1024
 
 
-def _discordant(m: DataFrame, block_rows: int, cuts: int) -> DataFrame:
+def _discordant(m: DataFrame, block_rows: int, cuts: int, few: int) -> DataFrame:
     """(d): the weight of the pairs of rows of ``m`` (t, p, n) that t and p order in opposite ways.
 
     Either side is cut at quantiles; a cut's value is a block of its own, so a value that many rows have is no part of a larger
     block.  Pairs in other blocks on both sides are counted by the blocks' sums, pairs in one block of p within it, and pairs in one
-    block of t but not of p within that.  Blocks of one value have none."""
+    block of t but not of p within that.  Blocks of one value have none.  Of ``few`` rows all pairs are looked at."""
     n = m.count()
+    if n <= few:
+        a, b = m.toDF("t1", "p1", "n1"), m.toDF("t2", "p2", "n2")
+        return a.join(b, (F.col("t1") < F.col("t2")) & (F.col("p1") > F.col("p2"))).agg(F.coalesce(F.sum(F.col("n1") * F.col("n2")), F.lit(0.0)).alias("d"))
     parts = min(cuts, n // block_rows)
     shares = [k / (parts + 1) for k in range(1, parts + 1)]
     found = m.agg(*[F.percentile_approx(c, F.lit(shares), 20 * parts).alias(c) for c in ("t", "p")]).first() if parts else {"t": [], "p": []}
@@ -145,9 +150,9 @@ def _discordant(m: DataFrame, block_rows: int, cuts: int) -> DataFrame:
     return one_p.unionAll(one_t).unionAll(neither).agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("d"))
 
 
-def kendall_tau_b(matrix: DataFrame, block_rows: int = _BLOCK_ROWS, cuts: int = _CUTS) -> DataFrame:
+def kendall_tau_b(matrix: DataFrame, block_rows: int = _BLOCK_ROWS, cuts: int = _CUTS, few: int = _FEW) -> DataFrame:
     """Tau-b from the counts of pairs of numbers, of however many values; zero where a side has fewer than two.  No row meets
-    all others: discordant pairs are counted in blocks of either side."""
+    all others but in small matrices: discordant pairs are counted in blocks of either side."""
     m = matrix.select(F.col("target").cast("double").alias("t"), F.col("pred").cast("double").alias("p"), F.col("n").cast("double").alias("n"))
 
     def ties(keys: list[str], out: str) -> DataFrame:
@@ -155,7 +160,7 @@ def kendall_tau_b(matrix: DataFrame, block_rows: int = _BLOCK_ROWS, cuts: int =
         return g.agg(F.coalesce(F.sum(F.col("g") * (F.col("g") - 1) / 2), F.lit(0.0)).alias(out), F.count("*").alias(f"k_{out}"))
 
     n = m.agg((F.sum("n") * (F.sum("n") - 1) / 2).alias("pairs"))
-    one = _discordant(m, block_rows, cuts).crossJoin(n).crossJoin(ties(["t"], "tt")).crossJoin(ties(["p"], "tp")).crossJoin(ties(["t", "p"], "both"))  # single rows
+    one = _discordant(m, block_rows, cuts, few).crossJoin(n).crossJoin(ties(["t"], "tt")).crossJoin(ties(["p"], "tp")).crossJoin(ties(["t", "p"], "both"))  # single rows
     pairs, tt, tp = F.col("pairs"), F.col("tt"), F.col("tp")
     tau = F.try_divide(pairs - tt - tp + F.col("both") - 2 * F.col("d"), F.sqrt(pairs - tt) * F.sqrt(pairs - tp))
     return one.select(F.when((F.col("k_tt") < 2) | (F.col("k_tp") < 2), 0.0).otherwise(tau).alias("kendall_tau"))

@@ -11,7 +11,7 @@ import pytest
 from phonolake.plans import queries
 
 #: Joins with a side of one row, or over a matrix of label counts.
-SMALL_SIDES = {"q11_mae_and_kappa", "q12_pearson_and_kendall", "q14_miss_rate", "q19_inventory"}
+SMALL_SIDES = {"q11_mae_and_kappa", "q12_pearson_and_kendall", "q14_miss_rate", "q19_inventory", "q59_kendall_of_numbers"}
 
 
 def plan(df):
@@ -45,7 +45,7 @@ def test_filters_reach_the_scan(spark, sf_dir):
 
 
 #: Unicode decomposition, which Spark lacks, alignments with a path, callables and JSON of unknown depth run in Arrow batches.
-IN_PYTHON = {"q24_clean_text", "q25_skipped_spans", "q47_responses", "q50_error_rates", "q55_strict_mdd", "q56_edit_counts", "r03_normalization_audit", "r04_projection", "r05_apply_rows", "r06_span_audit", "r11_json_walk"}
+IN_PYTHON = {"q24_clean_text", "q25_skipped_spans", "q47_responses", "q50_error_rates", "q55_strict_mdd", "q56_edit_counts", "q57_nbest", "q58_narrow_beam", "q59_kendall_of_numbers", "r03_normalization_audit", "r04_projection", "r05_apply_rows", "r06_span_audit", "r11_json_walk"}
 
 
 def test_native_queries_run_no_python(spark, sf_dir):

@@ -31,13 +31,13 @@ def test_inversions(rows):
     assert labels.inversions(v, w) == sum(w[i] * w[j] for j in range(len(v)) for i in range(j) if v[i] > v[j])
 
 
-@pytest.mark.parametrize(("block_rows", "cuts"), [(4096, 512), (20, 512), (5, 7)])
-def test_blocks_of_any_size(spark, block_rows, cuts):
+@pytest.mark.parametrize(("block_rows", "cuts", "few"), [(4096, 512, 0), (20, 512, 0), (5, 7, 0), (4096, 512, 1024)])
+def test_blocks_of_any_size(spark, block_rows, cuts, few):
     r = random.Random(block_rows)
     # a third of the rows have one value on a side
     pairs = [(5.0 if k % 3 == 0 else r.random() * 10, 2.0 if k % 3 == 1 else r.choice([r.random(), 3.0, -1.0])) for k in range(300)]
     df = spark.createDataFrame(pairs, "t double, p double")
-    got = labels.kendall_tau_b(labels.confusion(df, "p", "t"), block_rows, cuts).first().kendall_tau
+    got = labels.kendall_tau_b(labels.confusion(df, "p", "t"), block_rows, cuts, few).first().kendall_tau
     assert got == pytest.approx(by_hand(pairs), abs=1e-12)
 
 
