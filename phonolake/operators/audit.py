@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.phones import skipped_spans
 from ..functions.text import code_points
-from ..session import stored
+from ..session import scratch_folder, stored
 
 
 def skipped_rows(df: DataFrame, id_col: str, field: str, text: str) -> DataFrame:
@@ -27,29 +27,29 @@ def span_counts(rows: DataFrame, examples: int = 5) -> DataFrame:
 
 
 def walk_json(df: DataFrame, id_col: str, json_col: str, field: str) -> DataFrame:
-    """(id, path, value): every string under a key named ``field`` at any depth, with its JSON path."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        for pdf in batches:
-            out = []
-            for key, text in zip(pdf[id_col], pdf[json_col], strict=True):
-                try:
-                    todo = [("$", json.loads(text))] if text is not None else []
-                except ValueError:
-                    continue
-                while todo:
-                    path, v = todo.pop()
-                    if isinstance(v, dict):
-                        out += [(key, f"{path}.{k}", x) for k, x in v.items() if k == field and isinstance(x, str)]
-                        todo += [(f"{path}.{k}", x) for k, x in v.items()]
-                    elif isinstance(v, list):
-                        todo += [(f"{path}[{i}]", x) for i, x in enumerate(v)]
-            yield pd.DataFrame(out, columns=["id", "path", "value"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, json_col).mapInPandas(walk, f"id {kind}, path string, value string")
+    """(id, path, value): every string under a key named ``field`` at any depth, with its JSON path.
+
+    Texts are parsed once to VARIANT.  Each step takes all values one level down and writes those that matter: strings found,
+    and objects and arrays that hold the name somewhere, so a document is written again only as deep as the name lies.  There are
+    as many steps as the deepest such place has levels.  Null and malformed texts give no rows, nor do texts with two equal keys
+    in one object, which VARIANT does not take; repeated rows give repeated results."""
+    spark = df.sparkSession
+    root = scratch_folder(spark, "walk")
+    name = F.regexp_replace(F.to_json(F.array(F.lit(field))), r"^\[|\]$", "")
+    text = F.to_json("value")
+    inside = text.startswith("{") | text.startswith("[")
+    here = df.select(F.col(id_col).alias("id"), F.lit("$").alias("path"), F.try_parse_json(json_col).alias("value"))
+    kind = here.schema["id"].dataType.simpleString()
+    depth = 0
+    while True:
+        below = spark.sql("SELECT id, path, e.pos, e.key, e.value FROM {here}, LATERAL variant_explode({here}.value) e", here=here)
+        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), "pos", F.lit("]"))).otherwise(F.concat(F.lit("."), "key"))
+        level = below.select("id", F.concat("path", step).alias("path"), ((F.col("key") == field) & text.startswith('"')).alias("found"), (inside & text.contains(name)).alias("on"), "value")
+        level.where("found or on").write.parquet(f"{root}/level={depth:04d}")
+        written = spark.read.schema(f"id {kind}, path string, found boolean, on boolean, value variant").parquet(f"{root}/level={depth:04d}")
+        here = written.where("on").select("id", "path", "value")
+        if here.isEmpty():
+            break
+        depth += 1
+    found = spark.read.schema(written.schema).parquet(f"{root}/level=*").where("found")
+    return found.select("id", "path", F.col("value").cast("string").alias("value"))

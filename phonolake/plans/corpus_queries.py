@@ -6,7 +6,7 @@ from __future__ import annotations
 import mimetypes
 import string
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -15,8 +15,9 @@ from ..operators import align, features, geolocation, labels, merge, scoring, sl
 from ..plans import evaluation
 from ..session import scratch_folder, spread
 from ..sinks import files
-from ..sources import kaldi, predictions
+from ..sources import kaldi, predictions, shards
 from ..sources import tables as sources
+from ..streaming import running
 from . import sql
 from .queries import _LETTERS, _SPELLED, _phones, query, rounded, table
 
@@ -71,6 +72,50 @@ def q42_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.scoring_input(rows, "target", side)
 
 
+def _text_shard(d: DataFrame, text: Column, path: str) -> None:
+    files.write_shards(d.select(F.col("doc_id").cast("string").alias("sample_key"), F.array(F.struct(text.alias("processed_transcript"))).alias("pred"), F.struct(F.col("lang").alias("lang_sym")).alias("passthrough")), path)
+
+
+@query("""
+SELECT CAST(doc_id AS VARCHAR) AS sample_key, lang AS lang_sym, CASE WHEN doc_id % 3 = 0 THEN 'old ' || coalesce(text, '') ELSE text END AS processed_transcript,
+       CASE WHEN doc_id IN (7, 8) THEN 1 ELSE 0 END AS pushed FROM documents""")
+def q62_shard_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as shards of two runs, read by the data source in ranges of bytes, the later run winning; two keys are also
+    read by a filter."""
+    folder = scratch_folder(spark, "source")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    _text_shard(d, F.concat(F.lit("old "), F.coalesce("text", F.lit(""))), f"{folder}/part=0.jsonl")
+    _text_shard(d.where("doc_id % 3 <> 0"), F.col("text"), f"{folder}/part=1.jsonl")
+    d.select(F.lit('{"1": {"pred": 5}}').alias("value")).write.text(f"{folder}/a.errors.jsonl")
+    rows = shards.read_shards(spark, folder, split_bytes=str(1 << 20))
+    few = shards.read_shards(spark, folder).where(F.col("sample_key").isin("7", "8")).select("sample_key", F.lit(1).alias("pushed"))
+    rows = rows.select("sample_key", F.col("passthrough.lang_sym").alias("lang_sym"), F.col("pred")[0]["processed_transcript"].alias("processed_transcript"))
+    return rows.join(few, "sample_key", "left").withColumn("pushed", F.coalesce("pushed", F.lit(0)))
+
+
+@query("""
+SELECT lang AS "group", count(*) AS n, CAST(sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE length(coalesce(text, '')) END) AS BIGINT) AS letters,
+       CAST(count(*) FILTER (WHERE doc_id % 3 = 0) AS BIGINT) AS old FROM documents GROUP BY lang""")
+def q63_running_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums by language over the last writers, as a stream of shards: a run, then a repeated shard and one of an earlier name that both
+    come late, after the stream was started again."""
+    folder, out, state = (scratch_folder(spark, name) for name in ("arriving", "sums", "progress"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    rows = shards.stream_shards(spark, folder)
+    text_of = F.coalesce(F.col("rec.pred")[0]["processed_transcript"], F.lit(""))
+    rows = rows.select("file", "offset", "sample_key", F.col("rec.passthrough.lang_sym").alias("lang"), F.length(text_of).alias("letters"), (text_of == "o").cast("long").alias("old"))
+    measures = ["letters", "old"]
+    steps = [
+        [(d.where("doc_id % 3 = 1"), F.col("text"), "part=1.jsonl"), (d.where("doc_id % 3 = 0"), F.lit("o"), "part=0.jsonl")],
+        [(d.where("doc_id % 3 <> 0"), F.col("text"), "part=2.jsonl"), (d.where("doc_id % 3 = 1"), F.lit("late"), "part=0b.jsonl")],
+    ]
+    for step in steps:
+        for part, text_column, name in step:
+            _text_shard(part, text_column, f"{folder}/{name}")
+        running.start_sums(rows, "sample_key", "lang", measures, out, state).awaitTermination()
+    return running.current_sums(spark, out, measures)
+
+
 @query("""
 SELECT role AS language, conv_id || '-' || turn AS utt_id, text AS prediction, role || turn AS transcription, CAST(NULL AS VARCHAR) AS canonical, 1 AS kinds FROM conversations""")
 def q43_merged_file(spark: SparkSession, sf_dir: str) -> DataFrame:

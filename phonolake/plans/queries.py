@@ -556,9 +556,24 @@ def r10_chance_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.mean_and_deviation(out.withColumn("metric", F.lit("accuracy")), ["metric"], "accuracy")
 
 
-@query("""SELECT event_id AS id, '$.inner.target' AS path, props AS value FROM events WHERE props IS NOT NULL""")
+#: Documents that hold an event's properties in place of each question mark.
+_NESTED = (
+    '{"target": ?}',
+    '{"a": [{"b": 1}, {"target": ?, "targets": "x"}]}',
+    '{"a": {"b": [[{"c": {"target": ?}}]]}, "target": {"target": ?}}',
+    '{"a": [0, {"b": {"c": {"d": [{"target": ?}, {"target": 5}, "target", {"target": ?}]}}}]}',
+)
+
+
+@query(f"""
+WITH d AS (SELECT event_id, CASE event_id % 4 {" ".join(f"WHEN {k} THEN " + " || to_json(props) || ".join(f"'{p}'" for p in v.split("?")) for k, v in enumerate(_NESTED))} END AS j FROM events WHERE props IS NOT NULL)
+SELECT event_id AS id, t.fullkey AS path, t.value ->> '$' AS value FROM d, json_tree(d.j) t WHERE t.key = 'target' AND t.type = 'VARCHAR'""")
 def r11_json_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.struct("event_type", F.col("props").alias("target")).alias("inner"))).alias("j"))
+    """Every event's properties within documents of up to seven levels."""
+    e = table(spark, sf_dir, "events").where("props is not null")
+    own = F.regexp_replace(F.to_json(F.array("props")), r"^\[|\]$", "")
+    shapes = [F.replace(F.lit(v), F.lit("?"), own) for v in _NESTED]
+    e = spread(e.select("event_id", F.get(F.array(*shapes), (F.col("event_id") % 4).cast("int")).alias("j")))
     return audit.walk_json(e, "event_id", "j", "target")
 
 
