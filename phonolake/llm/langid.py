@@ -8,12 +8,13 @@ against the rest is solved.  As the kernel is a scalar product of explicit sets,
 regression weights multiply out to one matrix of features by languages, and a batch of texts is scored by one matrix
 product with it.
 
-The sample is the only bounded thing: ``per_language`` rows of each language with the smallest hash of the id, and the
-``MAX_LANGUAGES`` labels of the most rows.  Whole texts are read, in training and in prediction.
+The sample is the only bounded thing: ``per_language`` rows of each language with the smallest hash of id and text, the
+``MAX_LANGUAGES`` labels of the most rows, and ``MAX_LANDMARKS`` landmarks in all.  Executors sum the normal equations over the sample, so
+no table of rows by features is ever in one place.  Whole texts are read, in training and in prediction.  Ids may be of any type.
 
 Defined results: null text, or text without a letter (a character that Unicode counts as one; digits, fractions and
 superscripts are none), is ``und`` with score 0; without any labelled row every text is ``und``; ties go to the language that
-sorts first; repeated rows get equal answers; a null id is held out by no rule and is predicted like any other; very long
+sorts first; repeated rows get equal answers and train once; a null id is held out by no rule and is predicted like any other; very long
 texts are read in overlapping pieces; an empty table gives an empty one; columns other than id, text and language are not
 read, whatever their names.
 """
@@ -27,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Boxed, tidy
+from .shared import Boxed, stored, tidy
 
 MAX_N = 4
 FEATURES = 1 << 15
 #: Documented bounds of the labelled sample and of the landmarks in it, for each language.
 PER_LANGUAGE, LANDMARKS = 300, 48
+#: Landmarks of all languages together: with more than 32 languages each has fewer.
+MAX_LANDMARKS = 1536
 #: Labels that are learned at most: those of the most rows.  Sums for so many reach the driver.
 MAX_LANGUAGES = 1000
 RIDGE = 1e-2
@@ -42,6 +45,8 @@ _FOLD = bytes(
 )
 #: Bytes of one long text that are turned into n-grams at once; pieces overlap, so no n-gram is lost.
 _BLOCK = 1 << 20
+#: Features whose bits are unpacked at once.
+_COLUMNS = 1 << 11
 
 
 def presence(text: str) -> np.ndarray:
@@ -59,32 +64,84 @@ def presence(text: str) -> np.ndarray:
     return out
 
 
+def _unpack(packed: np.ndarray, at: int) -> np.ndarray:
+    return np.unpackbits(packed[:, at // 8 : (at + _COLUMNS) // 8], axis=1).astype(np.float32)
+
+
+def _norm(packed: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(np.bitwise_count(packed).sum(1, dtype=np.int64), 1)).astype(np.float32)[:, None]
+
+
+class Landmarks:
+    """Packed sets of the landmarks, and the map of kernels against them to K_mm^(-1/2).  Sets are unpacked a block of features at
+    a time."""
+
+    def __init__(self, packed: np.ndarray):
+        self.packed = packed
+        value, vector = np.linalg.eigh(self.kernels(packed).astype(np.float64))
+        keep = value > 1e-8 * value.max()
+        self.root = vector[:, keep] / np.sqrt(value[keep])
+
+    def kernels(self, packed: np.ndarray) -> np.ndarray:
+        """Cosines of sets and landmarks."""
+        out = np.zeros((len(packed), len(self.packed)), np.float32)
+        for at in range(0, FEATURES, _COLUMNS):
+            out += _unpack(packed, at) @ _unpack(self.packed, at).T
+        return out / _norm(packed) / _norm(self.packed).T
+
+    def mapped(self, packed: np.ndarray) -> np.ndarray:
+        """Nystroem features of sets, and a constant."""
+        return np.hstack([self.kernels(packed) @ self.root, np.ones((len(packed), 1))])
+
+    def multiplied(self, b: np.ndarray) -> np.ndarray:
+        """The matrix of features by languages that gives what kernels, map and weights ``b`` give one after the other."""
+        by_mark = (self.root @ b).astype(np.float32) / _norm(self.packed)
+        return np.concatenate([_unpack(self.packed, at).T @ by_mark for at in range(0, FEATURES, _COLUMNS)])
+
+
+class Sums:
+    """Sums of the normal equations over rows: products of features, and features by language, where a row weighs as little as its
+    language has many in the sample."""
+
+    def __init__(self, marks: Landmarks, share: np.ndarray):
+        self.marks, self.share = marks, share
+        n = marks.root.shape[1] + 1
+        self.products, self.by_language = np.zeros((n, n)), np.zeros((n, len(share)))
+
+    def add(self, packed: np.ndarray, y: np.ndarray) -> None:
+        phi = self.marks.mapped(packed)
+        weighted = phi * self.share[y][:, None]
+        self.products += phi.T @ weighted
+        np.add.at(self.by_language.T, y, weighted)
+
+
 class KernelModel:
     """One matrix of features by languages, a constant for each, and the languages."""
 
     def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray):
         self.languages, self.weights, self.bias = languages, weights, bias
 
+    @classmethod
+    def none(cls) -> KernelModel:
+        return cls([], np.zeros((FEATURES, 0), np.float32), np.zeros(0, np.float32))
+
+    @classmethod
+    def solved(cls, languages: list[str], marks: Landmarks, products: np.ndarray, by_language: np.ndarray, ridge: float = RIDGE) -> KernelModel:
+        """Ridge regression of each language (1) against the rest (-1)."""
+        target = 2 * by_language - by_language.sum(1, keepdims=True)
+        b = np.linalg.solve(products + ridge * np.trace(products) / len(products) * np.eye(len(products)), target)
+        return cls(languages, marks.multiplied(b[:-1]), b[-1].astype(np.float32))
+
     @classmethod
     def fit(cls, x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
-        """x: rows of presences; labels: their languages."""
+        """A fit of rows in memory.  x: rows of presences; labels: their languages."""
         languages = sorted(set(labels))
-        if not languages:
-            return cls([], np.zeros((FEATURES, 0), np.float32), np.zeros(0, np.float32))
         y = np.array([languages.index(v) for v in labels])
-        x = x.astype(np.float32)
-        x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-        mark = x[np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(languages))])]
-        k_mm = (mark @ mark.T).astype(np.float64)
-        value, vector = np.linalg.eigh(k_mm)
-        keep = value > 1e-8 * value.max()
-        root = vector[:, keep] / np.sqrt(value[keep])  # K_mm^(-1/2)
-        phi = np.hstack([(x @ mark.T) @ root, np.ones((len(x), 1))])
-        target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
-        share = 1 / np.bincount(y)[y]  # languages weigh the same, whatever their share of the sample
-        a = phi.T @ (phi * share[:, None])
-        b = np.linalg.solve(a + ridge * np.trace(a) / len(a) * np.eye(len(a)), phi.T @ (target * share[:, None]))
-        return cls(languages, (mark.T @ (root @ b[:-1])).astype(np.float32), b[-1].astype(np.float32))
+        packed = np.packbits(x, axis=1)
+        marks = Landmarks(packed[np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(languages))])])
+        sums = Sums(marks, 1 / np.bincount(y))
+        sums.add(packed, y)
+        return cls.solved(languages, marks, sums.products, sums.by_language, ridge)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """One matrix product for a batch of presences."""
@@ -113,32 +170,95 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> KernelModel:
-    """``labelled``: doc_id, text, lang; rows without text or language are left out."""
-    rows = labelled.where("text is not null and lang is not null").withColumn("_u", F.xxhash64(F.lit(3), "doc_id").bitwiseAND(F.lit(2**40 - 1)))
-    sums = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    counts = {r["lang"]: r["n"] for r in sums.collect()}
-    if not counts:
-        return KernelModel.fit(np.zeros((0, FEATURES)), [])
+def _by_language(values: dict[str, int], none: int) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in sorted(values.items()) for v in kv]), F.col("lang")), F.lit(none))
+
+
+def sample(labelled: DataFrame, per_language: int, landmarks: int) -> DataFrame | None:
+    """(lang, bits, mark): the packed sets of the rows that train, and whether they are landmarks; None without labelled rows.  What
+    reaches the driver are three numbers a language."""
+    rows = labelled.where("text is not null and lang is not null").withColumn("_u", F.xxhash64(F.lit(3), "doc_id", "text").bitwiseAND(F.lit(2**40 - 1)))
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    if not most:
+        return None
     # so many are expected under this hash that fewer than per_language are unlikely; the rest is cut below
-    cut = {k: min(2**40, int(2**40 * (2 * per_language + 30) / n)) for k, n in counts.items()}
-    limit = F.create_map(*[F.lit(v) for kv in sorted(cut.items()) for v in kv])
-    few = rows.where(F.col("_u") < F.element_at(limit, F.col("lang")))
+    cut = {r["lang"]: min(2**40, int(2**40 * (2 * per_language + 30) / r["n"])) for r in most}
+    few = rows.where(F.col("_u") < _by_language(cut, 0)).groupBy("lang", "_u").agg(F.min("text").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bits = [np.packbits(presence(t)).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("_u"), b.column("doc_id"), pa.array(bits, pa.binary())], names=["lang", "_u", "doc_id", "bits"])
-
-    got = few.select("lang", "_u", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(sets), "lang string, _u long, doc_id long, bits binary").collect()
-    got.sort(key=lambda r: (r["lang"], r["_u"], r["doc_id"] is None, r["doc_id"] or 0, bytes(r["bits"])))
-    x, labels, taken = [], [], {}
-    for r in got:
-        if taken.get(r["lang"], 0) < per_language:
-            taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            x.append(np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool))
-            labels.append(r["lang"])
-    return KernelModel.fit(np.stack(x), labels, landmarks)
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("_u"), pa.array(bits, pa.binary())], names=["lang", "_u", "bits"])
+
+    few = stored(few.mapInArrow(tidy(sets), "lang string, _u long, bits binary"), "langid")
+    each = max(1, min(landmarks, MAX_LANDMARKS // len(most)))
+    hashes = F.array_sort(F.collect_list("_u"))  # some 2 * per_language numbers
+    last = lambda n: F.coalesce(F.get(hashes, F.lit(n - 1)), F.lit(2**40))
+    ends = few.groupBy("lang").agg(last(per_language).alias("row"), last(each).alias("mark")).collect()
+    row, mark = (_by_language({r["lang"]: r[c] for r in ends}, -1) for c in ("row", "mark"))
+    return few.where(F.col("_u") <= row).select("lang", "bits", (F.col("_u") <= mark).alias("mark"), "_u")
+
+
+def _packed(bits: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), FEATURES // 8)
+
+
+def _row_batches(products: np.ndarray, by_language: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of the sums, a few at a time."""
+    both = np.hstack([products, by_language])
+    width = both.shape[1]
+    for at in range(0, len(rows), 256):
+        part = both[at : at + 256]
+        values = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, width, dtype=np.int32)), pa.array(part.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(rows[at : at + 256], pa.int32()), values], names=["row", "values"])
+
+
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> KernelModel:
+    """``labelled``: doc_id, text, lang; rows without text or language are left out, equal rows count once.
+
+    Executors map the sample by the landmarks and sum the normal equations; the driver holds the landmarks' packed sets, the sums (a
+    row for each landmark) and the final matrix."""
+    rows = sample(labelled, per_language, landmarks)
+    if rows is None:
+        return KernelModel.none()
+    spark = labelled.sparkSession
+    found = rows.where("mark").select("lang", "_u", "bits").collect()
+    found.sort(key=lambda r: (r["lang"], r["_u"]))
+    marks = Landmarks(_packed([bytes(r["bits"]) for r in found]))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(counts)
+    place = {v: k for k, v in enumerate(languages)}
+    share = 1 / np.array([counts[v] for v in languages])
+    known = spark.sparkContext.broadcast((marks, place, share))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, place, share = known.value
+        sums = None
+        for b in batches:
+            names, bits = b.column("lang").to_pylist(), b.column("bits").to_pylist()
+            for at in range(0, len(names), 256):
+                sums = sums or Sums(marks, share)
+                sums.add(_packed(bits[at : at + 256]), np.array([place[v] for v in names[at : at + 256]]))
+        if sums:
+            yield from _row_batches(sums.products, sums.by_language, np.arange(len(sums.products)))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            values = b.column("values")
+            for row, v in zip(b.column("row").to_pylist(), values, strict=True):
+                v = v.values.to_numpy()
+                sums[row] = sums[row] + v if row in sums else v.copy()
+        if sums:
+            both = np.stack([sums[k] for k in sorted(sums)])
+            n = len(known.value[0].root[0]) + 1
+            yield from _row_batches(both[:, :n], both[:, n:], np.array(sorted(sums)))
+
+    kind = "row int, values array<double>"
+    got = rows.select("lang", "bits").mapInArrow(tidy(partial), kind).repartition("row").mapInArrow(tidy(total), kind).collect()
+    both = np.array([r["values"] for r in sorted(got, key=lambda r: r["row"])])
+    n = marks.root.shape[1] + 1
+    return KernelModel.solved(languages, marks, both[:, :n], both[:, n:])
 
 
 def identify(
