@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import random
 import time
+import warnings
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RESULT = "key string, processed_transcript string, predicted_transcript string, error struct<type: string, message: string>"
@@ -45,6 +46,25 @@ def with_retry(call: Callable[..., Any], tries: int = 5, first: float = 1.0, mos
     return run
 
 
+#: The status codes after which calls are made again, by kind of service.
+RETRIED_STATUS = {
+    "text": frozenset({429, 500, 502, 503, 504}),
+    "audio": frozenset({408, 409, 429, 500, 502, 503, 504}),
+}
+
+
+def transient(service: str) -> Callable[[Exception], bool]:
+    """For ``with_retry``: whether an exception has a status code that the service's clients retry, as ``status_code``, ``status`` or
+    ``code``, or is one of the network or of the machine."""
+    codes = RETRIED_STATUS[service]
+
+    def retryable(e: Exception) -> bool:
+        found = (getattr(e, name, None) for name in ("status_code", "status", "code"))
+        return isinstance(e, OSError) or next((v for v in found if v), None) in codes
+
+    return retryable
+
+
 def run_on_rows(df: DataFrame, key: str, factory: Callable[[], Callable[..., list[dict[str, Any]]]], columns: list[str] | None = None) -> DataFrame:
     """One result for each row of ``df``; ``columns`` are the fields that the function gets."""
     fields = columns or [c for c in df.columns if c != key]
@@ -84,6 +104,26 @@ def resume(df: DataFrame, done: DataFrame | None, key: str, factory: Callable, c
     return wanted.unionByName(run_on_rows(left, key, factory, columns))
 
 
+#: Columns that say where a row stands, and those that name it, in the order in which they are looked at.
+POSITIONS = ("idx", "index", "metadata_idx")
+NAMES = ("utt_id", "key", "audio_path", "wavpath")
+
+
+def cache_key(df: DataFrame, field: str) -> Column:
+    """What results are kept under: the column ``field``, or where it is null the first name that is not.  A position does not
+    outlive another order of the rows, so names come before it, with a warning."""
+    names = [n for n in NAMES if n in df.columns and n != field]
+    first = [field] if field in df.columns else []
+    if field in POSITIONS and names:
+        warnings.warn(f"{field} is a position and unsafe for resuming; {', '.join(names)} is used", RuntimeWarning, stacklevel=2)
+        order = [*names, *first]
+    else:
+        order = [*first, *names]
+    if not order:
+        raise ValueError(f"rows have neither {field} nor one of {', '.join(NAMES)}")
+    return F.coalesce(*[F.col(c).cast("string") for c in order])
+
+
 def run_is_empty(results: DataFrame) -> bool:
     """Whether a run has no rows but worker failures."""
     return results.where(~F.col("key").startswith("__error__")).isEmpty()

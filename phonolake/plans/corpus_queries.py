@@ -3,15 +3,18 @@ by the sources, and held against SQL over the tables themselves."""
 
 from __future__ import annotations
 
+import hashlib
 import mimetypes
 import string
+import warnings
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import phones, text, vocabulary
-from ..operators import align, features, geolocation, labels, merge, scoring, slots, splits, tables
+from ..operators import align, apply, features, geolocation, labels, merge, scoring, slots, splits, tables
 from ..plans import evaluation
 from ..session import scratch_folder, spread
 from ..sinks import files
@@ -93,6 +96,32 @@ def q62_shard_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(few, "sample_key", "left").withColumn("pushed", F.coalesce("pushed", F.lit(0)))
 
 
+@query("""
+SELECT 'd' || doc_id AS key, CASE WHEN doc_id % 4 < 3 THEN 'kept ' || doc_id % 4 ELSE md5(coalesce(text, '')) END AS processed_transcript, coalesce(text, '') AS predicted_transcript FROM documents""")
+def q64_resume_from_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that goes on from its own cache and those of three workers, with errors among them that are run again; the key is a name where
+    a position is asked for."""
+
+    def factory() -> Callable[..., list[dict[str, str]]]:
+        def call(text: str | None, **_: object) -> list[dict[str, str]]:
+            return [{"processed_transcript": hashlib.md5((text or "").encode()).hexdigest(), "predicted_transcript": text or ""}]
+
+        return call
+
+    folder = scratch_folder(spark, "caches")
+    d = spread(table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("idx"), F.concat(F.lit("d"), "doc_id").alias("utt_id"), "doc_id", "text"))
+    error = F.when(F.col("doc_id") % 4 == 3, F.struct(F.lit("E").alias("type"), F.lit("lost").alias("message")))
+    kept = F.concat(F.lit("kept "), (F.col("doc_id") % 4).cast("string"))
+    line = F.to_json(F.struct(F.col("utt_id").alias("key"), F.array(F.struct(kept.alias("processed_transcript"), F.coalesce("text", F.lit("")).alias("predicted_transcript"), error.alias("error"))).alias("pred")))
+    for rest, name in ((0, "run.jsonl"), (1, "run.0.3.jsonl"), (2, "run.1.3.jsonl"), (3, "run.2.3.jsonl"), (3, "other.0.3.jsonl")):
+        d.where(F.col("doc_id") % 4 == rest).select(line).write.text(f"{folder}/{name}")
+    done = predictions.read_worker_caches(spark, f"{folder}/run.1.3.jsonl")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)
+        keyed = d.select(apply.cache_key(d, "idx").alias("name"), "text")
+    return apply.resume(keyed, done, "name", factory).select("key", "processed_transcript", "predicted_transcript")
+
+
 @query("""
 SELECT lang AS "group", count(*) AS n, CAST(sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE length(coalesce(text, '')) END) AS BIGINT) AS letters,
        CAST(count(*) FILTER (WHERE doc_id % 3 = 0) AS BIGINT) AS old FROM documents GROUP BY lang""")

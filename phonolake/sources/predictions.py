@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,33 @@ def read_predictions(spark: SparkSession, pattern: str, skip_cache: bool = True)
     return parse_records(lines).select("sample_key", "rec.pred", "rec.passthrough")
 
 
+_WORKER = re.compile(r"\.[0-9]+\.[0-9]+$")
+
+
+def read_worker_caches(spark: SparkSession, path: str) -> DataFrame:
+    """(key, processed_transcript, predicted_transcript, error) of a run's caches, JSON lines {"key", "pred"}: the file itself, and
+    those of all its workers, ``name.<n>.<m>.jsonl`` beside ``name.jsonl`` (or beside any one of them), whatever the number of workers
+    was.  The last of equal keys counts, in order of file and line; lines without key or prediction, and malformed ones, are
+    skipped; no file gives no rows."""
+    folder, _, name = path.rpartition("/")
+    stem = _WORKER.sub("", name.removesuffix(".jsonl"))
+    literal = re.sub(r"([*?\[\]{}\\])", r"\\\1", stem)
+    lines = None
+    for pattern in (f"{folder}/{literal}.jsonl", f"{folder}/{literal}.[0-9]*.[0-9]*.jsonl"):
+        at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at):
+            found = read_lines(spark, pattern, ())
+            lines = found if lines is None else lines.unionByName(found)
+    schema = f"key string, pred array<struct<{schemas.PREDICTION}>>"
+    if lines is None:
+        lines = spark.createDataFrame([], "file string, line_no struct<split: long, row: long>, value string")
+    rows = lines.select("file", "line_no", F.from_json("value", schema).alias("r")).where("r.key <> '' and size(r.pred) > 0")
+    last = last_wins(rows.select(F.col("r.key").alias("key"), F.get("r.pred", F.lit(0)).alias("p"), "file", "line_no"), ["key"], ["file", "line_no"])
+    error = F.when(F.col("p.error").isNotNull(), F.struct(F.col("p.error.type").alias("type"), F.col("p.error.message").alias("message")))
+    text = lambda c: F.coalesce(F.col(f"p.{c}"), F.lit("")).alias(c)
+    return last.select("key", text("processed_transcript"), text("predicted_transcript"), error.alias("error"))
+
+
 def read_merged(spark: SparkSession, path: str) -> DataFrame:
     """(sample_key, pred, passthrough) of one JSON object with a key for each sample, of any size; the last of equal keys
     counts."""
