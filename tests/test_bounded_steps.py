@@ -67,3 +67,20 @@ def test_three_sequences_are_projected_in_two_steps_of_python(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") <= 2
     assert out.first()["u"] == ["k", "t"]
+
+
+def test_equal_utterances_are_searched_once(monkeypatch):
+    from phonolake.operators import decoding
+
+    sizes, real = [], decoding.search
+    monkeypatch.setattr(decoding, "search", lambda frames, *a: sizes.append(len(frames)) or real(frames, *a))
+    monkeypatch.setattr(decoding.F, "arrow_udf", lambda kind: lambda f: lambda column: f)
+    run = decoding.nbest(_Uncast(), 4, 2)
+    frame, other = [[-0.1, -2.4]], [[-2.4, -0.1]]
+    found = run(pa.array([frame, other, None, frame, frame], pa.list_(pa.list_(pa.float64())))).to_pylist()
+    assert sizes == [2] and found[0] == found[3] == found[4] != found[1] and found[2] is None
+
+
+class _Uncast:
+    def cast(self, kind):
+        return self
