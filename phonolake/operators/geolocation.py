@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -59,32 +59,37 @@ def extent(df: DataFrame, lat: str, lon: str) -> DataFrame:
     return df.agg(*[f(c).alias(f"{n}_{c}") for c in (lat, lon) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))])
 
 
-#: Places of a cell that are looked at one by one, and the finest cells: so fine that a cell holds a place or two.
-LEAF, LEVELS = 64, 24
+#: Places of a cell that are looked at one by one, and the finest cells: three numbers of 21 bits fill a long.
+LEAF, LEVELS = 64, 21
+#: Cells of a level that are broadcast at most (some 80 bytes each); finer levels are joined as Spark sees fit.
+BROADCAST = 1 << 17
 
 
 def _cell(level: int) -> Column:
     """The cell of a unit vector among 2^level along each axis, as one number."""
-    at = [F.least(F.floor((F.col(c) + 1) / 2 * (1 << level)), F.lit((1 << level) - 1)).cast("long") for c in "xyz"]
-    return F.xxhash64(*at)  # two cells of one number would be one larger cell, whose bounds hold all the same
+    x, y, z = (F.least(F.floor((F.col(c) + 1) / 2 * (1 << level)), F.lit((1 << level) - 1)).cast("long") for c in "xyz")
+    return F.shiftleft(x, 2 * LEVELS).bitwiseOR(F.shiftleft(y, LEVELS)).bitwiseOR(z)
 
 
-def _cells(places: DataFrame, leaf: int) -> Iterator[DataFrame]:
-    """For each level the cells that some cell above was too full for: (cell, n, box, children, items), the items of cells of
-    up to ``leaf`` places, the cells inside of others."""
-    active = places.withColumn("cell", F.lit(0).cast("long"))
+def _cells(places: DataFrame, leaf: int) -> tuple[list[DataFrame], DataFrame]:
+    """For each level the cells inside of those above that are too full, (parent, node, n, box, full), and the places of cells that
+    are not, (level, cell, glat, glon).  Levels are counted over the places; only their cells are stored."""
+    levels, items, active = [], [], places
     for level in range(LEVELS + 1):
-        finer = active.withColumn("child", _cell(level + 1))
+        parent = _cell(level - 1) if level else F.lit(-1).cast("long")
         bounds = [f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
-        counts = finer.groupBy("cell").agg(F.count("*").alias("n"), *bounds)
-        small = counts.select("cell", ((F.col("n") <= leaf) | F.lit(level == LEVELS)).alias("small"))
-        marked = finer.join(small, "cell")
-        items = marked.where("small").groupBy("cell").agg(F.collect_list(F.struct("lat", "lon", "x", "y", "z")).alias("items"))
-        children = marked.where("not small").select("cell", "child").distinct().groupBy("cell").agg(F.collect_list("child").alias("children"))  # eight at most
-        yield stored(counts.join(items, "cell", "left").join(children, "cell", "left"), "cells")
-        active = stored(marked.where("not small").drop("cell", "small").withColumnRenamed("child", "cell"), "places")
-        if active.isEmpty():
-            return
+        full = (F.col("n") > leaf) & F.lit(level < LEVELS)
+        nodes = stored(active.groupBy(parent.alias("parent"), _cell(level).alias("node")).agg(F.count("*").alias("n"), *bounds).withColumn("full", full), "cells")
+        size = nodes.agg(F.count("*").alias("all"), F.count_if("full").alias("full")).first()
+        near = F.broadcast if size["all"] <= BROADCAST else lambda d: d
+        levels.append(near(nodes))
+        inside = lambda kind: places.withColumn("node", _cell(level)).join(near(nodes.where(kind).select("node")), "node", "left_semi")  # noqa: B023, E731
+        if size["full"] < size["all"]:
+            items.append(inside("not full").select(F.lit(level).alias("level"), F.col("node").alias("cell"), F.col("lat").alias("glat"), F.col("lon").alias("glon")))
+        if not size["full"]:
+            break
+        active = inside("full").drop("node")
+    return levels, reduce(DataFrame.unionByName, items)
 
 
 def miss_rate(df: DataFrame, k: int, key: str, x: str, y: str, z: str, lat: str, lon: str, leaf: int = LEAF) -> DataFrame:
@@ -94,35 +99,54 @@ def miss_rate(df: DataFrame, k: int, key: str, x: str, y: str, z: str, lat: str,
     and it sorts first.  Places are counted by cells of a grid on the sphere that gets finer: a cell whose bounds lie wholly nearer
     counts at once, one wholly farther is left, and only cells in between are opened, at last place by place.  A row is done when k
     are nearer or nothing is left to open, so its work goes with the cells around its target's distance and not with the number of
-    places, and no task holds more than ``leaf`` of these for a cell.  Equal rows are looked at once.  Zero where there are no rows or
-    no more than k places.
+    places.  Equal rows are looked at once.
+
+    A row's open cells are rows of their own, side by side in one partition from the first level to the last: levels are broadcast and
+    sums are taken over neighbours, so that nothing is written between levels.  Then rows meet the places of their last cells in one
+    join, and no array holds a cell's places.  Zero where there are no rows or no more than k places.
     """
     spark = df.sparkSession
     gx, gy, gz = to_unit(F.col("lat"), F.col("lon"))
     places = df.select(F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon")).distinct().where("lat is not null and lon is not null")
-    places = stored(places.select("lat", "lon", gx.alias("x"), gy.alias("y"), gz.alias("z")), "places")
+    # neighbours share files, so that a task's sums by cell are few
+    places = stored(places.repartitionByRange("lat", "lon"), "places")
     asked = ["px", "py", "pz", "lat", "lon"]
     rows = df.select(F.col(x).alias("px"), F.col(y).alias("py"), F.col(z).alias("pz"), F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
     rows = rows.groupBy(*asked).agg(F.count("*").alias("times"))
     product = lambda x, y, z: F.col("px") * x + F.col("py") * y + F.col("pz") * z
+    square = lambda d: d * d
     total, missed = df.count(), 0
     if total and places.count() > k:
+        levels, items = _cells(places.withColumns({"x": gx, "y": gy, "z": gz}), leaf)
         own = product(*to_unit(F.col("lat"), F.col("lon")))
-        left = rows.withColumns({"own": own, "nearer": F.lit(0).cast("long"), "open": F.array(F.lit(0).cast("long"))})
+        # of a box: by the signs of the prediction, and by the box's least and greatest distance from where the prediction meets the sphere
         low, high = (sum((f(F.col(p) * F.col(f"lo{c}"), F.col(p) * F.col(f"hi{c}")) for p, c in (("px", "x"), ("py", "y"), ("pz", "z"))), F.lit(0.0)) for f in (F.least, F.greatest))
-        ahead = lambda g: (product(g["x"], g["y"], g["z"]) > F.col("own")) | (
-            (product(g["x"], g["y"], g["z"]) == F.col("own")) & (F.struct(g["lat"], g["lon"]) < F.struct("lat", "lon")))
+        near, far = (sum((square(f(F.col(f"lo{c}") - F.col(f"q{c}"), F.col(f"q{c}") - F.col(f"hi{c}"), *rest)) for c in "xyz"), F.lit(0.0)) for f, rest in ((F.greatest, [F.lit(0.0)]), (F.least, [])))
+        norm = F.when(~F.isnan("hix"), F.col("norm"))
+        low, high = F.greatest(low, norm * (1 - far / 2)), F.least(high, norm * (1 - near / 2))
         edge = (F.abs("px") + F.abs("py") + F.abs("pz")) * 1e-12  # more than what products lose by rounding
-        for cells in _cells(places, leaf):
-            met = left.withColumn("cell", F.explode("open")).drop("open").join(cells, "cell")
-            all_, some = low > F.col("own") + edge, high >= F.col("own") - edge
-            found = F.when(all_, F.col("n")).when(some & F.col("items").isNotNull(), F.size(F.filter("items", ahead))).otherwise(0)
-            further = F.when(~all_ & some & F.col("items").isNull(), F.col("children"))
-            sums = met.groupBy(*asked, "times", "own", "nearer").agg(F.sum(found).alias("found"), F.flatten(F.collect_list(further)).alias("open"))
-            sums = stored(sums.withColumn("nearer", F.col("nearer") + F.col("found")).drop("found"), "asked")
-            left = sums.where((F.col("nearer") < k) & (F.size("open") > 0))
-            done = sums.agg(F.coalesce(F.sum(F.when(F.col("nearer") >= k, F.col("times"))), F.lit(0)).alias("missed"), F.count_if((F.col("nearer") < k) & (F.size("open") > 0)).alias("left")).first()
-            missed += done["missed"]
-            if not done["left"]:
-                break
+        most = F.greatest(*map(F.abs, map(F.col, ("px", "py", "pz"))))
+        rows = rows.withColumn("most", F.when(most.between(1e-300, 1e300), most))  # else null, and so is what comes of it
+        rows = rows.withColumn("norm", F.sqrt(sum((square(F.col(c) / F.col("most")) for c in ("px", "py", "pz")), F.lit(0.0))))
+        rows = rows.select(*asked, "times", (F.col("norm") * F.col("most")).alias("norm"), *[(F.col(f"p{c}") / F.col("most") / F.col("norm")).alias(f"q{c}") for c in "xyz"])
+        own_rows = Window.partitionBy(*asked)
+        # the cell is open where level is null, one to look into at level, and none where level is -1: k are nearer
+        left = rows.withColumns({"own": own, "nearer": F.lit(0).cast("long"), "level": F.lit(None).cast("int"), "cell": F.lit(-1).cast("long")})
+        for level, nodes in enumerate(levels):
+            opened = F.col("level").isNull()
+            none = F.xxhash64(*asked).bitwiseOR(F.lit(-(1 << 63)))  # no cell's number, and not one for all rows
+            met = left.join(nodes, F.when(opened, F.col("cell")).otherwise(none) == F.col("parent"), "left")
+            all_, some = opened & (low > F.col("own") + edge), ~opened | (high >= F.col("own") - edge)
+            met = met.withColumns({"inside": F.when(all_, F.col("n")).otherwise(0), "meets": F.coalesce(some & ~all_, F.lit(False)), "at": F.coalesce("node", "cell")})
+            met = met.withColumns({"nearer": F.col("nearer") + F.sum("inside").over(own_rows), "one": F.min(F.struct("level", "at")).over(own_rows)})
+            met = met.where(F.when(F.col("nearer") < k, F.col("meets")).otherwise(F.col("one") == F.struct("level", "at")))
+            into = F.when(F.col("nearer") >= k, -1).when(opened & F.col("full"), None).when(opened, level).otherwise(F.col("level"))
+            left = met.select(*rows.columns, "own", "nearer", into.alias("level"), F.col("at").alias("cell"))
+        done = F.col("level") == -1
+        left = stored(left.select(*[F.when(~done, F.col(c)).alias(c) for c in (*asked, "own", "nearer", "cell")], "times", "level"), "asked")
+        g = product(*to_unit(F.col("glat"), F.col("glon")))
+        ahead = (g > F.col("own")) | ((g == F.col("own")) & (F.struct("glat", "glon") < F.struct("lat", "lon")))
+        found = left.where(~done).join(items, ["level", "cell"]).where(ahead).groupBy(*asked, "times", "nearer").agg(F.count("*").alias("found"))
+        for kind in (left.where(done), found.where(F.col("nearer") + F.col("found") >= k)):
+            missed += kind.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("missed")).first()["missed"]
     return spark.range(1).select(F.lit(100.0 * missed / total if total else 0.0).alias("miss_rate"))
