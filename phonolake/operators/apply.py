@@ -96,12 +96,18 @@ def run_on_rows(df: DataFrame, key: str, factory: Callable[[], Callable[..., lis
 
 def resume(df: DataFrame, done: DataFrame | None, key: str, factory: Callable, columns: list[str] | None = None) -> DataFrame:
     """Results for all rows: those of ``done`` without an error, and new ones for the rest."""
+    return resume_by(df, done, key, lambda left: run_on_rows(left, key, factory, columns))
+
+
+def resume_by(df: DataFrame, done: DataFrame | None, key: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """As ``resume``, with a function of the table of rows that are left, which gives the columns of ``RESULT``: where Spark has an
+    expression for the results, no row goes through Python."""
     if done is None:
-        return run_on_rows(df, key, factory, columns)
+        return run(df)
     good = done.where("error is null and key <> '__error__'")
     left = df.join(good.select(F.col("key").alias(key)), key, "left_anti")
     wanted = good.join(df.select(F.col(key).cast("string").alias("key")), "key", "left_semi")
-    return wanted.unionByName(run_on_rows(left, key, factory, columns))
+    return wanted.unionByName(run(left))
 
 
 #: Columns that say where a row stands, and those that name it, in the order in which they are looked at.

@@ -3,11 +3,9 @@ by the sources, and held against SQL over the tables themselves."""
 
 from __future__ import annotations
 
-import hashlib
 import mimetypes
 import string
 import warnings
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,14 +100,13 @@ def q64_resume_from_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run that goes on from its own cache and those of three workers, with errors among them that are run again; the key is a name where
     a position is asked for."""
 
-    def factory() -> Callable[..., list[dict[str, str]]]:
-        def call(text: str | None, **_: object) -> list[dict[str, str]]:
-            return [{"processed_transcript": hashlib.md5((text or "").encode()).hexdigest(), "predicted_transcript": text or ""}]
-
-        return call
+    def digests(left: DataFrame) -> DataFrame:
+        text = F.coalesce("text", F.lit(""))
+        none = F.lit(None).cast("struct<type: string, message: string>")
+        return left.select(F.col("name").alias("key"), F.md5(text).alias("processed_transcript"), text.alias("predicted_transcript"), none.alias("error"))
 
     folder = scratch_folder(spark, "caches")
-    d = spread(table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("idx"), F.concat(F.lit("d"), "doc_id").alias("utt_id"), "doc_id", "text"))
+    d = table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("idx"), F.concat(F.lit("d"), "doc_id").alias("utt_id"), "doc_id", "text")
     error = F.when(F.col("doc_id") % 4 == 3, F.struct(F.lit("E").alias("type"), F.lit("lost").alias("message")))
     kept = F.concat(F.lit("kept "), (F.col("doc_id") % 4).cast("string"))
     line = F.to_json(F.struct(F.col("utt_id").alias("key"), F.array(F.struct(kept.alias("processed_transcript"), F.coalesce("text", F.lit("")).alias("predicted_transcript"), error.alias("error"))).alias("pred")))
@@ -119,7 +116,7 @@ def q64_resume_from_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore", RuntimeWarning)
         keyed = d.select(apply.cache_key(d, "idx").alias("name"), "text")
-    return apply.resume(keyed, done, "name", factory).select("key", "processed_transcript", "predicted_transcript")
+    return apply.resume_by(keyed, done, "name", digests).select("key", "processed_transcript", "predicted_transcript")
 
 
 @query("""

@@ -46,6 +46,19 @@ def test_cache_key(spark):
         apply.cache_key(df.select("own"), "missing")
 
 
+def test_resume_by_expressions(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", None), ("d", "z")], "name string, text string")
+    done = spark.createDataFrame([("a", "old", "", None), ("b", "", "", ("E", "e")), ("gone", "x", "", None), ("__error__", "", "", None)], apply.RESULT)
+
+    def lengths(left):
+        return left.selectExpr("name AS key", "string(length(text)) AS processed_transcript", "text AS predicted_transcript", "CAST(null AS struct<type: string, message: string>) AS error")
+
+    found = apply.resume_by(df, done, "name", lengths)
+    assert {r.key: (r.processed_transcript, r.predicted_transcript) for r in found.collect()} == {"a": ("old", ""), "b": ("1", "y"), "c": (None, None), "d": ("1", "z")}
+    assert "Python" not in (plan := found._jdf.queryExecution().toString()) and "Pandas" not in plan
+    assert apply.resume_by(df, None, "name", lengths).count() == 4
+
+
 def test_transient_errors():
     def failed(**values):
         e = RuntimeError("x")
