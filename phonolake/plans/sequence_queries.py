@@ -84,9 +84,8 @@ def q60_segment_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
         said = F.replace(said, F.lit(letter), F.lit(spelled))
     d = spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", said.alias("said")))
     known = segments.as_map(segments.segment_vocabulary(d, "said", 3))
-    ids = segments.encode_text(F.col("said"), known)
     digest = lambda c: F.md5(c.cast("binary"))
-    out = d.select("doc_id", segments.split(F.col("said")).alias("t"), ids.alias("ids"))
+    out = d.select("doc_id", segments.split(F.col("said")).alias("t")).withColumn("ids", segments.encode_tokens(F.col("t"), known))
     return out.select(
         "doc_id", F.size("t").cast("long").alias("n"), digest(F.array_join("t", "|")).alias("tokens"),
         digest(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids"), digest(segments.decode_ids(F.col("ids"), known, clean=True)).alias("clean"),
