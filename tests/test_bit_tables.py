@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
 
-from phonolake.operators import align, align_batch
+from phonolake.functions import phones
+from phonolake.operators import align, align_batch, scoring
 
 
 def made(seed, longest=40, letters="abcd-"):
@@ -58,3 +60,11 @@ def test_each_place_of_a_joint_alignment_is_worked_out_once(monkeypatch, wide):
     names = np.array(list(dict.fromkeys(["-", *p, *u, *h])), object)
     assert [tuple(names[x] for x in r) for r in zip(*found, strict=True)] == align.align_joint(p, u, h)
     assert seen and len(seen) == len(set(seen))
+
+
+def test_flaps_are_looked_for_only_where_a_letter_tells(spark):
+    """Rows with any flap are settled as before; the others are not segmented for it, as their letters tell."""
+    assert all(re.search(phones.FLAP_LETTERS, f) for f in phones.FLAPS) and not any(re.search(phones.FLAP_LETTERS, x) for x in phones.INVENTORY)
+    rows = [("æ d ɪ", f"æ {f} ɪ", f"æ {f} {f}") for f in phones.FLAPS] + [("æ d ɪ", "æ t ɪ", "")]
+    out = scoring.project_triplet(spark.createDataFrame(rows, "canonical string, transcription string, prediction string"))
+    assert [r["u"] for r in out.collect()] == [["æ", "d", "ɪ"]] * len(phones.FLAPS) + [["æ", "t", "ɪ"]]
